@@ -233,7 +233,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
             flat, counts = bpe.encode(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, list_array(flat, counts, pa.int32())], [*batch.schema.names, ids])
 

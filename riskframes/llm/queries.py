@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, spotsigs, token_files
+from . import bpe, minhash, mixing, quality_rules, spotsigs, suffix_dedup, token_files
 from ._common import table
 
 
@@ -41,6 +41,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -48,6 +57,8 @@ def queries() -> dict:
         "op3_mixing": op3_mixing,
         "op5_spotsigs": op5_spotsigs,
         "op6_token_files": op6_token_files,
+        "op7_minhash": op7_minhash,
+        "op8_suffix_dedup": op8_suffix_dedup,
     }
 
 

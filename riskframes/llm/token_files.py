@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import list_array, shared_dir
+from ._common import cut, list_array, shared_dir
 from .pretoken import Memo, encode_texts
 
 _loaded: dict[str, tuple] = {}
@@ -67,7 +67,7 @@ def tokenize(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
     schema = T.StructType([*df.select(key, *keep).schema.fields, T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
             flat, counts = encode_rows(batch.column(text).to_pylist(), path)
             flat = np.insert(flat, np.cumsum(counts), end_id)
             counts = counts + 1
@@ -138,4 +138,4 @@ def token_file_report(docs: DataFrame, path: str, end_id: int, key: str = "doc_i
     spark = docs.sparkSession
     to = to or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_token_files(tokenize(docs, path, end_id, key, text), to)
-    return starts(checksums(read_token_files(spark, to), key)).select(key, "start", "n_tokens", "ids_crc32")
+    return starts(cut(checksums(read_token_files(spark, to), key))).select(key, "start", "n_tokens", "ids_crc32")
