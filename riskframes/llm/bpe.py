@@ -140,7 +140,7 @@ class WordBpe:
                 token = out.pop()
                 at -= width[token]
                 token = self.prefix(token)
-        if len(fits) > 2_000_000:
+        if len(fits) > 400_000:
             fits.clear()
         return out
 

@@ -237,3 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     out = rows.select("id", "n").join(found, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group; rows with a null key stay."""
+    gone = cut(near_duplicates(docs, key=key, text=text, **options).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")

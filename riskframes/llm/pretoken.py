@@ -78,7 +78,7 @@ def pieces(points: np.ndarray, firsts: np.ndarray, spaced: bool) -> tuple[np.nda
 class Memo:
     """Ids by the hash of a piece, in sorted arrays; starts afresh when it holds more than ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 2_500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 

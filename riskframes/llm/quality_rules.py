@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ._common import WORD_BREAKS, cut, let, words_of
 
+#: Rejected texts that may be sent to all executors; beyond, documents are joined with them by a shuffle.
+BROADCAST_KEYS = 200_000
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,9 +104,11 @@ def judge(
 
 def without_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """``docs`` without the rejected documents; the verdict depends on host and text alone and is joined by these."""
-    verdicts = judge_texts(docs, text, host, **limits)
+    rejected = cut(judge_texts(docs, text, host, **limits).filter(~F.col("kept")).select(F.col("host").alias("_host"), F.col("digest").alias("_digest")))
+    if rejected.count() <= BROADCAST_KEYS:
+        rejected = F.broadcast(rejected)
     same = F.col(host).eqNullSafe(F.col("_host")) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_digest"))
-    return docs.join(verdicts.filter("kept").select(F.col("host").alias("_host"), F.col("digest").alias("_digest")), same, "left_semi")
+    return docs.join(rejected, same, "left_anti")
 
 
 def judge_texts(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70) -> DataFrame:

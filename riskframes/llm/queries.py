@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality_rules, spotsigs, suffix_dedup, token_files
+from . import bpe, html_text, minhash, mixing, ordinal, quality_rules, spotsigs, suffix_dedup, token_files, url_filter
 from ._common import table
 
 
@@ -32,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,15 +54,27 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal.grade(docs, ordinal.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_quality_rules": op2_quality_rules,
         "op3_mixing": op3_mixing,
+        "op4_url_filter": op4_url_filter,
         "op5_spotsigs": op5_spotsigs,
         "op6_token_files": op6_token_files,
         "op7_minhash": op7_minhash,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_ordinal": op9_ordinal,
+        "op10_html_text": op10_html_text,
     }
 
 

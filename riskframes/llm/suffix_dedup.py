@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import U64, cut, mix, row_chunks, stream, text_buffers
 
@@ -334,8 +335,8 @@ def _merge(rows: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def _cut_out(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """The documents without their removed bytes."""
+def _cut_out(docs: pa.Table, told: pa.Table, whole_characters: bool) -> pa.Table:
+    """The documents without their removed bytes, and if asked for without what is left of characters that were cut."""
     reps = np.unique(told.filter(pc.is_valid(told.column("rep"))).column("rep").to_numpy())
     runs = told.filter(pc.is_valid(told.column("starts")))
     column = lambda name: np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in runs.column(name)])
@@ -362,15 +363,21 @@ def _cut_out(docs: pa.Table, told: pa.Table) -> pa.Table:
                     begin, end = s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
         edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
         kept = b"".join([text[edges[i] : edges[i + 1]].tobytes() for i in range(0, len(edges), 2)])
+        if whole_characters and len(begin):
+            kept = kept.decode(errors="ignore").encode()
         for name, value in zip(rows, (len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept, begin.tolist(), end.tolist()), strict=True):
             rows[name].append(value)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.table({"id": own.cast(pa.int64())} | {n: pa.array(v, t) for (n, v), t in zip(rows.items(), kinds, strict=True)})
+    return pa.table({"id": own.cast(pa.int64())} | {n: pa.array(v, t) for (n, v), t in zip(rows.items(), kinds, strict=True)} | {"row": docs.column("row")})
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, span_starts, span_ends) of every row; ``kept``: the remaining bytes."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, span_starts, span_ends, row) of every row.
+
+    ``kept``: the remaining bytes; ``row``: a struct of the columns named in ``keep``, null without any.
+    """
+    more = F.struct(*keep) if keep else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), more.alias("row"))
     size = F.octet_length("text")
     narrow = cut(rows.select("id", F.when(size >= LENGTH, F.md5(F.col("text").cast("binary"))).alias("digest"), size.cast("bigint").alias("size")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
@@ -385,5 +392,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = dealt.cogroup(told.groupBy("shard")).applyInArrow(_search(shards, shards), _COLUMNS)
     merged = found.groupBy("merge").applyInArrow(_merge, _COLUMNS)
     last = reps.select("shard", "rep").unionByName(merged.select("shard", "ids", "starts", "counts"), allowMissingColumns=True)
-    schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, span_starts array<bigint>, span_ends array<bigint>"
-    return dealt.cogroup(last.groupBy("shard")).applyInArrow(_cut_out, schema)
+    schema = T.StructType.fromDDL("id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, span_starts array<bigint>, span_ends array<bigint>")
+    schema = T.StructType([*schema.fields, rows.schema["row"]])
+    return dealt.cogroup(last.groupBy("shard")).applyInArrow(lambda left, right: _cut_out(left, right, whole_characters), schema)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with the remaining text, and its code points in ``size``; bytes of a character that was cut go. Null texts stay null."""
+    mark = docs.withColumn("_null", F.col(text).isNull())
+    rows = remove_repeats(mark, key, text, tuple(c for c in mark.columns if c != text), whole_characters=True)
+    left = F.when(~F.col("row._null"), F.col("kept").cast("string"))
+    rows = rows.select("row.*", left.alias(text)).drop("_null")
+    if size in docs.columns:
+        rows = rows.withColumn(size, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(size)).cast(docs.schema[size].dataType))
+    return rows.select(*docs.columns)
