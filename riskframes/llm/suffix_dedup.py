@@ -7,12 +7,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 2. Each string of ``LENGTH`` bytes (a window) is named by the smallest hash of the ``GRAM``-byte strings within it: equal windows have
    equal names, and neighbours mostly share theirs. A shard sends its distinct names, four bytes each, to merge
    tasks, which find by binary search in the sorted lists those that another shard holds as well and answer with a bit for each.
-3. A shard sorts the suffixes of the windows whose names two of its documents or another shard hold: Larsson and
+3. A shard searches the windows whose names two of its documents hold. Runs of windows that are equal as a whole are settled by
+   their hash and a comparison of their bytes; suffixes of the others are sorted: Larsson and
    Sadakane's refinement in numpy, ranks of 8 bytes first, then of 16, 32 and 50 by the rank at an offset, only for suffixes that
    still tie. Kasai's common prefixes, in the order of the text, of neighbours in the array tell equal windows. A window
    that a smaller document of the shard has is removed; of the others, those with names that another shard holds go as runs of
    bytes to merge shards by name.
-4. A merge shard sorts the suffixes of what all shards sent, in the same way, and answers which windows a smaller document has.
+4. A merge shard searches what all shards sent in the same way, and answers which windows a smaller document has.
 5. Each shard cuts the covered bytes out of its documents.
 
 What is exchanged: the texts once (the same exchange feeds the steps), names, and the windows that repeat. A passage in a
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, cut, mix, row_chunks, stream, text_buffers
+from ._common import U64, cut, mix, row_chunks, span_hashes, stream, text_buffers
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 4 << 20
 CHUNK = 1 << 20
 _M = stream(21, 8) | U64(1)
+_BYTES = stream(22, 256)
 
 
 def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +162,48 @@ def repeats(data: np.ndarray, window: np.ndarray, owner: np.ndarray) -> np.ndarr
     return least
 
 
+def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each window of runs that stand in ``text``, whether a smaller owner has an equal window.
+
+    Equal runs (most of them: copies of a passage) are settled first: the one with the smallest owner stands for
+    all. Only runs whose name two different runs have are searched with suffix arrays.
+    """
+    n = len(begins)
+    if not n:
+        return np.zeros(0, bool)
+    sizes = counts + LENGTH - 1
+    ends = begins + sizes
+    same = span_hashes(_BYTES[text], begins, ends)
+    order = np.lexsort((owners, same, names))
+    new = np.ones(n, bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (names[a] != names[b]) | (same[a] != same[b]) | (counts[a] != counts[b])
+    rep = np.empty(n, np.int64)
+    rep[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    copy = np.flatnonzero(rep != np.arange(n))
+    if len(copy):  # the hash says equal; the bytes decide
+        at = _spread(begins[copy], sizes[copy])
+        differ = text[at] != text[at + np.repeat(begins[rep[copy]] - begins[copy], sizes[copy])]
+        wrong = copy[np.add.reduceat(differ, np.cumsum(sizes[copy]) - sizes[copy]) > 0]
+        rep[wrong] = wrong
+    chief = rep == np.arange(n)
+    chiefs = np.flatnonzero(chief)
+    held, number = np.unique(names[chiefs], return_counts=True)
+    open_ = chiefs[np.isin(names[chiefs], held[number > 1])]
+    windows = np.cumsum(counts) - counts
+    gone = np.zeros(int(counts.sum()), bool)
+    if len(open_):
+        part, at = _gather(text, begins[open_], sizes[open_])
+        owner = np.repeat(owners[open_], counts[open_])
+        gone[_spread(windows[open_], counts[open_])] = repeats(part, _spread(at, counts[open_]), owner) < owner
+    copy = np.flatnonzero(~chief)
+    if len(copy):
+        to = _spread(windows[copy], counts[copy])
+        later = np.repeat(owners[copy] > owners[rep[copy]], counts[copy])
+        gone[to] = later | gone[to + np.repeat(windows[rep[copy]] - windows[copy], counts[copy])]
+    return gone
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """data[start : start + size] of all, joined, and where each begins."""
     ends = np.cumsum(sizes)
@@ -200,9 +244,13 @@ class _Shard:
         self.data, self.offsets = text_buffers(text)
         self.start, self.count, self.name = named_runs(self.data, self.offsets)
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        pair = np.unique(np.stack([self.name, self.ids[self.doc].view(U64) if len(self.doc) else self.name]), axis=1) if len(self.name) else np.zeros((2, 0), U64)
-        self.names, held = np.unique(pair[0], return_counts=True)
-        self.several = held > 1
+        by = np.argsort(self.name, kind="stable")
+        name, owner = self.name[by], self.ids[self.doc[by]] if len(by) else np.zeros(0, np.int64)
+        first = np.ones(len(by), bool)
+        first[1:] = name[1:] != name[:-1]
+        self.names = name[first]
+        at = np.flatnonzero(first)
+        self.several = np.maximum.reduceat(owner, at) > np.minimum.reduceat(owner, at) if len(at) else np.zeros(0, bool)
 
 
 def _deal(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -251,16 +299,13 @@ def _search(buckets: int, merges: int):
         for bucket, mine in by_bucket(to).items():
             elsewhere[mine] = bits[bucket][np.searchsorted(np.unique(low[mine]), low[mine])].astype(bool)
         which = np.searchsorted(shard.names, shard.name)
-        out_there = elsewhere[which] if len(which) else np.zeros(0, bool)
-        wanted = out_there | shard.several[which] if len(which) else out_there
-        start, count, doc, name, out_there = shard.start[wanted], shard.count[wanted], shard.doc[wanted], shard.name[wanted], out_there[wanted]
+        out_there, several = elsewhere[which], shard.several[which]
+        wanted = out_there | several
+        start, count, doc, name, out_there, several = (x[wanted] for x in (shard.start, shard.count, shard.doc, shard.name, out_there, several))
         window = _spread(start, count)
         each_doc, each_out = np.repeat(doc, count), np.repeat(out_there, count)
-        first, many = _as_runs(window, each_doc)
-        text, begins = _gather(shard.data, window[first], many + LENGTH - 1)
-        place = _spread(begins, many)
-        owner = shard.ids[each_doc] if len(each_doc) else np.zeros(0, np.int64)
-        gone = repeats(text, place, owner) < owner if len(place) else np.zeros(0, bool)
+        gone = np.zeros(len(window), bool)
+        gone[np.repeat(several, count)] = covered(shard.data, start[several], count[several], name[several], shard.ids[doc[several]])
         kinds: list[tuple] = [_removed(number, shard.ids, each_doc[gone], window[gone] - shard.offsets[each_doc[gone]])]
         send = ~gone & each_out
         kinds += _to_merge(number, merges, shard, window[send], each_doc[send], np.repeat(name, count)[send])
@@ -277,16 +322,16 @@ def by_bucket(to: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(values.tolist(), np.split(order, first[1:]), strict=True))
 
 
-_COLUMNS = "merge bigint, shard bigint, ids binary, starts binary, counts binary, bytes binary"
+_COLUMNS = "merge bigint, shard bigint, ids binary, starts binary, counts binary, names binary, bytes binary"
 
 
-def _row(merge: int, shard: int, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, data: bytes = b"") -> tuple:
-    return merge, shard, ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), data
+def _row(merge: int, shard: int, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, names: bytes = b"", data: bytes = b"") -> tuple:
+    return merge, shard, ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), names, data
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    names = ["merge", "shard", "ids", "starts", "counts", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["merge", "shard", "ids", "starts", "counts", "names", "bytes"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
@@ -307,7 +352,7 @@ def _to_merge(number: int, merges: int, shard: _Shard, window: np.ndarray, doc:
     for m, part in by_bucket(merge).items():
         f = first[part]
         text, _ = _gather(shard.data, window[f], many[part] + LENGTH - 1)
-        rows.append(_row(m, number, shard.ids[doc[f]], window[f] - shard.offsets[doc[f]], many[part], text.tobytes()))
+        rows.append(_row(m, number, shard.ids[doc[f]], window[f] - shard.offsets[doc[f]], many[part], name[f].tobytes(), text.tobytes()))
     return rows
 
 
@@ -320,9 +365,8 @@ def _merge(rows: pa.Table) -> pa.Table:
     text = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("bytes")])
     all_counts = np.concatenate(counts)
     sizes = all_counts + LENGTH - 1
-    place = _spread(np.cumsum(sizes) - sizes, all_counts)
-    owner = np.repeat(np.concatenate(ids), all_counts)
-    gone = repeats(text, place, owner) < owner
+    names = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in rows.column("names")])
+    gone = covered(text, np.cumsum(sizes) - sizes, all_counts, names, np.concatenate(ids))
     at = _spread(np.concatenate(starts), all_counts)
     out, lo = [], 0
     for shard, c, i in zip(rows.column("shard").to_pylist(), counts, ids, strict=True):
