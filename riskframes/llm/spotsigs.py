@@ -63,8 +63,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def with_next(docs: DataFrame, key: str, rows: list[str], ranges: int | None = None) -> DataFrame:
-    """``docs`` with ``next``, a struct of ``rows`` of the next row by key (null first, then by the first of ``rows``); the last has the first.
+def with_next(docs: DataFrame, key: str, text: str, derive, ranges: int | None = None) -> DataFrame:
+    """``derive(docs)`` with ``next``, a struct of the text and derived columns of the next row by key (null first, then by text); the last has the first.
 
     The key range is cut at approximate quantiles; rows follow each other within a range, and the last of a
     range gets the first row of the next. No task sees more than a range; the table of ranges has ``ranges`` rows.
@@ -84,8 +84,10 @@ def with_next(docs: DataFrame, key: str, rows: list[str], ranges: int | None = N
     else:
         place = F.when(F.col(key).isNull(), -1).otherwise(0)
     placed = docs.withColumn("_range", place)
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), F.col(rows[0]).asc_nulls_first())
-    step_on = placed.withColumn("_lead", F.lead(F.struct(*rows)).over(order))
+    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    derived = derive(placed)
+    rows = [text, *(c for c in derived.columns if c not in placed.columns)]
+    step_on = derived.withColumn("_lead", F.lead(F.struct(*rows)).over(order))
     firsts = placed.groupBy("_range").agg(F.min(key).alias("_first"))
     ahead = Window.orderBy("_range")
     wrap = F.first("_first").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -93,15 +95,15 @@ def with_next(docs: DataFrame, key: str, rows: list[str], ranges: int | None = N
     firsts = firsts.select(F.col("_range").alias("_of"), F.when(F.lead("_range").over(ahead).isNull(), wrap).otherwise(F.lead("_first").over(ahead)).alias("_want"),
         F.coalesce(F.lead("_range").over(ahead), wrap_range).alias("_in"))
     heads = placed.join(F.broadcast(firsts), (F.col("_range") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_want")))  # at most ``ranges`` rows
-    heads = heads.groupBy("_of").agg(F.min(F.struct(*rows)).alias("_head"))
+    heads = derive(heads.groupBy("_of").agg(F.min(text).alias(text))).select("_of", F.struct(*rows).alias("_head"))
     joined = step_on.join(heads, F.col("_range") == F.col("_of"), "left")
     return joined.withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head", "_of", "_range")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its text with the last quarter replaced from the next document, and their likeness."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("sigs", signatures(F.col("t")))
-    rows = with_next(rows, key, ["t", "sigs"])
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = with_next(rows, key, "t", lambda df: df.withColumn("sigs", signatures(F.col("t"))))
     n = F.length("t")
     quarter = F.floor(n / 4).cast("int")
     rows = rows.select(key, n.cast("bigint").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"),
