@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,5 +130,42 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def flatten(parts: list) -> list:
-    return list(itertools.chain.from_iterable(parts))
+def tidy() -> None:
+    """Give freed memory back: workers stay for later tasks, and an executor's limit counts all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """A batch iterator that tidies up when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
+def tidied(run: Callable) -> Callable:
+    """A group function that tidies up after each group. Spark tells one from two tables by the number of arguments."""
+    if run.__code__.co_argcount == 1:
+        return lambda rows: _after(run, rows)
+    return lambda left, right: _after(run, left, right)
+
+
+def _after(run: Callable, *tables: pa.Table) -> pa.Table:
+    out = run(*tables)
+    tidy()
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -27,12 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import list_array
+from ._common import frugal, list_array, slices
 from .pretoken import Memo, encode_texts
 
 END = "</w>"
 STOP = ""  # one character for the word end, so that it can't be taken for text
 _loaded: dict[str, "WordBpe"] = {}
+_tables: dict[str, "OffsetTable"] = {}
 
 
 class WordBpe:
@@ -66,8 +67,7 @@ class WordBpe:
         self.bytes = _byte_letters()
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
-        self.memo = Memo(lambda words: [self.encode_piece(w) for w in words])
-        self._table: tuple[np.ndarray, np.ndarray] | None = None
+        self.memo = Memo(lambda words: [self.encode_piece(w) for w in words], 600_000)
 
     @staticmethod
     def _inner(token: str) -> str:
@@ -140,7 +140,7 @@ class WordBpe:
                 token = out.pop()
                 at -= width[token]
                 token = self.prefix(token)
-        if len(fits) > 400_000:
+        if len(fits) > 150_000:
             fits.clear()
         return out
 
@@ -177,17 +177,19 @@ class WordBpe:
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[first[1:]] - total[first[:-1]]
 
-    def offset_table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all tokens in order of their ids, a blank after each, and the offsets."""
-        if self._table is None:
-            names = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.specials.items()}
-            blocks = [(names[i] + " ").encode() if i in names else b"" for i in range(max(names) + 1)]
-            self._table = np.frombuffer(b"".join(blocks), np.uint8), np.cumsum([0, *map(len, blocks)])
-        return self._table
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray, step: int = 1 << 18) -> pa.Array:
+class OffsetTable:
+    """Bytes of all tokens in order of their ids, a blank after each, and the offsets."""
+
+    def __init__(self, path: str) -> None:
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        names = {v: k for k, v in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec.get("added_tokens", [])}
+        blocks = [(names[i] + " ").encode() if i in names else b"" for i in range(max(names) + 1)]
+        self.block, self.offsets = np.frombuffer(b"".join(blocks), np.uint8), np.cumsum([0, *map(len, blocks)])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray, step: int = 1 << 17) -> pa.Array:
         """The text of each row of ids: the file names no decoder, so tokens are joined by a blank."""
-        block, offsets = self.offset_table()
+        block, offsets = self.block, self.offsets
         if len(ids) and (ids.min() < 0 or ids.max() >= len(offsets) - 1):
             raise ValueError("an id is outside the vocabulary")
         sizes = offsets[ids + 1] - offsets[ids]
@@ -221,23 +223,30 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def load_table(path: str) -> OffsetTable:
+    if path not in _tables:
+        _tables[path] = OffsetTable(path)
+    return _tables[path]
+
+
 def _free(df: DataFrame, name: str) -> None:
     if name.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"column {name} is there already")
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with a column ``ids`` array<int> of the tokens of ``text``. Null and empty texts have none."""
+    """``df`` with a column ``ids`` array<int> of the tokens of ``text`` in the text's place. Null and empty texts have none."""
     _free(df, ids)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    others = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
+        for batch in slices(batches):
             flat, counts = bpe.encode(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(flat, counts, pa.int32())], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), list_array(flat, counts, pa.int32())], [*others, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -246,11 +255,11 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
+        decoder = load_table(path)
+        for batch in slices(batches):
             column = batch.column(ids)
             counts = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-            out = bpe.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            out = decoder.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, decoded])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import frugal, slices
+
 #: Kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
@@ -371,9 +373,9 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html", text: st
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in slices(batches, 500):
             texts = [visible_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             arrays = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x or "") for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

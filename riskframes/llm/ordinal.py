@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, row_chunks, span_hashes, stream, text_buffers
+from ._common import U64, frugal, row_chunks, slices, span_hashes, stream, text_buffers
 
 BUCKETS = 1 << 18
 PREFIXES = (7,)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -169,13 +169,13 @@ def training_rows(docs: DataFrame, grades: DataFrame, key: str, text: str, max_l
     rows = docs.select(F.col(key).alias("k"), text).join(F.broadcast(sample), "k").select("k", "grade", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, bucket, value = features(*text_buffers(batch.column(2)))
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             blob = [(bucket[a:b].astype("<i4").tobytes(), value[a:b].astype("<f4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in blob], pa.binary()), pa.array([x[1] for x in blob], pa.binary())], ["k", "grade", "b", "v"])
 
-    got = rows.mapInArrow(run, "k bigint, grade int, b binary, v binary").toArrow().combine_chunks()
+    got = rows.mapInArrow(frugal(run), "k bigint, grade int, b binary, v binary").toArrow().combine_chunks()
     got = got.sort_by("k")
     buckets = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("b")]
     values = [np.frombuffer(x.as_buffer(), "<f4") for x in got.column("v")]
@@ -197,7 +197,7 @@ def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, thresholds)
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             data, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(np.diff(offsets), CHUNK):
@@ -207,4 +207,4 @@ def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             top = tails[:, -1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(top), pa.array(top >= least)], schema.fieldNames())
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(frugal(run), schema)

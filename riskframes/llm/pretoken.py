@@ -17,7 +17,7 @@ from ._common import U64, mix, row_chunks, span_hashes
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 APOSTROPHE = 39
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _classes: np.ndarray | None = None
 
 
@@ -78,7 +78,7 @@ def pieces(points: np.ndarray, firsts: np.ndarray, spaced: bool) -> tuple[np.nda
 class Memo:
     """Ids by the hash of a piece, in sorted arrays; starts afresh when it holds more than ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, cut, mix, row_chunks, span_hashes, stream, text_buffers
+from ._common import U64, cut, mix, row_chunks, span_hashes, stream, text_buffers, tidied
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 4 << 20
@@ -379,6 +379,13 @@ def _merge(rows: pa.Table) -> pa.Table:
     return _table(out)
 
 
+def _cut_out_as(whole_characters: bool):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        return _cut_out(docs, told, whole_characters)
+
+    return run
+
+
 def _cut_out(docs: pa.Table, told: pa.Table, whole_characters: bool) -> pa.Table:
     """The documents without their removed bytes, and if asked for without what is left of characters that were cut."""
     reps = np.unique(told.filter(pc.is_valid(told.column("rep"))).column("rep").to_numpy())
@@ -430,15 +437,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     dealt = rows.withColumn("shard", place).groupBy("shard")
     reps = narrow.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = cut(reps.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep"))
-    sent = dealt.cogroup(reps.groupBy("shard")).applyInArrow(_send_names(shards), "bucket bigint, shard bigint, names binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer_names, "shard bigint, bucket bigint, bits binary")
+    sent = dealt.cogroup(reps.groupBy("shard")).applyInArrow(tidied(_send_names(shards)), "bucket bigint, shard bigint, names binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidied(_answer_names), "shard bigint, bucket bigint, bits binary")
     told = reps.select("shard", "rep", F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(answers, allowMissingColumns=True)
-    found = dealt.cogroup(told.groupBy("shard")).applyInArrow(_search(shards, shards), _COLUMNS)
-    merged = found.groupBy("merge").applyInArrow(_merge, _COLUMNS)
+    found = dealt.cogroup(told.groupBy("shard")).applyInArrow(tidied(_search(shards, shards)), _COLUMNS)
+    merged = found.groupBy("merge").applyInArrow(tidied(_merge), _COLUMNS)
     last = reps.select("shard", "rep").unionByName(merged.select("shard", "ids", "starts", "counts"), allowMissingColumns=True)
     schema = T.StructType.fromDDL("id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, span_starts array<bigint>, span_ends array<bigint>")
     schema = T.StructType([*schema.fields, rows.schema["row"]])
-    return dealt.cogroup(last.groupBy("shard")).applyInArrow(lambda left, right: _cut_out(left, right, whole_characters), schema)
+    return dealt.cogroup(last.groupBy("shard")).applyInArrow(tidied(_cut_out_as(whole_characters)), schema)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import frugal
+
 #: Labelled phrases that train the model, and its words' frequencies.
 BLOCKED_PHRASES = """casino win|casino bonus slots|online poker win|free bets|free bet tips|sports betting odds|cheap pills|cheap pills online pharmacy|viagra pills|
 adult x|adult video|adult cam girls|xxx porn|porn tube|sex chat|nude girls|hot sex|escort girls|spam farm|link farm|link spam|seo spam links|ads track|ad tracker|
@@ -155,4 +157,4 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
             arrays = [*batch.columns[:-1], *(pa.array(x, pa.string()) for x in (hosts, paths, which, verdicts))]
             yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
