@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import panel
+from . import causal, panel, risk
 
-MODULES = (panel,)
+MODULES = (panel, risk, causal)
 
 
 def queries() -> dict:

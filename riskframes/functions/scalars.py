@@ -38,14 +38,15 @@ def chi2_1_tail(x: Column) -> Column:
     Both have a fixed number of terms, so the expression stays within the engine; the error is below 1e-12.
     """
     z = F.sqrt(F.greatest(x, F.lit(0.0)) / 2)
-    term, total = z, z
-    for n in range(1, 60):
-        term = term * (-z * z) / n
-        total = total + term / (2 * n + 1)
-    small = F.lit(1.0) - total * 1.1283791670955126
-    deep = z
-    for k in range(60, 0, -1):
-        deep = z + F.lit(k / 2.0) / deep
+    begin = F.struct(z.alias("term"), z.alias("total"))
+
+    def add(s, n):
+        term = s["term"] * (-z * z) / n
+        return F.struct(term.alias("term"), (s["total"] + term / (2 * n + 1)).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), begin, add, lambda s: s["total"])
+    small = F.lit(1.0) - series * 1.1283791670955126
+    deep = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda s, k: z + k / 2 / s)
     large = F.exp(-z * z) / (deep * 1.7724538509055159)
     return F.when(z < 2.5, small).otherwise(large)
 
