@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import causal, panel, risk
+from . import causal, models, panel, risk
 
-MODULES = (panel, risk, causal)
+MODULES = (panel, risk, causal, models)
 
 
 def queries() -> dict:

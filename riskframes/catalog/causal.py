@@ -144,7 +144,7 @@ ORACLES = {
     "scm_intervened": f"WITH RECURSIVE {_EXO}, {_sim('sim', DO['treated'])} {_all('sim')}",
     "scm_controlled": f"WITH RECURSIVE {_EXO}, {_sim('sim', DO['controlled_treated'])} {_all('sim')}",
     "scm_abduction": f"SELECT unnest(generate_series(0, {PATHS - 1})) AS path, true AS recovered",
-    "scm_aap_error": f"SELECT true AS exact, {PATHS * HORIZON} AS n",
+    "scm_aap_error": f"SELECT true AS exact, CAST({PATHS * HORIZON} AS BIGINT) AS n",
     "scm_effects": _two("reference", "treated") + " SELECT t, round(avg(c - f), 8) AS mean_effect FROM pe GROUP BY t",
     "scm_effect_summary": _two("reference", "treated") + f", m AS (SELECT t, avg(c - f) AS e FROM pe GROUP BY t), tot AS (SELECT path, -sum(c) AS c, -sum(f) AS f FROM pe GROUP BY path) SELECT round(arg_max(e, t), 8) AS ate_terminal, round(sum(e), 8) AS cumulative_ate, round({_es('c')} - {_es('f')}, 8) AS tail_effect FROM m",
     "scm_controlled_effect": _two("controlled_reference", "controlled_treated") + " SELECT t, round(avg(c - f), 8) AS mean_effect FROM pe GROUP BY t",

@@ -69,13 +69,17 @@ def t_quantile(p: np.ndarray, df: float) -> np.ndarray:
     return (low + high) / 2
 
 
-def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9, most: int = 200) -> np.ndarray:
-    """Minimise c.x with a.x = b and x >= 0 by Mehrotra's predictor-corrector steps on the normal equations."""
-    m, n = a.shape
+def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-8, most: int = 100, normal=None) -> np.ndarray:
+    """Minimise c.x with a.x = b and x >= 0 by Mehrotra's predictor-corrector steps on the normal equations.
+
+    ``normal``: takes a vector d and gives a function that solves a diag(d) a' y = r; for programs whose structure makes that cheap.
+    """
+    n = a.shape[1]
+    normal = normal or (lambda d: _solver((a * d) @ a.T))
     scale = max(1.0, np.abs(b).max(initial=0), np.abs(c).max(initial=0))
-    gram = a @ a.T + 1e-12 * np.eye(m)
-    x = a.T @ np.linalg.solve(gram, b)
-    y = np.linalg.solve(gram, a @ c)
+    first = normal(np.ones(n))
+    x = a.T @ first(b)
+    y = first(a @ c)
     s = c - a.T @ y
     x += max(-1.5 * x.min(), 0)
     s += max(-1.5 * s.min(), 0)
@@ -86,14 +90,11 @@ def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-
         rp, rd, gap = b - a @ x, c - a.T @ y - s, x @ s / n
         if np.abs(rp).max() < tolerance * scale and np.abs(rd).max() < tolerance * scale and gap < tolerance * scale:
             return x
-        d = x / s
-        normal = (a * d) @ a.T
-        normal[np.diag_indices(m)] += 1e-14 * max(1.0, np.trace(normal) / m)
-        factor = np.linalg.cholesky(normal) if _definite(normal) else None
-
-        def step(rc: np.ndarray, d=d, rp=rp, rd=rd, normal=normal, factor=factor, x=x, s=s):
-            right = rp + (a * d) @ (rd - rc / x)
-            dy = np.linalg.solve(factor.T, np.linalg.solve(factor, right)) if factor is not None else np.linalg.lstsq(normal, right, rcond=None)[0]
+        d = np.clip(x / s, 1e-16, 1e16)
+        solve = normal(d)
+
+        def step(rc: np.ndarray, d=d, rp=rp, rd=rd, solve=solve, x=x, s=s):
+            dy = solve(rp + (a * d) @ (rd - rc / x))
             ds = rd - a.T @ dy
             return (rc - x * ds) / s, dy, ds
 
@@ -108,12 +109,17 @@ def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-
     return x
 
 
-def _definite(matrix: np.ndarray) -> bool:
+def _solver(matrix: np.ndarray):
+    """Solves with a symmetric matrix, by least squares where it is singular."""
+    size = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    scaled = matrix / np.outer(size, size)
     try:
-        np.linalg.cholesky(matrix)
+        inverse = np.linalg.inv(np.linalg.cholesky(scaled))
+        if np.isfinite(inverse).all():
+            return lambda right: (inverse.T @ (inverse @ (right / size))) / size
     except np.linalg.LinAlgError:
-        return False
-    return True
+        pass
+    return lambda right: np.linalg.lstsq(scaled, right / size, rcond=1e-14)[0] / size
 
 
 def _reach(x: np.ndarray, dx: np.ndarray) -> float:

@@ -161,7 +161,7 @@ def em(x: np.ndarray, states: int, rng: np.random.Generator, iterations: int = 3
     for steps in range(1, iterations + 1):
         total, _, gamma, counts = forward_backward(log_density(x, means, covariances), start, transitions)
         value = total + ((pseudo + sticky * np.eye(states)) * np.log(np.maximum(transitions, 1e-300))).sum()
-        if abs(value - last) <= tolerance * (1 + abs(last)):
+        if np.isfinite(last) and abs(value - last) <= tolerance * (1 + abs(last)):
             last = value
             break
         last = value

@@ -34,7 +34,7 @@ def checked_bounds(assets: int, lower, upper, previous, cap) -> tuple[np.ndarray
 def solve_cvar(returns: np.ndarray, level: float, lower=0.0, upper=1.0, previous: np.ndarray | None = None, cap: float | None = None, cost: float = 0.0, radius: float = 0.0) -> Decision:
     """Weights of least CVaR of losses, plus linear costs of trades and a penalty radius * max |w| / (1 - level).
 
-    Variables: weights above their lower bound, the quantile's two parts, excess losses, trades up and down, the largest weight, and slacks.
+    Variables: weights above their lower bound, the quantile, excess losses, trades up and down, the largest weight, and slacks.
     Trades and the largest weight are there only where costs, a cap or a radius ask for them.
     """
     returns = np.asarray(returns, float)
@@ -45,11 +45,11 @@ def solve_cvar(returns: np.ndarray, level: float, lower=0.0, upper=1.0, previous
     trades = previous is not None and (cap is not None or cost > 0)
     names: dict[str, slice] = {}
     total = 0
-    for name, size in (("w", n), ("q+", 1), ("q-", 1), ("u", s), ("up", n if trades else 0), ("down", n if trades else 0), ("top", 1 if radius > 0 else 0), ("slack_u", s), ("slack_w", n), ("slack_cap", 1 if cap is not None else 0), ("slack_top", n if radius > 0 else 0)):
+    for name, size in (("w", n), ("q", 1), ("u", s), ("up", n if trades else 0), ("down", n if trades else 0), ("top", 1 if radius > 0 else 0), ("slack_u", s), ("slack_w", n), ("slack_cap", 1 if cap is not None else 0), ("slack_top", n if radius > 0 else 0)):
         names[name] = slice(total, total + size)
         total += size
     c = np.zeros(total)
-    c[names["q+"]], c[names["q-"]], c[names["u"]] = 1, -1, 1 / (s * (1 - level))
+    c[names["q"]], c[names["u"]] = 1, 1 / (s * (1 - level))
     if trades:
         c[names["up"]] = c[names["down"]] = cost
     if radius > 0:
@@ -63,8 +63,8 @@ def solve_cvar(returns: np.ndarray, level: float, lower=0.0, upper=1.0, previous
         rows.append(block)
         right.append(value)
 
-    one = np.ones((s, 1))
-    row({"w": returns, "q+": one, "q-": -one, "u": np.eye(s), "slack_u": -np.eye(s)}, -returns @ lower)  # u >= -r.w - q
+    least = -np.abs(returns).max() - 1e-6  # no loss is below this, so the quantile counts from here
+    row({"w": returns, "q": np.ones((s, 1)), "u": np.eye(s), "slack_u": -np.eye(s)}, -returns @ lower - least)  # u >= -r.w - q
     row({"w": np.ones((1, n))}, np.array([1 - lower.sum()]))
     row({"w": np.eye(n), "slack_w": np.eye(n)}, upper - lower)
     if trades:
@@ -73,12 +73,42 @@ def solve_cvar(returns: np.ndarray, level: float, lower=0.0, upper=1.0, previous
         row({"up": np.ones((1, n)), "down": np.ones((1, n)), "slack_cap": np.ones((1, 1))}, np.array([cap]))
     if radius > 0:
         row({"w": -np.eye(n), "top": np.ones((n, 1)), "slack_top": -np.eye(n)}, lower)
-    x = solve_lp(c, np.vstack(rows), np.concatenate(right))
+    a = np.vstack(rows)
+    x = solve_lp(c, a, np.concatenate(right), normal=_by_scenario(a, s, names))
     w = np.clip(x[names["w"]] + lower, lower, upper)
     w = w / w.sum()
     return decomposed(returns, w, level, previous, cost, radius)
 
 
+def _by_scenario(a: np.ndarray, s: int, names: dict[str, slice]):
+    """Normal equations with the scenarios' own excess and slack eliminated: what is left has the size of the assets."""
+    own = np.zeros(a.shape[1], bool)
+    own[names["u"]] = own[names["slack_u"]] = True
+    g, h = a[:s, ~own], a[s:, ~own]
+    p, m = g.shape[1], len(h)
+
+    def normal(d: np.ndarray):
+        single, rest = d[names["u"]] + d[names["slack_u"]], d[~own]
+        size = np.sqrt(rest)
+        block = np.eye(p) + (size[:, None] * g.T / single) @ (g * size)
+        border = h * size
+        system = np.block([[block, -border.T], [border, 1e-14 * np.eye(m)]])
+
+        def solve(r: np.ndarray) -> np.ndarray:
+            out = np.linalg.solve(system, np.concatenate([size * (g.T @ (r[:s] / single)), r[s:]]))
+            return np.concatenate([(r[:s] - g @ (size * out[:p])) / single, out[p:]])
+
+        def refined(r: np.ndarray) -> np.ndarray:
+            y = solve(r)
+            for _ in range(2):
+                y = y + solve(r - a @ (d * (a.T @ y)))
+            return y
+
+        return refined
+
+    return normal
+
+
 def decomposed(returns: np.ndarray, w: np.ndarray, level: float, previous: np.ndarray | None, cost: float, radius: float) -> Decision:
     """The parts of the objective at given weights; CVaR at its own best quantile."""
     losses = np.sort(-returns @ w)
