@@ -17,7 +17,7 @@ from ._common import U64, mix, row_chunks, span_hashes
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 APOSTROPHE = 39
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 _classes: np.ndarray | None = None
 
 
@@ -76,33 +76,48 @@ def pieces(points: np.ndarray, firsts: np.ndarray, spaced: bool) -> tuple[np.nda
 
 
 class Memo:
-    """Ids by the hash of a piece, in sorted arrays; starts afresh when it holds more than ``most`` pieces."""
+    """Ids by the hash of a piece: sorted arrays, a young one that takes new pieces and a main one that it joins now and then.
+
+    It starts afresh when it holds more than ``most`` pieces.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.main = self.young = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def places(self, keys: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """Where the distinct ``keys`` stand; ``text_of`` gives the pieces of those that are new."""
-        if len(self.keys) > self.most:
+    def lookup(self, keys: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the distinct, ascending ``keys`` begin in ``pool``, and their number; ``text_of`` gives the pieces of those that are new."""
+        if len(self.main[0]) + len(self.young[0]) > self.most:
             self.clear()
-        found = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = found < len(self.keys)
-        known[inside] = self.keys[found[inside]] == keys[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for known, begin, number in (self.main, self.young):
+            place = np.searchsorted(known, keys)
+            hit = place < len(known)
+            hit[hit] = known[place[hit]] == keys[hit]
+            at[hit], size[hit] = begin[place[hit]], number[place[hit]]
+        new = np.flatnonzero(at < 0)
+        if len(new):
             ids = self.encode(text_of(new))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            at = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
-            to = found[new]
-            self.keys, self.at, self.size = np.insert(self.keys, to, keys[new]), np.insert(self.at, to, at), np.insert(self.size, to, sizes)
-            found = np.searchsorted(self.keys, keys)
-        return found
+            size[new] = np.fromiter(map(len, ids), np.int32, len(ids))
+            total = int(size[new].sum())
+            if self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
+            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+            at[new] = self.used + np.cumsum(size[new]) - size[new]
+            self.used += total
+            self.young = _joined(self.young, (keys[new], at[new], size[new]))
+            if len(self.young[0]) > 20_000 + len(self.main[0]) // 8:
+                self.main, self.young = _joined(self.main, self.young), tuple(x[:0] for x in self.young)
+        return at, size
+
+
+def _joined(into: tuple, more: tuple) -> tuple:
+    place = np.searchsorted(into[0], more[0])
+    return tuple(np.insert(a, place, b) for a, b in zip(into, more, strict=True))
 
 
 def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +135,9 @@ def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray
         starts, ends = pieces(points, offsets[:-1], spaced)
         keys = span_hashes(mix(points.astype(U64) + U64(0x51ED270B)), starts, ends)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        where = memo.places(distinct, lambda new: [joined[starts[k] : ends[k]] for k in first[new]])[back]
-        lengths, at = memo.size[where], memo.at[where]
-        stops = np.cumsum(lengths)
+        at, lengths = memo.lookup(distinct, lambda new: [joined[starts[k] : ends[k]] for k in first[new]])
+        at, lengths = at[back], lengths[back]
+        stops = np.cumsum(lengths, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0
         flat.append(memo.pool[np.repeat(at - (stops - lengths), lengths) + np.arange(total)])
         owner = np.searchsorted(offsets, starts, "right") - 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, list_array, shared_dir
+from ._common import cut, frugal, list_array, shared_dir, slices
 from .pretoken import Memo, encode_texts
 
 _loaded: dict[str, tuple] = {}
@@ -36,7 +36,7 @@ def _tokenizer(path: str) -> tuple:
         tokenizer.no_padding()
         ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[path] = ids, Memo(ids), specials
+        _loaded[path] = ids, Memo(ids, 1_500_000), specials
     return _loaded[path]
 
 
@@ -67,14 +67,14 @@ def tokenize(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
     schema = T.StructType([*df.select(key, *keep).schema.fields, T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
+        for batch in slices(batches):
             flat, counts = encode_rows(batch.column(text).to_pylist(), path)
             flat = np.insert(flat, np.cumsum(counts), end_id)
             counts = counts + 1
             arrays = [batch.column(c) for c in (key, *keep)] + [pa.array(counts, pa.int32()), list_array(flat, counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, [key, *keep, "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def write_token_files(
@@ -130,7 +130,7 @@ def checksums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             sums = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "file", "row")), pa.array(counts), pa.array(sums, pa.int64())], schema.fieldNames())
 
-    return tokens.select(key, "file", "row", "ids").mapInArrow(run, schema)
+    return tokens.select(key, "file", "row", "ids").mapInArrow(frugal(run), schema)
 
 
 def token_file_report(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", to: str | None = None) -> DataFrame:
