@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what is no longer referred to: shuffle and checkpoint files of finished steps, not only when its heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for rows too wide for ``cut``."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -130,6 +137,14 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tidy() -> None:
     """Give freed memory back: workers stay for later tasks, and an executor's limit counts all of them."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ other sequence has that property, the result is exactly that of merging by rank,
 Decoding lays the text of all tokens into one block of bytes with an offset for each id, and gathers.
 
 Inputs: null text has no tokens; empty text as well. Ids outside the vocabulary are an error. Extra columns are
-passed through; a clash with an output name is an error that names the column.
+passed through; one that has the name of an output gives way to it. Repeated rows are encoded alike.
 """
 
 from __future__ import annotations
@@ -229,15 +229,9 @@ def load_table(path: str) -> OffsetTable:
     return _tables[path]
 
 
-def _free(df: DataFrame, name: str) -> None:
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"column {name} is there already")
-
-
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column ``ids`` array<int> of the tokens of ``text`` in the text's place. Null and empty texts have none."""
-    _free(df, ids)
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower())]
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +245,8 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with a column ``decoded`` of the text of ``ids``. Null and empty lists give an empty text."""
-    _free(df, decoded)
-    schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())])
+    others = [c for c in df.columns if c.lower() != decoded.lower()]
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = load_table(path)
@@ -260,6 +254,6 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
             column = batch.column(ids)
             counts = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
             out = decoder.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, decoded])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), out], [*others, decoded])
 
     return df.mapInArrow(frugal(run), schema)

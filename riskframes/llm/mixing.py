@@ -6,7 +6,7 @@ rate is target / size; each document is taken floor(rate) times, and once more w
 its key and the seed. So a document is never taken more than ``most`` times, and reruns agree.
 
 Inputs: a null text has size 0, a null source is a source of its own (last in order), repeated rows are drawn alike.
-Sources whose size is 0 have target and rate 0. Extra columns stay; a clash with an output name is an error.
+Sources whose size is 0 have target and rate 0. Extra columns are never read, whatever their names; ``repeated`` gives them back. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,8 +85,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
-    taken = mix(docs.withColumn("_row", row), keep=("_row",), **options)
+    names = {k: options.pop(k, d) for k, d in (("key", "doc_id"), ("text", "text"), ("source", "source"))}
+    rows = docs.select(*(F.col(c).alias(f"_{k}") for k, c in names.items()), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    taken = mix(rows, "_key", "_text", "_source", keep=("_row",), **options)
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     return taken.filter("copies > 0").withColumn("_copy", copies).select("_row.*")
 

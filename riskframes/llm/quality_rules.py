@@ -9,7 +9,7 @@ Everything is DataFrame functions. Rows are exchanged as (host, text digest, lin
 combined before they are exchanged, so a line or host with a third of all rows is one small sum a task.
 
 Inputs: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated rows
-get the same verdict each; extra columns named in ``keep`` stay, a clash with an output name is an error of Spark's.
+get the same verdict each; extra columns are left out but for those in ``keep``, and never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BREAKS, cut, let, words_of
+from ._common import WORD_BREAKS, cut, fresh, let, words_of
 
 #: Rejected texts that may be sent to all executors; beyond, documents are joined with them by a shuffle.
 BROADCAST_KEYS = 200_000
@@ -104,16 +104,17 @@ def judge(
 
 def without_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """``docs`` without the rejected documents; the verdict depends on host and text alone and is joined by these."""
-    rejected = cut(judge_texts(docs, text, host, **limits).filter(~F.col("kept")).select(F.col("host").alias("_host"), F.col("digest").alias("_digest")))
+    h, d = fresh(docs, "_host"), fresh(docs, "_digest")
+    rejected = cut(judge_texts(docs, text, host, **limits).filter(~F.col("kept")).select(F.col("host").alias(h), F.col("digest").alias(d)))
     if rejected.count() <= BROADCAST_KEYS:
         rejected = F.broadcast(rejected)
-    same = F.col(host).eqNullSafe(F.col("_host")) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_digest"))
+    same = F.col(host).eqNullSafe(F.col(h)) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col(d))
     return docs.join(rejected, same, "left_anti")
 
 
 def judge_texts(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70) -> DataFrame:
     """(host, digest, kept) of every distinct text of a host."""
-    rows = cut(measures(docs.withColumn("_none", F.lit(0)), "_none", text, host).select("host", "digest", "lines", "n_words", "n_repeat_words"))
+    rows = cut(measures(docs.select(F.lit(0).alias("_none"), F.col(text).alias("t"), F.col(host).alias("host")), "_none", "t", "host").select("host", "digest", "lines", "n_words", "n_repeat_words"))
     gone = removed_words(rows, max_docs, max_share).withColumnsRenamed({"host": "h", "digest": "d"})
     each = rows.drop("lines").distinct().join(gone, F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("d")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, cut, mix, row_chunks, span_hashes, stream, text_buffers, tidied
+from ._common import U64, cut, fresh, mix, row_chunks, span_hashes, stream, text_buffers, tidied
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 4 << 20
@@ -450,10 +450,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """``docs`` with the remaining text, and its code points in ``size``; bytes of a character that was cut go. Null texts stay null."""
-    mark = docs.withColumn("_null", F.col(text).isNull())
+    null = fresh(docs, "_null")
+    mark = docs.withColumn(null, F.col(text).isNull())
     rows = remove_repeats(mark, key, text, tuple(c for c in mark.columns if c != text), whole_characters=True)
-    left = F.when(~F.col("row._null"), F.col("kept").cast("string"))
-    rows = rows.select("row.*", left.alias(text)).drop("_null")
+    left = F.when(~F.col("row")[null], F.col("kept").cast("string"))
+    rows = rows.select("row.*", left.alias(text)).drop(null)
     if size in docs.columns:
         rows = rows.withColumn(size, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(size)).cast(docs.schema[size].dataType))
     return rows.select(*docs.columns)
