@@ -7,9 +7,11 @@ its own, the same for every document, so that bins still agree with the likeness
 
 Bands of the signature name buckets. Documents with equal sets are one class from the start, so thousands of copies are
 one member of a bucket. Each bucket gives star edges: its centre (the smallest id) to each member, so the number of
-candidates grows with members, not their square. Candidates are checked on their full sets. Members that a checked star leaves
-in different components go to further rounds with new centres, four times as many in each, until no bucket holds
-members that were never compared and aren't connected: no link that shares a bucket is lost.
+candidates grows with members, not their square. Candidates are checked on their full sets. In buckets that the checked stars leave in different components, the other
+members are compared within the join: pairs of different components whose sizes allow a link and whose bit sketches (``BITS`` bins of
+the same kind, one bit each) differ no more than a link's would, with 4.5 deviations to spare; only those come out of the join, and are checked
+on their full sets. So a link that shares a bucket is passed over with a chance below one in 100,000 at the threshold itself, and
+far less above.
 
 Inputs: null and empty texts and texts without words have no set and link with nothing. A null id links with nothing
 and has a null component; it is kept. Rows that share an id are one document, its sets all lead to that id. Equal ids,
@@ -22,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, cut, flatten, list_array, mix, row_chunks, span_hashes, stream, text_buffers, written
+from ._common import U64, cut, fresh, frugal, list_array, mix, release, row_chunks, slices, span_hashes, stream, text_buffers, written
 from .components import components
 
 BINS, BANDS, BAND_ROWS = 128, 32, 4
+BITS = 2048
 CHUNK = 1 << 20
 #: Ids that may be sent to all executors to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -88,40 +91,49 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return np.concatenate(flat), np.concatenate(counts)
 
 
-def _probes(steps: int, bins: int) -> np.ndarray:
-    return (stream(13, steps * bins) % U64(bins)).astype(np.int64).reshape(steps, bins)
-
-
-_PROBE = _probes(4096, BINS)
-
-
-def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One row of BINS values for each non-empty set."""
+def _bins(flat: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """One row of ``bins`` values for each non-empty set: the smallest hash in a bin, or that of the first full bin on the bin's probe sequence."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    slot = owner * BINS + (flat >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    slot = owner * bins + (flat >> U64(65 - bins.bit_length())).astype(np.int64)
     firsts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-    values = np.zeros(len(counts) * BINS, U64)
-    full = np.zeros(len(counts) * BINS, bool)
+    values = np.zeros(len(counts) * bins, U64)
+    full = np.zeros(len(counts) * bins, bool)
     values[slot[firsts]], full[slot[firsts]] = flat[firsts], True
-    values, full = values.reshape(-1, BINS), full.reshape(-1, BINS)
+    values, full = values.reshape(-1, bins), full.reshape(-1, bins)
     todo = np.flatnonzero(~full.all(1) & full.any(1))
     open_ = ~full[todo]
-    for probe in _PROBE:
-        if not len(todo):
-            break
+    step = 0
+    while len(todo) and step < 64 * bins:
+        probe = (mix(np.arange(bins, dtype=U64) + U64(bins * (step + 1) + 13)) % U64(bins)).astype(np.int64)
         hit = open_ & full[todo][:, probe]
         r, c = np.nonzero(hit)
         values[todo[r], c] = values[todo[r], probe[c]]
         open_ &= ~hit
         more = open_.any(1)
         todo, open_ = todo[more], open_[more]
-    for r, row in zip(todo, open_, strict=True):  # not reached in practice: the first full bin from here on
+        step += 1
+    for r, row in zip(todo, open_, strict=True):  # hardly ever: the next full bin
         at = np.flatnonzero(full[r])
         for c in np.flatnonzero(row):
             values[r, c] = values[r, at[np.searchsorted(at, c) % len(at)]]
     return values
 
 
+def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return _bins(flat, counts, BINS)
+
+
+def bit_sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BITS // 64 numbers for each non-empty set: one bit of each of BITS bins."""
+    parts = [np.zeros((0, BITS // 64), U64)]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for i in range(0, len(counts), 128):
+        j = min(i + 128, len(counts))
+        bits = (mix(_bins(flat[ends[i] : ends[j]], counts[i:j], BITS) + U64(3)) & U64(1)).astype(np.uint8)
+        parts.append(np.packbits(bits, axis=1).view("<u8"))
+    return np.concatenate(parts)
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     """BANDS bucket names a row, each from BAND_ROWS values."""
     parts = values.reshape(-1, BANDS, BAND_ROWS)
@@ -135,7 +147,7 @@ def sketch(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, n, set_a, set_b, bands): size of the set, 128 bits that name it, and its bucket names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             flat, counts = shingle_sets(*text_buffers(batch.column(1)), width)
             a, b = np.zeros(len(counts), U64), np.zeros(len(counts), U64)
             some = np.flatnonzero(counts)
@@ -150,14 +162,14 @@ def sketch(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 ["id", "n", "set_a", "set_b", "bands"],
             )
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(frugal(run), "id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
     """(rep, set): the sets, as sorted 64-bit numbers, of the documents named in ``ids`` (rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             flat, counts = shingle_sets(*text_buffers(batch.column(1)), width)
             ends = 8 * np.concatenate([[0], np.cumsum(counts)])
             sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).cast(pa.binary())
@@ -165,11 +177,11 @@ def full_sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame)
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text)).join(wanted, "rep", "left_semi")
-    return rows.mapInArrow(run, "rep bigint, set binary")
+    return rows.mapInArrow(frugal(run), "rep bigint, set binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 200):
         each = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
@@ -181,37 +193,63 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(each, pa.int64())], ["a", "b", "both"])
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Checked links (a, b) between classes. ``members``: (bucket, rep, n) of buckets with two or more classes."""
-    spark = members.sparkSession
-    edges, tried, rest, many = None, None, members, 1
+_WORDS = [f"w{k}" for k in range(BITS // 64)]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 200):
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
+        out = bit_sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(_WORDS)))], ["rep", *_WORDS])
+
+
+def _mixed(rest: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    mixed = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("bucket")
+    return rest.join(mixed, "bucket", "left_semi")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose full sets reach the threshold."""
+    sa, sb = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    both = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "x", "y").mapInArrow(frugal(_shared), "a bigint, b bigint, both bigint")
+    return both.join(pairs, ["a", "b"]).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def links(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Checked links (a, b) between classes.
+
+    ``members``: (bucket, rep, n) of buckets with two or more classes; ``names``: (rep, bands), the buckets of each class in the same order. A pair
+    comes out of the first bucket that both share; where that has one of them as its centre, it was checked as a star.
+    """
     long_enough = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    while True:
-        if many == 1:  # the first centre by a sum that is combined before it is exchanged
-            centres = rest.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))).alias("c")).select("bucket", "c.*")
-        else:
-            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-            centres = rest.withColumn("nth", nth).filter(F.col("nth") <= many).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-        other = rest.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-        pairs = other.join(centres, "bucket").filter(F.col("a") < F.col("b")).filter(F.col("pa") != F.col("pb")).filter(long_enough)
-        pairs = pairs.select("a", "b", "na", "nb").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        sa, sb = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-        both = pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "x", "y").mapInArrow(_shared, "a bigint, b bigint, both bigint")
-        found = both.join(pairs, ["a", "b"]).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-        found = cut(found if edges is None else edges.union(found))
-        edges = found
-        parts = components(edges).withColumnRenamed("component", "found")
-        rest = rest.join(centres.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        rest = rest.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("found", "rep").alias("part"))
-        mixed = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("bucket")
-        rest = cut(rest.join(mixed, "bucket", "left_semi"))
-        if rest.isEmpty():
-            return edges
-        many *= 4
+    centres = cut(members.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"))).alias("c")).select("bucket", "c.*"))
+    other = members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    stars = cut(other.join(centres, "bucket").filter((F.col("a") < F.col("b")) & long_enough).select("a", "b", "na", "nb").distinct())
+    edges = cut(_checked(stars, sets, percent))
+    parts = components(edges)
+    release(members.sparkSession)
+    rest = members.join(centres.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
+    rest = rest.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    rest = cut(_mixed(rest))
+    if rest.isEmpty():
+        return edges
+    release(members.sparkSession)
+    sketches = cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(frugal(_sketched), "rep bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)))
+    rows = rest.join(sketches.join(names, "rep"), "rep")
+    a = rows.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("bands").alias("ka"), *(F.col(w).alias(f"a{w}") for w in _WORDS))
+    b = rows.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("bands").alias("kb"), *(F.col(w).alias(f"b{w}") for w in _WORDS))
+    differ = F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0")))
+    for w in _WORDS[1:]:
+        differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
+    share = (1 - percent / 100) / 2  # of bits that differ at the threshold
+    most = BITS * share + 4.5 * (BITS * share * (1 - share)) ** 0.5
+    first = F.get(F.array_intersect("ka", "kb"), 0) == F.col("bucket")
+    pairs = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & long_enough & (differ <= most) & first)
+    pairs = cut(pairs.select("a", "b", "na", "nb").join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    del rows, a, b
+    release(members.sparkSession)
+    return edges.union(_checked(pairs, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,9 +259,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     classes = cut(named.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     every = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = every.groupBy("bucket").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).filter("p != q").select("bucket")
-    members = cut(every.join(shared, "bucket", "left_semi").distinct().withColumn("part", F.col("rep")))
+    members = cut(every.join(shared, "bucket", "left_semi").distinct())
     sets = written(full_sets(docs, key, text, width, members.select("rep").distinct()).dropDuplicates(["rep"]), compression="none")
-    edges = links(members, sets, percent)
+    release(docs.sparkSession)
+    edges = cut(links(members, classes.select("rep", "bands"), sets, percent))
     by_set = named.select("id", "set_a", "set_b", "n").join(classes.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
     copies = by_set.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = rows.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
@@ -241,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group; rows with a null key stay."""
-    gone = cut(near_duplicates(docs, key=key, text=text, **options).filter(~F.col("kept")).select(F.col(key).alias("_gone")).distinct())
+    name = fresh(docs, "_gone")
+    gone = cut(near_duplicates(docs, key=key, text=text, **options).filter(~F.col("kept")).select(F.col(key).alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
