@@ -68,13 +68,13 @@ def co_crash_thresholds(outcomes: DataFrame, q: float) -> DataFrame:
 
 def co_crash(scenarios: DataFrame, thresholds: DataFrame, by: list[str], fraction: float) -> DataFrame:
     """(by..., co_crash): share of scenarios in which at least ``fraction`` of the assets are at or below their threshold."""
-    hit = scenarios.join(thresholds, "asset").groupBy(*by, "scenario").agg(F.avg((F.col("g") <= F.col("threshold")).cast("double")).alias("m"))
-    return hit.groupBy(*by).agg(F.avg((F.col("m") >= fraction).cast("double")).alias("co_crash"))
+    hit = scenarios.join(thresholds, "asset").groupBy(*by, "scenario").agg(F.avg((F.col("g") <= F.col("threshold")).cast("double")).alias("_m"))
+    return hit.groupBy(*by).agg(F.avg((F.col("_m") >= fraction).cast("double")).alias("co_crash"))
 
 
 def realized_co_crash(outcomes: DataFrame, thresholds: DataFrame, by: list[str], fraction: float) -> DataFrame:
-    hit = outcomes.join(thresholds, "asset").groupBy(*by).agg(F.avg((F.col("g") <= F.col("threshold")).cast("double")).alias("m"))
-    return hit.select(*by, (F.col("m") >= fraction).alias("realized"))
+    hit = outcomes.join(thresholds, "asset").groupBy(*by).agg(F.avg((F.col("g") <= F.col("threshold")).cast("double")).alias("_m"))
+    return hit.select(*by, (F.col("_m") >= fraction).alias("realized"))
 
 
 def energy_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], beta: float = 1.0, seed: int = 17) -> DataFrame:
@@ -82,28 +82,28 @@ def energy_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], beta:
 
     All pairs, each with itself included, while their number is at most ``PAIR_LIMIT``; else that many pairs by counter randomness.
     """
-    wide = scenarios.groupBy(*by, "scenario").agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("x"))
-    y = outcomes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("y"))
+    wide = scenarios.groupBy(*by, "scenario").agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("_x"))
+    y = outcomes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("_y"))
     power = lambda a, b: F.pow(F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p["g"] - q["g"], F.lit(2))), F.lit(0.0), lambda s, v: s + v)), F.lit(beta))
-    near = wide.join(y, by).groupBy(*by).agg(F.avg(power(F.col("x"), F.col("y"))).alias("near"))
+    near = wide.join(y, by).groupBy(*by).agg(F.avg(power(F.col("_x"), F.col("_y"))).alias("_near"))
     numbered = wide.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("scenario")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     counts = numbered.select(*by, "_n").distinct()
     full = F.col("_n") * F.col("_n") <= PAIR_LIMIT
     k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(full, F.col("_n") * F.col("_n") - 1).otherwise(PAIR_LIMIT - 1).cast("bigint")))
     pairs = counts.withColumn("_k", k)  # bounded a forecast
     pairs = pairs.select(*by, F.when(full, F.floor(F.col("_k") / F.col("_n"))).otherwise(integer("_n", seed, "_k", F.lit("l"))).alias("_l"), F.when(full, F.col("_k") % F.col("_n")).otherwise(integer("_n", seed, "_k", F.lit("r"))).alias("_r"))
-    left, right = numbered.select(*by, F.col("_i").cast("bigint").alias("_l"), F.col("x").alias("a")), numbered.select(*by, F.col("_i").cast("bigint").alias("_r"), F.col("x").alias("b"))
-    far = pairs.join(left, [*by, "_l"]).join(right, [*by, "_r"]).groupBy(*by).agg(F.avg(power(F.col("a"), F.col("b"))).alias("far"))
-    return near.join(far, by).select(*by, (F.col("near") - 0.5 * F.col("far")).alias("energy_score"))
+    left, right = numbered.select(*by, F.col("_i").cast("bigint").alias("_l"), F.col("_x").alias("_a")), numbered.select(*by, F.col("_i").cast("bigint").alias("_r"), F.col("_x").alias("_b"))
+    far = pairs.join(left, [*by, "_l"]).join(right, [*by, "_r"]).groupBy(*by).agg(F.avg(power(F.col("_a"), F.col("_b"))).alias("_far"))
+    return near.join(far, by).select(*by, (F.col("_near") - 0.5 * F.col("_far")).alias("energy_score"))
 
 
 def variogram_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], p: float = 0.5) -> DataFrame:
     """(by..., variogram_score): over asset pairs, squared difference of |y_i - y_j|^p and its mean over scenarios."""
-    i, j = scenarios.select(*by, "scenario", F.col("asset").alias("i"), F.col("g").alias("gi")), scenarios.select(*by, "scenario", F.col("asset").alias("j"), F.col("g").alias("gj"))
-    mean = i.join(j, [*by, "scenario"]).filter("i < j").groupBy(*by, "i", "j").agg(F.avg(F.pow(F.abs(F.col("gi") - F.col("gj")), F.lit(p))).alias("m"))
-    a, b = outcomes.select(*by, F.col("asset").alias("i"), F.col("g").alias("yi")), outcomes.select(*by, F.col("asset").alias("j"), F.col("g").alias("yj"))
-    both = mean.join(a, [*by, "i"]).join(b, [*by, "j"])
-    return both.groupBy(*by).agg(F.sum(F.pow(F.pow(F.abs(F.col("yi") - F.col("yj")), F.lit(p)) - F.col("m"), F.lit(2))).alias("variogram_score"))
+    i, j = scenarios.select(*by, "scenario", F.col("asset").alias("_i"), F.col("g").alias("_gi")), scenarios.select(*by, "scenario", F.col("asset").alias("_j"), F.col("g").alias("_gj"))
+    mean = i.join(j, [*by, "scenario"]).filter("_i < _j").groupBy(*by, "_i", "_j").agg(F.avg(F.pow(F.abs(F.col("_gi") - F.col("_gj")), F.lit(p))).alias("_m"))
+    a, b = outcomes.select(*by, F.col("asset").alias("_i"), F.col("g").alias("_yi")), outcomes.select(*by, F.col("asset").alias("_j"), F.col("g").alias("_yj"))
+    both = mean.join(a, [*by, "_i"]).join(b, [*by, "_j"])
+    return both.groupBy(*by).agg(F.sum(F.pow(F.pow(F.abs(F.col("_yi") - F.col("_yj")), F.lit(p)) - F.col("_m"), F.lit(2))).alias("variogram_score"))
 
 
 def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:
