@@ -97,6 +97,11 @@ class Powers:
         return self.up, self.down
 
 
+    def trim(self, most: int = 1 << 17) -> None:
+        if len(self.up) > most:
+            self.up, self.down = self.up[:most].copy(), self.down[:most].copy()
+
+
 POWERS = Powers()
 
 
@@ -147,6 +152,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def tidy() -> None:
     """Give freed memory back: workers stay for later tasks, and an executor's limit counts all of them."""
+    POWERS.trim()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -140,7 +140,7 @@ class WordBpe:
                 token = out.pop()
                 at -= width[token]
                 token = self.prefix(token)
-        if len(fits) > 150_000:
+        if len(fits) > 60_000:
             fits.clear()
         return out
 
@@ -257,3 +257,18 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), out], [*others, decoded])
 
     return df.mapInArrow(frugal(run), schema)
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` by one worker a task, which holds the vocabulary once."""
+    others = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower(), decoded.lower())]
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, decoder = load(path), load_table(path)
+        for batch in slices(batches):
+            flat, counts = bpe.encode(batch.column(text).to_pylist())
+            arrays = [*(batch.column(c) for c in others), list_array(flat, counts, pa.int32()), decoder.decode(flat.astype(np.int64), counts)]
+            yield pa.RecordBatch.from_arrays(arrays, [*others, ids, decoded])
+
+    return df.mapInArrow(frugal(run), schema)

@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from ._common import U64, cut, fresh, mix, row_chunks, span_hashes, stream, text_buffers, tidied
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 4 << 20
-CHUNK = 1 << 20
+SHARD_BYTES = 2 << 20
+CHUNK = 1 << 19
 _M = stream(21, 8) | U64(1)
 _BYTES = stream(22, 256)
 

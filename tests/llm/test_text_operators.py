@@ -52,6 +52,8 @@ def test_bpe_is_the_library(docs):
     path = tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     rows = bpe.bpe_decode(bpe.bpe_encode(docs.withColumn("t", F.col("text")), path), path).collect()
+    once = bpe.bpe_round_trip(docs.withColumn("t", F.col("text")), path).collect()
+    assert sorted(once, key=lambda r: r["doc_id"]) == sorted(rows, key=lambda r: r["doc_id"])
     assert len(rows) == docs.count()
     for r in rows:
         ids = library.encode(r["t"] or "", add_special_tokens=False).ids
