@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each taken document, and a digest of what they decode to."""
     path = tokenizer_path("word_bpe_49k.json")
-    rows = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    rows = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
