@@ -77,16 +77,15 @@ def scm_controlled_effect(spark, d):
 
 def scm_misspecification(spark, d):
     """Errors of misspecified models, each fitted to the same factual paths by abduction."""
-    truth = cf.effect(_long(spark, DO["reference"]), _long(spark, DO["treated"]), "volatility")
     exo = _exo(spark)
     seen = cf.simulate(exo, MODEL).join(exo.select("path", "z"), "path")
     out = None
-    for name, model in cf.misspecified(MODEL).items():
-        own = cf.abduct(seen, model).join(exo.select("path", "z"), "path")
-        pair = [cf.long_paths(cf.simulate(own, model, DO[k])) for k in ("reference", "treated")]
-        row = cf.effect_error(truth, cf.effect(*pair, "volatility")).withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out.select("model", *[_r(c) for c in ("ate_error", "path_rmse", "tail_error")])
+    for name, model in {"truth": MODEL, **cf.misspecified(MODEL)}.items():
+        own = exo if name == "truth" else cf.abduct(seen, model).join(exo.select("path", "z"), "path")
+        for arm, key in (("factual", "reference"), ("counterfactual", "treated")):
+            one = cf.long_paths(cf.simulate(own, model, DO[key])).withColumns({"model_id": F.lit(name), "effect_type": F.lit("total"), "arm": F.lit(arm)})
+            out = one if out is None else out.unionByName(one)
+    return cf.effects(out, ("equity", "volatility")).select("model_id", "outcome", *[_r(c) for c in ("ate_terminal", "cumulative_ate", "tail_effect")])
 
 
 NAMES = "scm_regimes scm_factual scm_intervened scm_controlled scm_abduction scm_aap_error scm_effects scm_effect_summary scm_controlled_effect scm_misspecification".split()

@@ -204,6 +204,23 @@ def effect(factual: DataFrame, counterfactual: DataFrame, outcome: str, q: float
     return path, ends.crossJoin(tail).select("ate_terminal", "cumulative_ate", (F.col("ec") - F.col("ef")).alias("tail_effect"))
 
 
+def effects(paths: DataFrame, outcomes: tuple[str, ...], q: float = 0.95) -> DataFrame:
+    """(model_id, effect_type, outcome, ate_terminal, cumulative_ate, tail_effect) of long paths with model_id, effect_type and arm.
+
+    Arms are ``factual`` and ``counterfactual``; all models, types and outcomes go through one aggregate. Losses are falls, and rises of volatility.
+    """
+    from .risk import expected_shortfall
+
+    by = ["model_id", "effect_type", "outcome"]
+    cells = paths.unpivot([*by[:2], "arm", "path", "t"], list(outcomes), "outcome", "x")
+    mean = cells.groupBy(*by, "t").agg(F.avg(F.when(F.col("arm") == "counterfactual", F.col("x"))).alias("c"), F.avg(F.when(F.col("arm") == "factual", F.col("x"))).alias("f"))
+    ends = mean.groupBy(*by).agg(F.max_by(F.col("c") - F.col("f"), "t").alias("ate_terminal"), F.sum(F.col("c") - F.col("f")).alias("cumulative_ate"))
+    sign = F.when(F.col("outcome") == "volatility", 1.0).otherwise(-1.0)
+    totals = cells.groupBy(*by, "arm", "path").agg(F.sum("x").alias("s")).withColumn("loss", sign * F.col("s"))
+    tails = expected_shortfall(totals, q, [*by, "arm"]).groupBy(*by).pivot("arm", ["factual", "counterfactual"]).agg(F.first("expected_shortfall"))
+    return ends.join(tails, by).select(*by, "ate_terminal", "cumulative_ate", (F.col("counterfactual") - F.col("factual")).alias("tail_effect"))
+
+
 def effect_error(truth: tuple[DataFrame, DataFrame], model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """One row: absolute error of the terminal effect, RMSE of the mean paths, absolute error of the tail effect."""
     t, m = truth[0].withColumnRenamed("mean_effect", "a"), model[0].withColumnRenamed("mean_effect", "b")

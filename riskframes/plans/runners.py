@@ -99,12 +99,10 @@ def counterfactual_evaluation(spark: SparkSession, paths: int, horizon: int, see
     for name, (model, own) in models.items():
         noise = own if own is not None else counterfactual.abduct(seen, model).join(exo.select("path", "z"), "path")
         for kind, pair in (("total", ("reference", "treated")), ("controlled", ("controlled_reference", "controlled_treated"))):
-            a, b = (counterfactual.long_paths(counterfactual.simulate(noise, model, do[k])) for k in pair)
-            for outcome in outcomes:
-                sign = 1.0 if outcome == "volatility" else -1.0
-                row = counterfactual.effect(a, b, outcome, loss_sign=sign)[1].select(F.lit(name).alias("model_id"), F.lit(outcome).alias("outcome"), F.lit(kind).alias("effect_type"), "*")
-                out = row if out is None else out.unionByName(row)
-    return out
+            for arm, key in zip(("factual", "counterfactual"), pair, strict=True):
+                one = counterfactual.long_paths(counterfactual.simulate(noise, model, do[key])).withColumns({"model_id": F.lit(name), "effect_type": F.lit(kind), "arm": F.lit(arm)})
+                out = one if out is None else out.unionByName(one)
+    return counterfactual.effects(out.persist(), outcomes)
 
 
 def gate(passed: DataFrame) -> None:

@@ -19,6 +19,7 @@ def local_session(name: str = "riskframes", cores: str = "*", partitions: int =
         .appName(name)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
