@@ -69,6 +69,7 @@ def t_quantile(p: np.ndarray, df: float) -> np.ndarray:
     return (low + high) / 2
 
 
+@np.errstate(all="ignore")  # steps that overflow end the search; what is reached is checked
 def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-8, most: int = 100, normal=None) -> np.ndarray:
     """Minimise c.x with a.x = b and x >= 0 by Mehrotra's predictor-corrector steps on the normal equations.
 
@@ -99,12 +100,16 @@ def solve_lp(c: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-
             return (rc - x * ds) / s, dy, ds
 
         dx, dy, ds = step(-x * s)
+        if not np.isfinite(dx).all() or not np.isfinite(ds).all():
+            break  # as far as the precision goes; what is reached is checked below
         px, pd = _reach(x, dx), _reach(s, ds)
         sigma = ((x + px * dx) @ (s + pd * ds) / (n * gap)) ** 3
         dx, dy, ds = step(sigma * gap - x * s - dx * ds)
+        if not np.isfinite(dx).all() or not np.isfinite(ds).all():
+            break
         px, pd = 0.995 * _reach(x, dx), 0.995 * _reach(s, ds)
-        x, y, s = x + px * dx, y + pd * dy, s + pd * ds
-    if np.abs(b - a @ x).max() > 1e-5 * scale:
+        x, y, s = np.maximum(x + px * dx, 1e-15), y + pd * dy, np.maximum(s + pd * ds, 1e-15)
+    if not (np.abs(b - a @ x).max() <= 1e-5 * scale and x @ s / n <= 1e-5 * scale):
         raise ValueError("the linear program has no feasible solution, or none was found")
     return x
 

@@ -74,7 +74,10 @@ def solve_cvar(returns: np.ndarray, level: float, lower=0.0, upper=1.0, previous
     if radius > 0:
         row({"w": -np.eye(n), "top": np.ones((n, 1)), "slack_top": -np.eye(n)}, lower)
     a = np.vstack(rows)
-    x = solve_lp(c, a, np.concatenate(right), normal=_by_scenario(a, s, names))
+    try:
+        x = solve_lp(c, a, np.concatenate(right), normal=_by_scenario(a, s, names))
+    except (ValueError, np.linalg.LinAlgError):  # degenerate programs need the full equations
+        x = solve_lp(c, a, np.concatenate(right))
     w = np.clip(x[names["w"]] + lower, lower, upper)
     w = w / w.sum()
     return decomposed(returns, w, level, previous, cost, radius)
