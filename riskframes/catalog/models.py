@@ -91,8 +91,8 @@ def switching_paths(spark, d):
 SPECS = [{"model_id": k, "kind": k, **({"block": 4} if k == "moving_block" else {})} for k in generators.KINDS]
 
 
-def _runs(spark, d, specs=SPECS, most=3):
-    return generators.run(_panel(spark, d), _origins(spark, d).limit(most), specs, LOOK, 40, H, 51)
+def _runs(spark, d, specs=SPECS):
+    return generators.run(_panel(spark, d), _origins(spark, d), specs, LOOK, 40, H, 51)
 
 
 def gen_all_models(spark, d):
@@ -179,14 +179,14 @@ def decision_summary_equal_weight(spark, d):
 
 
 def decision_sequence(spark, d):
-    model = _runs(spark, d, [SPECS[0]], 4).select("origin_pos", "scenario", "asset", "g")
-    _, summary = runners.decision_evaluation(_panel(spark, d), _origins(spark, d).limit(4), model, 60, H, 0.9, [0.001], 0.8, 0.001, 0.6)
+    model = _runs(spark, d, [SPECS[0]]).select("origin_pos", "scenario", "asset", "g")
+    _, summary = runners.decision_evaluation(_panel(spark, d), _origins(spark, d), model, 60, H, 0.9, [0.001], 0.8, 0.001, 0.6)
     return summary
 
 
 def cvar_weights(spark, d):
-    model = _runs(spark, d, [SPECS[0]], 2).select("origin_pos", "scenario", "asset", "g")
-    held, _ = runners.decision_evaluation(_panel(spark, d), _origins(spark, d).limit(2), model, 60, H, 0.9, [0.001], None, 0.0, 0.6)
+    model = _runs(spark, d, [SPECS[0]]).select("origin_pos", "scenario", "asset", "g")
+    held, _ = runners.decision_evaluation(_panel(spark, d), _origins(spark, d), model, 60, H, 0.9, [0.001], None, 0.0, 0.6)
     return held.select("strategy", "origin_pos", "asset", F.round("target", 4).alias("target"), F.round("cvar", 6).alias("cvar"))
 
 

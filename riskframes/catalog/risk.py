@@ -68,7 +68,7 @@ def gen_moving_block(spark, d):
 
 
 def gen_ewma_fhs(spark, d):
-    out = scenarios.filtered_historical(_panel(spark, d), _origins(spark, d).limit(3), LOOK, S, H, 0.94, 13)
+    out = scenarios.filtered_historical(_panel(spark, d), _origins(spark, d), LOOK, S, H, 0.94, 13)
     return out.groupBy("origin_pos", "asset", "step").agg(F.count("*").alias("n"), F.round(F.min("r"), 4).alias("least"), F.round(F.avg("r"), 4).alias("mean"))
 
 
