@@ -8,10 +8,9 @@ its own, the same for every document, so that bins still agree with the likeness
 Bands of the signature name buckets. Documents with equal sets are one class from the start, so thousands of copies are
 one member of a bucket. Each bucket gives star edges: its centre (the smallest id) to each member, so the number of
 candidates grows with members, not their square. Candidates are checked on their full sets. In buckets that the checked stars leave in different components, the other
-members are compared within the join: pairs of different components whose sizes allow a link and whose bit sketches (``BITS`` bins of
-the same kind, one bit each) differ no more than a link's would, with 4.5 deviations to spare; only those come out of the join, and are checked
-on their full sets. So a link that shares a bucket is passed over with a chance below one in 100,000 at the threshold itself, and
-far less above.
+members are compared within the join: pairs of different components whose sizes allow a link and whose sketches (``BITS`` bits, each
+the parity of the hashes that fall on it) differ in no more bits than sets of their sizes may in hashes; only those come out of the join,
+and are checked on their full sets. At least as many hashes differ as bits, so no link that shares a bucket is passed over.
 
 Inputs: null and empty texts and texts without words have no set and link with nothing. A null id links with nothing
 and has a null component; it is kept. Rows that share an id are one document, its sets all lead to that id. Equal ids,
@@ -124,12 +123,16 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def bit_sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """BITS // 64 numbers for each non-empty set: one bit of each of BITS bins."""
+    """BITS // 64 numbers for each set: bit i is odd if an odd number of the set's hashes fall on it.
+
+    Each hash that only one of two sets holds turns one bit, so no more bits differ than hashes do.
+    """
     parts = [np.zeros((0, BITS // 64), U64)]
     ends = np.concatenate([[0], np.cumsum(counts)])
     for i in range(0, len(counts), 128):
         j = min(i + 128, len(counts))
-        bits = (mix(_bins(flat[ends[i] : ends[j]], counts[i:j], BITS) + U64(3)) & U64(1)).astype(np.uint8)
+        slot = np.repeat(np.arange(j - i), counts[i:j]) * BITS + (mix(flat[ends[i] : ends[j]] + U64(3)) % U64(BITS)).astype(np.int64)
+        bits = (np.bincount(slot, minlength=(j - i) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
         parts.append(np.packbits(bits, axis=1).view("<u8"))
     return np.concatenate(parts)
 
@@ -242,10 +245,9 @@ def links(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int) -
     differ = F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0")))
     for w in _WORDS[1:]:
         differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
-    share = (1 - percent / 100) / 2  # of bits that differ at the threshold
-    most = BITS * share + 4.5 * (BITS * share * (1 - share)) ** 0.5
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))  # holds for every pair that reaches the threshold
     first = F.get(F.array_intersect("ka", "kb"), 0) == F.col("bucket")
-    pairs = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & long_enough & (differ <= most) & first)
+    pairs = a.join(b, "bucket").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & long_enough & near & first)
     pairs = cut(pairs.select("a", "b", "na", "nb").join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     del rows, a, b
     release(members.sparkSession)

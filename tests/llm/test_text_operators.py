@@ -412,3 +412,27 @@ def test_empty_tables(spark, docs):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
     with pytest.raises(ValueError):
         ordinal.fit_on(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+
+
+def test_minhash_links_beside_a_star_are_all_found(spark):
+    """Pairs of small sets at exactly 0.8 (4 of 5, 8 of 10, 16 of 20) in a bucket whose centre is like none of them."""
+    r = np.random.default_rng(5)
+    members, sets, want = [(1, 0, 5)], [(0, np.sort(r.integers(1, 2**63, 5, dtype=np.uint64)).tobytes())], set()
+    for k, (both, n) in enumerate([(4, 5), (8, 10), (16, 20)] * 30):
+        x = r.integers(1, 2**63, n, dtype=np.uint64)
+        for rep, s in ((2 * k + 1, x), (2 * k + 2, x[:both])):
+            members.append((1, rep, len(s)))
+            sets.append((rep, np.sort(s).tobytes()))
+        want.add((2 * k + 1, 2 * k + 2))
+    members, names = spark.createDataFrame(members, "bucket long, rep long, n long"), spark.createDataFrame([(x[1], [1]) for x in members], "rep long, bands array<long>")
+    got = minhash.links(members, names, spark.createDataFrame(sets, "rep long, set binary"), 80).collect()
+    assert {(x["a"], x["b"]) for x in got} == want
+
+
+def test_minhash_sketches_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(6)
+    for n in (1, 5, 300, 5000):
+        x, y = (np.unique(r.integers(1, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([x[: n // 2], y[: n // 2 + 1]]))
+        a, b = minhash.bit_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+        assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
