@@ -16,8 +16,8 @@ from riskframes.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules.without_rejected(docs)
+    """Documents that pass the quality rules, without the lines above the limits; ``n_chars`` is of the text that is left."""
+    return quality_rules.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,12 +54,16 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, none).otherwise(found)
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[\x09-\x0D\x20]+", " ")))
+
+
 def measures(docs: DataFrame, key: str, text: str, host: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kept columns, host, digest of the text, the base measures, lines as hash and words)."""
     t = F.coalesce(F.col(text), F.lit(""))
     has_word = r"[^\x09-\x0D\x20]"
     line = lambda x: F.struct(
-        F.xxhash64(F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), r"[\x09-\x0D\x20]+", " "))).alias("line"),
+        line_hash(x).alias("line"),
         F.size(words_of(x)).alias("words"),
     )
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(has_word))
@@ -72,15 +76,20 @@ def measures(docs: DataFrame, key: str, text: str, host: str, keep: tuple[str, .
         F.col("_l.dup").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.each").alias("lines"))
 
 
-def removed_words(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, digest, removed): words in lines above the limits of each distinct text of a host that has such lines."""
-    lines = rows.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.line", "l.words")
-    each = lines.groupBy("host", "digest", "line").agg(F.min("words").alias("words"), F.count("*").alias("times"))
+def above_limits(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(h, l): host and hash of each line above the limits."""
+    each = rows.select("host", "digest", F.explode("lines.line").alias("line")).distinct()
     hosts = rows.groupBy("host").agg(F.count_distinct("digest").alias("host_texts"))
     counts = each.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > max_docs)
     h = F.col("h")
     above = counts.withColumnRenamed("host", "h").join(hosts, h.eqNullSafe(F.col("host"))).filter(F.col("texts") > F.col("host_texts") * F.lit(max_share))
-    above = above.select("h", F.col("line").alias("l"))
+    return above.select("h", F.col("line").alias("l"))
+
+
+def removed_words(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(host, digest, removed): words in lines above the limits of each distinct text of a host that has such lines."""
+    lines = rows.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.line", "l.words")
+    h, above = F.col("h"), above_limits(rows, max_docs, max_share)
     hit = lines.join(above, F.col("host").eqNullSafe(h) & (F.col("line") == F.col("l")))
     copies = rows.groupBy("host", "digest").agg(F.count("*").alias("copies"))
     total = hit.groupBy("host", "digest").agg(F.sum("words").alias("removed_all")).withColumnsRenamed({"host": "h", "digest": "d"})
@@ -112,6 +121,26 @@ def without_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return docs.join(rejected, same, "left_anti")
 
 
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, size: str | None = "n_chars", **limits) -> DataFrame:
+    """``docs`` without the rejected documents, and their texts without the lines above the limits; ``size`` is renewed where a text changes."""
+    rows = cut(measures(docs.select(F.lit(0).alias("_none"), F.col(text).alias("t"), F.col(host).alias("host")), "_none", "t", "host").select("host", "digest", "lines"))
+    h, name = fresh(docs, "_host"), fresh(docs, "_lines")
+    above = cut(above_limits(rows, max_docs, max_share))
+    hosts = above.groupBy("h").agg(F.collect_set("l").alias(name)).withColumnRenamed("h", h)
+    if above.count() <= BROADCAST_KEYS:
+        hosts = F.broadcast(hosts)
+    kept = without_rejected(docs, text=text, host=host, max_docs=max_docs, max_share=max_share, **limits)
+    joined = kept.join(hosts, F.col(host).eqNullSafe(F.col(h)), "left")
+    lines, has_word = F.split(F.col(text), "\n"), r"[^\x09-\x0D\x20]"
+    found = F.array_intersect(F.transform(F.filter(lines, lambda x: x.rlike(has_word)), line_hash), F.col(name))
+    left = let(found, lambda gone: F.when(F.size(gone) > 0, F.array_join(F.filter(lines, lambda x: ~(x.rlike(has_word) & F.array_contains(gone, line_hash(x)))), "\n")))
+    joined = joined.withColumn(name, left)
+    new = {text: F.coalesce(F.col(name), F.col(text))}
+    if size in docs.columns:
+        new[size] = F.when(F.col(name).isNull(), F.col(size)).otherwise(F.length(name).cast(docs.schema[size].dataType))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def judge_texts(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70) -> DataFrame:
     """(host, digest, kept) of every distinct text of a host."""
     rows = cut(measures(docs.select(F.lit(0).alias("_none"), F.col(text).alias("t"), F.col(host).alias("host")), "_none", "t", "host").select("host", "digest", "lines", "n_words", "n_repeat_words"))

@@ -436,3 +436,14 @@ def test_minhash_sketches_differ_in_no_more_bits_than_sets():
         y = np.unique(np.concatenate([x[: n // 2], y[: n // 2 + 1]]))
         a, b = minhash.bit_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
         assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
+
+
+def test_quality_rules_take_lines_out(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, f"Share  this PAGE\n{body(k)}\n\n share this page\nend {k}", "a", 7) for k in range(21)] + [(30, f"share this page\n{body(30)}", "b", 9), (31, None, "a", 0), (32, f"{body(32)}\nx", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = quality_rules.cleaned(df)
+    assert out.columns == df.columns
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in out.collect()}
+    want = {k: f"{body(k)}\n\nend {k}" for k in range(21)}
+    assert got == {k: (t, len(t)) for k, t in want.items()} | {30: (rows[21][1], 9), 32: (rows[23][1], 5)}
