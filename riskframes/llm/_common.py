@@ -66,11 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, elementwise."""
     x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
+    half = x >> U64(30)
+    x ^= half
     x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
+    np.right_shift(x, U64(27), out=half)
+    x ^= half
     x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+    np.right_shift(x, U64(31), out=half)
+    x ^= half
     return x
 
 
@@ -80,37 +83,20 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int = 0x9E3779B97F4A7C15 | 1) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, step in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, step, U64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=U64))
-        return self.up, self.down
-
-
-    def trim(self, most: int = 1 << 17) -> None:
-        if len(self.up) > most:
-            self.up, self.down = self.up[:most].copy(), self.down[:most].copy()
-
-
-POWERS = Powers()
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run values[start:end], equal for equal runs wherever they stand."""
-    up, down = POWERS.upto(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each run values[start:end], equal for equal runs wherever they stand; starts ascend, runs don't overlap.
+
+    Each value is mixed with its place in the run before the sum, so no arithmetic structure of the text reaches the hash
+    (a polynomial modulo 2**64 gives equal hashes to some unequal runs, whatever its base).
+    """
+    n = len(values)
+    if not len(starts):
+        return np.zeros(0, U64)
+    place = np.arange(n, dtype=np.int64)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, n)))
+    total = np.zeros(n + 1, U64)
+    np.cumsum(mix(values ^ (place.astype(U64) * U64(0xD1342543DE82EF95))), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +138,6 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def tidy() -> None:
     """Give freed memory back: workers stay for later tasks, and an executor's limit counts all of them."""
-    POWERS.trim()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -15,6 +15,7 @@ passed through; one that has the name of an output gives way to it. Repeated row
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,6 +33,8 @@ from .pretoken import Memo, encode_texts
 
 END = "</w>"
 STOP = ""  # one character for the word end, so that it can't be taken for text
+#: Latin, its signs and marks, Greek without the capital sigma (Python looks at its neighbours), Cyrillic, general punctuation.
+_SETTLED = re.compile("[\u0000-\u024f\u0300-\u036f\u0370-\u0377\u037a-\u037f\u0384-\u03a1\u03a4-\u052f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20ac]*")
 _loaded: dict[str, "WordBpe"] = {}
 _tables: dict[str, "OffsetTable"] = {}
 
@@ -67,6 +70,7 @@ class WordBpe:
         self.bytes = _byte_letters()
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
+        self.normalizer = None
         self.memo = Memo(lambda words: [self.encode_piece(w) for w in words], 600_000)
 
     @staticmethod
@@ -144,13 +148,17 @@ class WordBpe:
             fits.clear()
         return out
 
-    @staticmethod
-    def normal(text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # Python looks at a sigma's neighbours; the file's rule doesn't
-                return "".join([c.lower() for c in text])
-        return text.lower()
+    def normal(self, text: str) -> str:
+        """Composed and lowered as the file says. Python does so for the scripts in ``_SETTLED``; other text goes through the library, whose version of Unicode counts."""
+        if text.isascii():
+            return text.lower()
+        if _SETTLED.fullmatch(text):
+            return unicodedata.normalize("NFC", text).lower()
+        if self.normalizer is None:
+            from tokenizers import normalizers
+
+            self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        return self.normalizer.normalize_str(text)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""

@@ -2,35 +2,37 @@
 
 Both public byte-pair vocabularies split a text into pieces by the class of its characters (letter, number,
 space, other) and encode each piece by itself. Here the split runs over code points in numpy, each piece gets
-a 64-bit hash, and only pieces that the worker hasn't met are encoded.
+a 64-bit hash, and only pieces that the worker hasn't met are encoded. The hash only finds a piece: its bytes are
+compared with those of the piece found, and where they differ the piece is encoded by itself.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from ._common import U64, mix, row_chunks, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 APOSTROPHE = 39
 CHUNK = 1 << 19
 _classes: np.ndarray | None = None
 
 
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point, by the library's own expressions, so that both follow one version of Unicode."""
     global _classes
     if _classes is None:
-        kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-        kinds = np.array(kinds)
+        from tokenizers import Regex, pre_tokenizers
+
+        points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+        text = points.astype("<u4").tobytes().decode("utf-32-le")
         out = np.full(0x110000, OTHER, np.uint8)
-        out[kinds == "L"] = LETTER
-        out[kinds == "N"] = NUMBER
-        out[WHITE_SPACE] = SPACE
+        for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (lo, hi) in pre_tokenizers.Split(Regex(name), "removed", invert=True).pre_tokenize_str(text):
+                out[points[lo:hi]] = kind
         _classes = out
     return _classes
 
@@ -76,43 +78,61 @@ def pieces(points: np.ndarray, firsts: np.ndarray, spaced: bool) -> tuple[np.nda
 
 
 class Memo:
-    """Ids by the hash of a piece: sorted arrays, a young one that takes new pieces and a main one that it joins now and then.
+    """Ids by piece: hashes in sorted arrays, a young one that takes new pieces and a main one that it joins now and then.
 
-    It starts afresh when it holds more than ``most`` pieces.
+    The bytes of each piece are kept, and a hash counts as known only for a piece with the same bytes. It starts
+    afresh when it holds more than ``most`` pieces or ``most_bytes`` bytes of them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000, most_bytes: int = 16 << 20) -> None:
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.main = self.young = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        empty = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.main = self.young = empty  # hash, begin and number of ids, begin and number of bytes
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << 18, np.uint8), 0
+
+    def lookup(self, keys: np.ndarray, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in ``pool``, and their number; ``keys`` ascend and are distinct, pieces are raw[begin : begin + size].
 
-    def lookup(self, keys: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of the distinct, ascending ``keys`` begin in ``pool``, and their number; ``text_of`` gives the pieces of those that are new."""
-        if len(self.main[0]) + len(self.young[0]) > self.most:
+        The places hold until the next call.
+        """
+        if len(self.main[0]) + len(self.young[0]) > self.most or self.bytes_used > self.most_bytes:
             self.clear()
-        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
-        for known, begin, number in (self.main, self.young):
+        at, number, odd = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        for known, begin, count, text_at, text_size in (self.main, self.young):
             place = np.searchsorted(known, keys)
             hit = place < len(known)
             hit[hit] = known[place[hit]] == keys[hit]
-            at[hit], size[hit] = begin[place[hit]], number[place[hit]]
+            hit = np.flatnonzero(hit)
+            place = place[hit]
+            same = equal_runs(self.bytes, text_at[place], text_size[place], raw, begins[hit], sizes[hit])
+            odd[hit[~same]] = True
+            at[hit[same]], number[hit[same]] = begin[place[same]], count[place[same]]
         new = np.flatnonzero(at < 0)
         if len(new):
-            ids = self.encode(text_of(new))
-            size[new] = np.fromiter(map(len, ids), np.int32, len(ids))
-            total = int(size[new].sum())
-            if self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
-            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-            at[new] = self.used + np.cumsum(size[new]) - size[new]
-            self.used += total
-            self.young = _joined(self.young, (keys[new], at[new], size[new]))
+            at[new], number[new] = self.add_ids(raw, begins[new], sizes[new])
+            new = new[~odd[new]]  # the hash of an odd one belongs to another piece
+            self.bytes, self.bytes_used, text_at = _appended(self.bytes, self.bytes_used, raw, begins[new], sizes[new])
+            self.young = _joined(self.young, (keys[new], at[new], number[new], text_at, sizes[new]))
             if len(self.young[0]) > 20_000 + len(self.main[0]) // 8:
                 self.main, self.young = _joined(self.main, self.young), tuple(x[:0] for x in self.young)
-        return at, size
+        return at, number
+
+    def add_ids(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces and put their ids into ``pool``."""
+        text = raw.tobytes()
+        ids = self.encode([text[b : b + n].decode() for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)])
+        number = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(number.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        at = self.used + np.cumsum(number, dtype=np.int64) - number
+        self.used += total
+        return at, number
 
 
 def _joined(into: tuple, more: tuple) -> tuple:
@@ -120,6 +140,30 @@ def _joined(into: tuple, more: tuple) -> tuple:
     return tuple(np.insert(a, place, b) for a, b in zip(into, more, strict=True))
 
 
+def _appended(pool: np.ndarray, used: int, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The pool with raw[begin : begin + size] of all behind what it holds, how much it holds, and where each begins."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    if used + total > len(pool):
+        pool = np.concatenate([pool, np.zeros(max(total, len(pool)), np.uint8)])
+    pool[used : used + total] = raw[np.repeat(begins - (ends - sizes), sizes) + np.arange(total)]
+    return pool, used + total, used + ends - sizes
+
+
+def equal_runs(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether a[a_at : a_at + a_size] equals b[b_at : b_at + b_size], for each pair of runs; no run is empty."""
+    same = a_size == b_size
+    which = np.flatnonzero(same)
+    if len(which):
+        size = a_size[which].astype(np.int64)
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        differ = a[np.repeat(a_at[which] - first, size) + step] != b[np.repeat(b_at[which] - first, size) + step]
+        if differ.any():
+            same[which] = ~np.logical_or.reduceat(differ, first)
+    return same
+
+
 def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts one after another, and how many each text has."""
     flat, counts = [np.zeros(0, np.int32)], []
@@ -132,11 +176,20 @@ def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray
         if not len(points):
             counts.append(np.zeros(len(part), np.int64))
             continue
+        raw = np.frombuffer(joined.encode(), np.uint8)
         starts, ends = pieces(points, offsets[:-1], spaced)
-        keys = span_hashes(mix(points.astype(U64) + U64(0x51ED270B)), starts, ends)
+        keys = span_hashes(points.astype(U64) + U64(0x51ED270B), starts, ends)
+        if len(raw) > len(points):  # places in the bytes of UTF-8
+            wide = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
+            begins, width = wide[starts], (wide[ends] - wide[starts]).astype(np.int32)
+        else:
+            begins, width = starts, (ends - starts).astype(np.int32)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at, lengths = memo.lookup(distinct, lambda new: [joined[starts[k] : ends[k]] for k in first[new]])
+        at, lengths = memo.lookup(distinct, raw, begins[first], width[first])
+        odd = np.flatnonzero(~equal_runs(raw, begins[first][back], width[first][back], raw, begins, width))
         at, lengths = at[back], lengths[back]
+        if len(odd):  # equal hashes, other pieces
+            at[odd], lengths[odd] = memo.add_ids(raw, begins[odd], width[odd])
         stops = np.cumsum(lengths, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0
         flat.append(memo.pool[np.repeat(at - (stops - lengths), lengths) + np.arange(total)])

@@ -172,8 +172,9 @@ def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.
     if not n:
         return np.zeros(0, bool)
     sizes = counts + LENGTH - 1
-    ends = begins + sizes
-    same = span_hashes(_BYTES[text], begins, ends)
+    joined, at = _gather(text, begins, sizes)
+    same = span_hashes(_BYTES[joined], at, at + sizes)
+    del joined
     order = np.lexsort((owners, same, names))
     new = np.ones(n, bool)
     a, b = order[1:], order[:-1]
