@@ -33,7 +33,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    corpus = url_filter.word_counts(table(spark, sf_dir, "documents"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), corpus=corpus)
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

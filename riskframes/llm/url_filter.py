@@ -1,11 +1,14 @@
 """URL filters: rules by host and path, and for all other addresses a score of the words in them.
 
 Names such as ``freebets`` are split into words by a unigram Viterbi search: each split costs the sum of its words'
-negative log probabilities; a string that is no known word costs more with each letter. Multinomial naive Bayes,
-trained here on labelled phrases, scores the words of host and path; words that it doesn't know say nothing.
+negative log probabilities; a string that is no known word costs more with each letter, whatever its length. Half of a word's probability
+comes from the phrases and common words below, half from its share of all words of a corpus (``word_counts``: counted over all
+documents, the ``most`` commonest kept), so the model is the same at every size. Multinomial naive Bayes, trained here on labelled phrases,
+scores the words of host and path; words that it doesn't know say nothing.
 
 Inputs: null addresses and those without ``://`` have an empty host and path; no rule fits and no word is known, so they are
-allowed. Extra columns named in ``keep`` stay; a clash with an output name is an error. Equal rows get equal results.
+allowed. Very long addresses are read whole, in time proportional to their length. Extra columns are ignored; those named in ``keep`` stay, a clash
+with an output name is an error. Equal rows get equal results. An empty table gives no rows; a corpus without words adds none.
 """
 
 from __future__ import annotations
@@ -18,51 +21,80 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import frugal
 
-#: Labelled phrases that train the model, and its words' frequencies.
-BLOCKED_PHRASES = """casino win|casino bonus slots|online poker win|free bets|free bet tips|sports betting odds|cheap pills|cheap pills online pharmacy|viagra pills|
-adult x|adult video|adult cam girls|xxx porn|porn tube|sex chat|nude girls|hot sex|escort girls|spam farm|link farm|link spam|seo spam links|ads track|ad tracker|
-click ads|pop ads|track click|payday loans|quick cash loans|win prize now|lottery jackpot win|fake watches cheap|replica bags|crack keygen warez|torrent warez|hack cheat|
-malware download|phishing login|jackpot slots|bingo casino|xxx adult|dating hot girls|cheap meds|weight loss pills|miracle cure pills|free porn|bets odds|spam mail""".replace("\n", "").split("|")
-ALLOWED_PHRASES = """news|daily news|world news today|science blog|travel diary|food recipes|school library|public library|university research|open source|data science|
-art museum|history of art|health care|health news|city council|weather today|sports news|football club|music review|book review|film review|photo gallery|garden tips|
-home page|help center|support forum|user forum|wiki page|online shop|book store|web design|cloud computing|code docs|developer docs|law journal|medical journal|
-free software|city archive|company profile""".replace("\n", "").split("|")
+#: Phrases of names that are to be blocked (gambling, adult, drugs, scams, malware, piracy, trackers, link spam) and of ordinary ones, and common words.
+BLOCKED_PHRASES = """online casino bonus|casino royal games|casino win big|poker room|texas holdem poker|slots jackpot|free slots spins|roulette live|blackjack table|sports betting odds|bet tips|
+free bets today|football bets|bingo jackpot|lottery win numbers|gambling wins|wager sportsbook|adult video|adult chat|adult dating tonight|porn tube|free porn movies|xxx movies|xxx adult|
+sex cams live|sex chat rooms|nude girls|naked models|hot escorts|escort agency|erotic stories|hookup tonight|milf tube|webcam strip|fetish club|cheap viagra|cialis generic pills|
+cheap pills online|cheap meds pharmacy|no prescription pharmacy|weight loss pills|diet pills miracle|steroids buy online|replica watches|replica handbags outlet|fake rolex|
+payday loans fast|instant cash loans|bad credit loan|get rich quick|earn money fast|make money online|free money now|forex signals profit|crypto doubler|bitcoin giveaway|
+free iphone winner|claim prize now|win prizes|free gift card|survey rewards|miracle cure|malware download|trojan dropper|virus scan alert|phishing login verify|account suspended verify|
+keylogger tool|botnet panel|exploit kit|warez download|crack keygen|serial keys free|torrent warez|nulled scripts|pirate movies|hack cheats|ads tracker|ad server|ads network click|
+click track|popunder ads|pop ads|banner ads track|tracking pixel|affiliate clicks|link farm|link spam|buy backlinks|seo links cheap|spam mailer|spam farm|bulk email spam|article spinner|
+traffic bot|fake followers buy|doorway pages""".replace("\n", "").split("|")
+ALLOWED_PHRASES = """daily news|world news today|local news weather|science journal|science daily|travel guide|travel diary|food recipes|cooking school|city library|public library|school district|
+high school|university research|college admissions|open source project|data science course|art museum|art gallery|history archive|history of art|health care|health clinic|hospital center|
+doctor advice|city council|state government|public records|weather forecast|sports news|football club|tennis club|music review|music school|book review|book store|film review|film festival|
+photo gallery|garden tips|home garden|home page|help center|support forum|user forum|wiki page|online shop|shop local|furniture store|web design|software company|cloud computing|
+developer docs|code review|law journal|law firm|legal advice|medical journal|nursing school|free software|company profile|about us|contact us|jobs careers|car reviews|auto repair|
+real estate|hotel booking|flight search|train times|bus schedule|bank branch|savings account|insurance quotes|tax office|small business|chess club|video tutorial|video lessons|game reviews|
+board games|kids games|live stream|live music|church community|charity fund|animal rescue|pet care|bird watching|nature park|hiking trails|bike shop|running club|fitness training|
+language lessons|math help|physics notes|chemistry lab|space center|engineering blog|design studio|fashion week|magazine issue|radio station|theater tickets|event calendar|
+farm market|farm fresh eggs|track and field|mail order|click here|free trial|win the game|cheap flights|adult education|adult learning|cash flow|credit union|loan calculator""".replace("\n", "").split("|")
 COMMON_WORDS = """the of and to in is for on that by this with you it not or be are from at as your all have new more an was we will home can us about if page my has search free but
 our one other do no information time they site he up may what which their news out use any there see only so his when contact here business who web also now help get view online
 first am been would how were services some these click its like service than find price date back top people my had list name just over state year day into email two health world
 next used go work last most products music buy data make them should product system post her city add policy number such please available copyright support message after best
-software then good video well where info rights public books high school through each links she review years order very privacy book items company read group need many user said
-does set under general research university mail full map reviews program life know games way days management part could great united hotel real item international center must store
-travel comments made development report off member details line terms before did send right type because local those using results office education national car design""".split()
+software then good video well where info rights public books high school through each links she review years order very privacy book items company read group need many user""".split()
+UNKNOWN_MASS, LETTERS = 1e6, 10.0
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 _ADDRESS = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 _LETTERS = re.compile(r"[a-z]+")
-LONGEST_WORD = 20
 
 
 class Words:
     """Word probabilities, and the cheapest split of a name."""
 
-    def __init__(self) -> None:
-        counts = Counter({w: 2000 // (k + 2) + 1 for k, w in reversed(list(enumerate(COMMON_WORDS)))})
+    def __init__(self, corpus: dict[str, int] | None = None) -> None:
+        own = Counter({w: 2000 // (k + 2) + 1 for k, w in reversed(list(enumerate(COMMON_WORDS)))})
         for phrase in BLOCKED_PHRASES + ALLOWED_PHRASES:
             for w in phrase.split():
-                counts[w] += 20
-        self.total = sum(counts.values())
-        self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
-
-    def unknown(self, size: int) -> float:
-        return math.log(self.total) + size * math.log(10)
+                own[w] += 20
+        share: Counter[str] = Counter()
+        for counts in (own, corpus or {}):
+            total = sum(counts.values())
+            for w, c in counts.items():
+                share[w] += c / total / 2
+        self.cost = {w: min(-math.log(p), self.unknown(len(w))) for w, p in share.items()}
+        self.longest = max(map(len, self.cost))
+
+    @staticmethod
+    def unknown(size: int) -> float:
+        return math.log(UNKNOWN_MASS) + size * math.log(LETTERS)
 
     def split(self, name: str) -> tuple[str, ...]:
-        """The words of the cheapest split; ties go to the longer last word."""
+        """The words of the cheapest split; ties go to the longer last word.
+
+        A word that isn't known costs the same for each more letter, so the best one that ends at a place is the best of the place before
+        with a letter more, or begins there: time is that of the known words, however long the name.
+        """
+        letter = math.log(LETTERS)
         best, last = [0.0], [0]
+        open_cost, open_start = math.inf, 0  # the cheapest split whose last word isn't known
         for end in range(1, len(name) + 1):
-            cost, start = min((best[i] + self.cost.get(name[i:end], self.unknown(end - i)), i) for i in range(max(0, end - LONGEST_WORD), end))
+            open_cost += letter
+            begun = best[end - 1] + self.unknown(1)
+            if begun < open_cost:
+                open_cost, open_start = begun, end - 1
+            cost, start = open_cost, open_start
+            for i in range(max(0, end - self.longest), end):
+                known = self.cost.get(name[i:end])
+                if known is not None and (best[i] + known, i) < (cost, start):
+                    cost, start = best[i] + known, i
             best.append(cost)
             last.append(start)
         words, end = [], len(name)
@@ -87,15 +119,26 @@ class NaiveBayes:
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
-_words: Words | None = None
-_bayes: NaiveBayes | None = None
+class Scorer:
+    """Scores of addresses by the words of host and path."""
 
+    def __init__(self, corpus: dict[str, int] | None = None, bayes: NaiveBayes | None = None) -> None:
+        self.words, self.bayes = Words(corpus), bayes or NaiveBayes()
+        self.name_words = lru_cache(200_000)(self.words.split)
+
+    def score(self, host: str, path: str) -> float:
+        """Log odds of being blocked."""
+        words: list[str] = []
+        for name in _LETTERS.findall(host.rpartition(".")[0] or host) + _LETTERS.findall(path.lower()):
+            words += self.name_words(name)
+        return self.bayes.score(words)
 
-@lru_cache(200_000)
-def name_words(name: str) -> tuple[str, ...]:
-    global _words
-    _words = _words or Words()
-    return _words.split(name)
+
+def word_counts(docs: DataFrame, text: str = "text", most: int = 20_000) -> dict[str, int]:
+    """The ``most`` commonest words of letters a to z in all of ``docs``, with their counts; ties in order of the word. At most ``most`` rows come to the driver."""
+    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter("word != ''")
+    counts = words.groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "word").limit(most)
+    return {r["word"]: r["c"] for r in counts.collect()}
 
 
 def parse(url: str | None) -> tuple[str, str]:
@@ -127,24 +170,14 @@ def fitting_rule(host: str, path: str, table: dict[str, list[tuple[str, str, str
             return found
 
 
-def score(host: str, path: str) -> float:
-    """Log odds of being blocked, by the words of host and path."""
-    global _bayes
-    _bayes = _bayes or NaiveBayes()
-    words: list[str] = []
-    for name in _LETTERS.findall(host.rpartition(".")[0] or host) + _LETTERS.findall(path.lower()):
-        words += name_words(name)
-    return _bayes.score(words)
-
-
-def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, host, path, rule, verdict) of every address."""
+def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, keep: tuple[str, ...] = (), corpus: dict[str, int] | None = None) -> DataFrame:
+    """(key, kept columns, host, path, rule, verdict) of every address; ``corpus``: counts of words, for splitting names."""
     rows = pages.select(key, *keep, url)
     extra = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
     schema = T.StructType([*rows.schema.fields[:-1], *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rule_table(rules)
+        table, scorer = rule_table(rules), Scorer(corpus)
         for batch in batches:
             hosts, paths, which, verdicts = [], [], [], []
             for address in batch.column(batch.num_columns - 1).to_pylist():
@@ -153,7 +186,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
                 hosts.append(host)
                 paths.append(path)
                 which.append(rule and rule[0])
-                verdicts.append(rule[1] if rule else "block" if score(host, path) > 0 else "allow")
+                verdicts.append(rule[1] if rule else "block" if scorer.score(host, path) > 0 else "allow")
             arrays = [*batch.columns[:-1], *(pa.array(x, pa.string()) for x in (hosts, paths, which, verdicts))]
             yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
 

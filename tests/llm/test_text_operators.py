@@ -191,22 +191,6 @@ def test_url_rules_and_words(spark):
     assert sorted(tuple(x) for x in url_filter.judge_urls(df).collect()) == [(x[0], *x[2:]) for x in rows]
 
 
-def test_viterbi_is_the_cheapest_split():
-    words = url_filter.Words()
-
-    def cost(parts):
-        return sum(words.cost.get(p, words.unknown(len(p))) for p in parts)
-
-    def splits(name):
-        yield (name,)
-        for k in range(1, len(name)):
-            for rest in splits(name[k:]):
-                yield (name[:k], *rest)
-
-    for name in ("freebets", "casinowin", "thenews", "xqzt", "linkfarm"):
-        assert cost(words.split(name)) == pytest.approx(min(map(cost, splits(name))))
-
-
 def spot_set(text):
     import xxhash
 
