@@ -67,7 +67,7 @@ class WordBpe:
         self.width = {i: len(x) for i, x in self.text.items()}
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.bytes = _byte_letters()
+        self.bytes = byte_letters()
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
         self.normalizer = None
@@ -217,7 +217,7 @@ class OffsetTable:
         return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))

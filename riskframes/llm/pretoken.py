@@ -1,9 +1,9 @@
 """Vectorised pre-tokenisation of many texts at once, and a memo of what each distinct piece encodes to.
 
 Both public byte-pair vocabularies split a text into pieces by the class of its characters (letter, number,
-space, other) and encode each piece by itself. Here the split runs over code points in numpy, each piece gets
-a 64-bit hash, and only pieces that the worker hasn't met are encoded. The hash only finds a piece: its bytes are
-compared with those of the piece found, and where they differ the piece is encoded by itself.
+space, other) and encode each piece by itself. Here the split runs over code points in numpy, and only pieces that the
+worker hasn't met are encoded. A piece of up to 16 bytes is its first and last eight bytes and its size; a hash of these finds it in
+sorted arrays, and it counts as found only if all three are equal. Longer pieces are found by their bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from ._common import U64, mix, row_chunks, span_hashes
+from ._common import U64, mix, row_chunks
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 APOSTROPHE = 39
@@ -77,60 +77,81 @@ def pieces(points: np.ndarray, firsts: np.ndarray, spaced: bool) -> tuple[np.nda
     return starts, ends
 
 
+def marks(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each piece raw[begin : begin + size], zero beyond its end, and its last eight where it has more."""
+    view = np.ndarray((len(raw),), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    head = view[begins] & _MASKS[np.minimum(sizes, 8)]
+    tail = np.where(sizes > 8, view[np.maximum(begins + sizes - 8, 0)], U64(0))
+    return head, tail
+
+
+def mark_hash(head: np.ndarray, tail: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(head ^ mix(tail + sizes.astype(U64) * U64(0x9E3779B97F4A7C15)))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+SHORT = 16  # bytes that two marks cover
+
+
 class Memo:
-    """Ids by piece: hashes in sorted arrays, a young one that takes new pieces and a main one that it joins now and then.
+    """Ids by piece. Short pieces: sorted arrays by hash, a young one that takes new pieces and a main one that it joins now and then. Long ones: a dictionary.
 
-    The bytes of each piece are kept, and a hash counts as known only for a piece with the same bytes. It starts
-    afresh when it holds more than ``most`` pieces or ``most_bytes`` bytes of them.
+    It starts afresh when it holds more than ``most`` pieces or ``most_bytes`` bytes of long ones.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000, most_bytes: int = 16 << 20) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000, most_bytes: int = 8 << 20) -> None:
         self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        empty = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.main = self.young = empty  # hash, begin and number of ids, begin and number of bytes
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.bytes, self.bytes_used = np.zeros(1 << 18, np.uint8), 0
-
-    def lookup(self, keys: np.ndarray, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each piece begin in ``pool``, and their number; ``keys`` ascend and are distinct, pieces are raw[begin : begin + size].
-
-        The places hold until the next call.
-        """
-        if len(self.main[0]) + len(self.young[0]) > self.most or self.bytes_used > self.most_bytes:
+        empty = tuple(np.zeros(0, t) for t in (U64, U64, U64, np.uint8, np.int32, np.int32))
+        self.main = self.young = empty  # hash, marks, size, begin and number of ids
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.pool, self.used, self.long_bytes = np.zeros(1 << 16, np.int32), 0, 0
+
+    def trim(self) -> None:
+        """Start afresh if it has grown too large; places given out before no longer hold."""
+        if len(self.main[0]) + len(self.young[0]) + len(self.long) > self.most or self.long_bytes > self.most_bytes:
             self.clear()
-        at, number, odd = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
-        for known, begin, count, text_at, text_size in (self.main, self.young):
+
+    def lookup(self, keys: np.ndarray, heads: np.ndarray, tails: np.ndarray, sizes: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of short pieces with the distinct, ascending ``keys`` begin in ``pool``, and their number; ``text_of`` gives the pieces that are new."""
+        at, number, odd = np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        for known, head, tail, size, begin, count in (self.main, self.young):
             place = np.searchsorted(known, keys)
             hit = place < len(known)
             hit[hit] = known[place[hit]] == keys[hit]
             hit = np.flatnonzero(hit)
             place = place[hit]
-            same = equal_runs(self.bytes, text_at[place], text_size[place], raw, begins[hit], sizes[hit])
+            same = (head[place] == heads[hit]) & (tail[place] == tails[hit]) & (size[place] == sizes[hit])
             odd[hit[~same]] = True
             at[hit[same]], number[hit[same]] = begin[place[same]], count[place[same]]
         new = np.flatnonzero(at < 0)
         if len(new):
-            at[new], number[new] = self.add_ids(raw, begins[new], sizes[new])
+            at[new], number[new] = self.add(text_of(new))
             new = new[~odd[new]]  # the hash of an odd one belongs to another piece
-            self.bytes, self.bytes_used, text_at = _appended(self.bytes, self.bytes_used, raw, begins[new], sizes[new])
-            self.young = _joined(self.young, (keys[new], at[new], number[new], text_at, sizes[new]))
+            self.young = _joined(self.young, (keys[new], heads[new], tails[new], sizes[new], at[new], number[new]))
             if len(self.young[0]) > 20_000 + len(self.main[0]) // 8:
                 self.main, self.young = _joined(self.main, self.young), tuple(x[:0] for x in self.young)
         return at, number
 
-    def add_ids(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lookup_long(self, texts: list[bytes]) -> list[tuple[int, int]]:
+        new = [t for t in dict.fromkeys(texts) if t not in self.long]
+        if new:
+            at, number = self.add([t.decode() for t in new])
+            self.long.update(zip(new, zip(at.tolist(), number.tolist(), strict=True), strict=True))
+            self.long_bytes += sum(map(len, new))
+        return [self.long[t] for t in texts]
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces and put their ids into ``pool``."""
-        text = raw.tobytes()
-        ids = self.encode([text[b : b + n].decode() for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)])
+        ids = self.encode(texts)
         number = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(number.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.int32)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        at = self.used + np.cumsum(number, dtype=np.int64) - number
+        at = self.used + np.cumsum(number, dtype=np.int32) - number
         self.used += total
         return at, number
 
@@ -140,30 +161,6 @@ def _joined(into: tuple, more: tuple) -> tuple:
     return tuple(np.insert(a, place, b) for a, b in zip(into, more, strict=True))
 
 
-def _appended(pool: np.ndarray, used: int, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """The pool with raw[begin : begin + size] of all behind what it holds, how much it holds, and where each begins."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    total = int(ends[-1]) if len(ends) else 0
-    if used + total > len(pool):
-        pool = np.concatenate([pool, np.zeros(max(total, len(pool)), np.uint8)])
-    pool[used : used + total] = raw[np.repeat(begins - (ends - sizes), sizes) + np.arange(total)]
-    return pool, used + total, used + ends - sizes
-
-
-def equal_runs(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """Whether a[a_at : a_at + a_size] equals b[b_at : b_at + b_size], for each pair of runs; no run is empty."""
-    same = a_size == b_size
-    which = np.flatnonzero(same)
-    if len(which):
-        size = a_size[which].astype(np.int64)
-        first = np.cumsum(size) - size
-        step = np.arange(int(size.sum()))
-        differ = a[np.repeat(a_at[which] - first, size) + step] != b[np.repeat(b_at[which] - first, size) + step]
-        if differ.any():
-            same[which] = ~np.logical_or.reduceat(differ, first)
-    return same
-
-
 def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts one after another, and how many each text has."""
     flat, counts = [np.zeros(0, np.int32)], []
@@ -176,23 +173,34 @@ def encode_texts(texts: list[str], memo: Memo, spaced: bool) -> tuple[np.ndarray
         if not len(points):
             counts.append(np.zeros(len(part), np.int64))
             continue
-        raw = np.frombuffer(joined.encode(), np.uint8)
         starts, ends = pieces(points, offsets[:-1], spaced)
-        keys = span_hashes(points.astype(U64) + U64(0x51ED270B), starts, ends)
+        raw = np.frombuffer(joined.encode(), np.uint8)
         if len(raw) > len(points):  # places in the bytes of UTF-8
-            wide = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
-            begins, width = wide[starts], (wide[ends] - wide[starts]).astype(np.int32)
+            wide = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int32)])
+            begins, width = wide[starts], wide[ends] - wide[starts]
         else:
-            begins, width = starts, (ends - starts).astype(np.int32)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at, lengths = memo.lookup(distinct, raw, begins[first], width[first])
-        odd = np.flatnonzero(~equal_runs(raw, begins[first][back], width[first][back], raw, begins, width))
-        at, lengths = at[back], lengths[back]
+            begins, width = starts, ends - starts
+        memo.trim()
+        at, lengths = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+        short = np.flatnonzero(width <= SHORT)
+        head, tail = marks(raw, begins[short], width[short])
+        size = width[short].astype(np.uint8)
+        distinct, first, back = np.unique(mark_hash(head, tail, size), return_index=True, return_inverse=True)
+        text_of = lambda which: [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]  # noqa: B023, E731
+        a, n = memo.lookup(distinct, head[first], tail[first], size[first], lambda new: text_of(short[first[new]]))  # noqa: B023
+        same = first[back]
+        odd = np.flatnonzero((head != head[same]) | (tail != tail[same]) | (size != size[same]))
+        at[short], lengths[short] = a[back], n[back]
         if len(odd):  # equal hashes, other pieces
-            at[odd], lengths[odd] = memo.add_ids(raw, begins[odd], width[odd])
-        stops = np.cumsum(lengths, dtype=np.int64)
+            at[short[odd]], lengths[short[odd]] = memo.add(text_of(short[odd]))
+        if len(short) < len(starts):
+            long = np.flatnonzero(width > SHORT)
+            block = raw.tobytes()
+            places = memo.lookup_long([block[b : b + w] for b, w in zip(begins[long].tolist(), width[long].tolist(), strict=True)])
+            at[long], lengths[long] = np.array(places, np.int32).T
+        stops = np.cumsum(lengths, dtype=np.int32)
         total = int(stops[-1]) if len(stops) else 0
-        flat.append(memo.pool[np.repeat(at - (stops - lengths), lengths) + np.arange(total)])
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        counts.append(np.bincount(owner, weights=lengths, minlength=len(part)).astype(np.int64))
+        flat.append(memo.pool[np.repeat(at - (stops - lengths), lengths) + np.arange(total, dtype=np.int32)])
+        owner = np.searchsorted(starts, offsets)
+        counts.append(np.diff(np.concatenate([[0], stops])[owner]).astype(np.int64))
     return np.concatenate(flat), np.concatenate(counts) if counts else np.zeros(0, np.int64)

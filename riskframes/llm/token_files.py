@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import cut, frugal, list_array, shared_dir, slices
+from .bpe import byte_letters
 from .pretoken import Memo, encode_texts
 
 _loaded: dict[str, tuple] = {}
@@ -34,9 +35,12 @@ def _tokenizer(path: str) -> tuple:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = dict(enumerate(byte_letters()))
+        merge = tokenizer.model.tokenize  # the library's merges of one piece, without the steps before and after
+        ids = lambda pieces: [[t.id for t in merge(p.encode().decode("latin-1").translate(letters))] for p in pieces]
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[path] = ids, Memo(ids, 1_500_000), specials
+        _loaded[path] = whole, Memo(ids, 1_200_000), specials
     return _loaded[path]
 
 
@@ -45,7 +49,7 @@ def encode_rows(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndar
 
     Each distinct piece goes through the library once; texts that hold a special token go through it whole.
     """
-    ids, memo, specials = _tokenizer(path)
+    encode, memo, specials = _tokenizer(path)
     texts = [t or "" for t in texts]
     odd = [k for k, t in enumerate(texts) if any(s in t for s in specials)]
     if not odd:
@@ -55,7 +59,7 @@ def encode_rows(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndar
         plain[k] = ""
     flat, counts = encode_texts(plain, memo, spaced=True)
     at = np.concatenate([[0], np.cumsum(counts)])
-    whole = ids([texts[k] for k in odd])
+    whole = encode([texts[k] for k in odd])
     flat = np.insert(flat, np.repeat(at[odd], [len(w) for w in whole]), np.concatenate([np.array(w, np.int32) for w in whole]))
     counts[odd] = [len(w) for w in whole]
     return flat, counts
