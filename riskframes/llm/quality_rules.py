@@ -1,15 +1,16 @@
 """Quality rules: line frequency across the documents of a host, beside measures of the text itself.
 
-Lines are normalised (A-Z lowered, white space collapsed) and hashed. For each host the number of distinct texts that hold
-a line is counted; copies of one text count once, so that copying a document doesn't make its lines boilerplate. A
-line is above the limit if more than ``max_docs`` texts and more than ``max_share`` of the host's texts hold it. Its
-words are taken out; a document of whose words more than ``max_removed`` percent go is depleted and rejected.
+Lines are normalised (A-Z lowered, white space collapsed) and hashed. For each host the number of distinct documents (by their
+key) that hold a line is counted. A line is above the limit if more than ``max_docs`` documents and more than ``max_share`` of the host's
+documents hold it. Its words are taken out; a document of whose words more than ``max_removed`` percent go is depleted and rejected.
 
-Everything is DataFrame functions. Rows are exchanged as (host, text digest, line hash), never as texts; counts are
-combined before they are exchanged, so a line or host with a third of all rows is one small sum a task.
+Everything is DataFrame functions. Rows are exchanged as (host, key, line hash), never as texts; counts are
+combined before they are exchanged, so a line or host with a third of all rows is one small sum a task. The lines above the limits of
+a host are one row: each is in more than ``max_share`` of its documents, so there are at most 1 / ``max_share`` times as many as a document has on average.
 
-Inputs: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated rows
-get the same verdict each; extra columns are left out but for those in ``keep``, and never read; an empty table gives no rows.
+Inputs: null and empty texts have no words and fail the base rules; a null host is a host of its own, rows with a null key are one
+document; repeated rows count once and get the same verdict each; very long texts are read whole; extra columns are left out but for
+those in ``keep``, and never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ._common import WORD_BREAKS, cut, fresh, let, words_of
 
-#: Rejected texts that may be sent to all executors; beyond, documents are joined with them by a shuffle.
-BROADCAST_KEYS = 200_000
+#: Lines above the limits that may be sent to all executors; beyond, documents are joined with them by a shuffle.
+BROADCAST_LINES = 200_000
+HAS_WORD = r"[^\x09-\x0D\x20]"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,97 +60,91 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[\x09-\x0D\x20]+", " ")))
 
 
-def measures(docs: DataFrame, key: str, text: str, host: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, host, digest of the text, the base measures, lines as hash and words)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    has_word = r"[^\x09-\x0D\x20]"
-    line = lambda x: F.struct(
-        line_hash(x).alias("line"),
-        F.size(words_of(x)).alias("words"),
+def text_lines(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD))
+
+
+def line_words(text: Column) -> Column:
+    """Hash and number of words of each line with a word."""
+    return F.transform(text_lines(text), lambda x: F.struct(line_hash(x).alias("line"), F.size(words_of(x)).alias("words")))
+
+
+def base_measures(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    t = F.coalesce(text, F.lit(""))
+    plain = F.length(F.translate(t, SYMBOLS, ""))
+    dup = let(text_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return let(
+        words_of(t),
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.length(F.translate(t, WORD_BREAKS, "")).cast("bigint").alias("word_chars"),
+            (F.length(t) - plain).cast("bigint").alias("n_symbols"),
+            dup.cast("bigint").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(has_word))
-    of_words = let(words_of(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_words(w).alias("r")))
-    of_lines = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"), F.transform(x, line).alias("each")))
-    rows = docs.select(F.col(key), *keep, F.col(host).alias("host"), F.md5(t.cast("binary")).alias("digest"), F.length(t).alias("_n"),
-        F.length(F.translate(t, WORD_BREAKS, "")).cast("bigint").alias("word_chars"),
-        F.length(F.translate(t, SYMBOLS, "")).alias("_plain"), of_words.alias("_w"), of_lines.alias("_l"))
-    return rows.select(key, *keep, "host", "digest", F.col("_w.n").alias("n_words"), "word_chars", (F.col("_n") - F.col("_plain")).cast("bigint").alias("n_symbols"),
-        F.col("_l.dup").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.each").alias("lines"))
 
 
 def above_limits(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(h, l): host and hash of each line above the limits."""
-    each = rows.select("host", "digest", F.explode("lines.line").alias("line")).distinct()
-    hosts = rows.groupBy("host").agg(F.count_distinct("digest").alias("host_texts"))
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > max_docs)
-    h = F.col("h")
-    above = counts.withColumnRenamed("host", "h").join(hosts, h.eqNullSafe(F.col("host"))).filter(F.col("texts") > F.col("host_texts") * F.lit(max_share))
-    return above.select("h", F.col("line").alias("l"))
-
-
-def removed_words(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, digest, removed): words in lines above the limits of each distinct text of a host that has such lines."""
-    lines = rows.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.line", "l.words")
-    h, above = F.col("h"), above_limits(rows, max_docs, max_share)
-    hit = lines.join(above, F.col("host").eqNullSafe(h) & (F.col("line") == F.col("l")))
-    copies = rows.groupBy("host", "digest").agg(F.count("*").alias("copies"))
-    total = hit.groupBy("host", "digest").agg(F.sum("words").alias("removed_all")).withColumnsRenamed({"host": "h", "digest": "d"})
-    same = F.col("host").eqNullSafe(h) & (F.col("digest") == F.col("d"))
-    return copies.join(total, same).select("host", "digest", (F.col("removed_all") / F.col("copies")).cast("bigint").alias("removed"))
+    """(h, above): for each host that has such lines, the hashes of those above the limits. ``rows``: (id, host, lines) with ``lines`` an array of hashes."""
+    each = rows.select("id", "host", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    hosts = rows.groupBy("host").agg(F.count_distinct(F.struct("id")).alias("host_docs"))
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    lines = counts.withColumnRenamed("host", "h").join(hosts, F.col("h").eqNullSafe(F.col("host"))).filter(F.col("docs") > F.col("host_docs") * F.lit(max_share))
+    found = cut(lines.groupBy("h").agg(F.collect_set("line").alias("above")))
+    number = found.agg(F.sum(F.size("above"))).first()[0] or 0
+    return F.broadcast(found) if number <= BROADCAST_LINES else found
+
+
+def removed(lines: Column, above: Column) -> Column:
+    """Words in lines above the limits, of an array of (line, words)."""
+    gone = F.filter(lines, lambda x: F.array_contains(above, x["line"]))
+    return F.when(F.size(above) > 0, F.aggregate(gone, F.lit(0).cast("bigint"), lambda a, x: a + x["words"])).otherwise(F.lit(0).cast("bigint"))
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
 def judge(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """(key, kept columns, the base measures, base_failed, removed_words, kept) of every document."""
-    rows = measures(docs, key, text, host, keep)
-    narrow = cut(rows.select(key, "host", "digest", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) if not keep else rows
-    gone = removed_words(narrow, max_docs, max_share).withColumnsRenamed({"host": "h", "digest": "d"})
-    joined = narrow.drop("lines").join(gone, F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("d")), "left")
-    removed = F.coalesce(F.col("removed"), F.lit(0)).cast("bigint")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return joined.select(key, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), removed.alias("removed_words"),
-        (~failed & (100 * removed <= max_removed * F.col("n_words"))).alias("kept"))
-
-
-def without_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """``docs`` without the rejected documents; the verdict depends on host and text alone and is joined by these."""
-    h, d = fresh(docs, "_host"), fresh(docs, "_digest")
-    rejected = cut(judge_texts(docs, text, host, **limits).filter(~F.col("kept")).select(F.col("host").alias(h), F.col("digest").alias(d)))
-    if rejected.count() <= BROADCAST_KEYS:
-        rejected = F.broadcast(rejected)
-    same = F.col(host).eqNullSafe(F.col(h)) & (F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col(d))
-    return docs.join(rejected, same, "left_anti")
-
-
-def cleaned(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, size: str | None = "n_chars", **limits) -> DataFrame:
+    more = F.struct(*keep) if keep else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(key).alias("id"), F.col(host).alias("host"), more.alias("row"), base_measures(F.col(text)).alias("m"), line_words(F.col(text)).alias("lines"))
+    rows = cut(rows)  # read twice
+    above = above_limits(rows.select("id", "host", F.col("lines.line").alias("lines")), max_docs, max_share)
+    rows = rows.join(above, F.col("host").eqNullSafe(F.col("h")), "left")
+    gone = F.coalesce(removed(F.col("lines"), F.col("above")), F.lit(0).cast("bigint"))
+    rows = rows.select(F.col("id").alias(key), *(F.col("row")[c].alias(c) for c in keep), "m.*", base_failed(F.col("m.n_words"), F.col("m.n_repeat_words")).alias("base_failed"), gone.alias("removed_words"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= max_removed * F.col("n_words")))
+
+
+def cleaned(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70, size: str | None = "n_chars"
+) -> DataFrame:
     """``docs`` without the rejected documents, and their texts without the lines above the limits; ``size`` is renewed where a text changes."""
-    rows = cut(measures(docs.select(F.lit(0).alias("_none"), F.col(text).alias("t"), F.col(host).alias("host")), "_none", "t", "host").select("host", "digest", "lines"))
-    h, name = fresh(docs, "_host"), fresh(docs, "_lines")
-    above = cut(above_limits(rows, max_docs, max_share))
-    hosts = above.groupBy("h").agg(F.collect_set("l").alias(name)).withColumnRenamed("h", h)
-    if above.count() <= BROADCAST_KEYS:
-        hosts = F.broadcast(hosts)
-    kept = without_rejected(docs, text=text, host=host, max_docs=max_docs, max_share=max_share, **limits)
-    joined = kept.join(hosts, F.col(host).eqNullSafe(F.col(h)), "left")
-    lines, has_word = F.split(F.col(text), "\n"), r"[^\x09-\x0D\x20]"
-    found = F.array_intersect(F.transform(F.filter(lines, lambda x: x.rlike(has_word)), line_hash), F.col(name))
-    left = let(found, lambda gone: F.when(F.size(gone) > 0, F.array_join(F.filter(lines, lambda x: ~(x.rlike(has_word) & F.array_contains(gone, line_hash(x)))), "\n")))
-    joined = joined.withColumn(name, left)
-    new = {text: F.coalesce(F.col(name), F.col(text))}
+    hashes = F.transform(text_lines(F.col(text)), line_hash)
+    above = above_limits(docs.select(F.col(key).alias("id"), F.col(host).alias("host"), hashes.alias("lines")), max_docs, max_share)
+    h, name, told = fresh(docs, "_host"), fresh(docs, "_above"), fresh(docs, "_told")
+    rows = docs.join(above.withColumnsRenamed({"h": h, "above": name}), F.col(host).eqNullSafe(F.col(h)), "left")
+    t, set_ = F.col(text), F.col(name)
+
+    def verdict(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        gone = F.when(F.size(set_) > 0, removed(line_words(t), set_)).otherwise(F.lit(0).cast("bigint"))
+        return F.when(n < 50, False).when(base_failed(n, repeated_words(w)), False).otherwise(100 * F.coalesce(gone, F.lit(0).cast("bigint")) <= max_removed * n)
+
+    rows = rows.filter(let(words_of(t), verdict))
+    found = F.when(F.size(set_) > 0, F.array_intersect(hashes, set_))
+    stay = lambda gone: F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(HAS_WORD) & F.array_contains(gone, line_hash(x))))
+    rows = rows.withColumn(told, let(found, lambda gone: F.when(F.size(gone) > 0, F.array_join(stay(gone), "\n"))))
+    new = {text: F.coalesce(F.col(told), t)}
     if size in docs.columns:
-        new[size] = F.when(F.col(name).isNull(), F.col(size)).otherwise(F.length(name).cast(docs.schema[size].dataType))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
-
-
-def judge_texts(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 20, max_share: float = 0.01, max_removed: int = 70) -> DataFrame:
-    """(host, digest, kept) of every distinct text of a host."""
-    rows = cut(measures(docs.select(F.lit(0).alias("_none"), F.col(text).alias("t"), F.col(host).alias("host")), "_none", "t", "host").select("host", "digest", "lines", "n_words", "n_repeat_words"))
-    gone = removed_words(rows, max_docs, max_share).withColumnsRenamed({"host": "h", "digest": "d"})
-    each = rows.drop("lines").distinct().join(gone, F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("d")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    removed = F.coalesce(F.col("removed"), F.lit(0))
-    return each.select("host", "digest", (~failed & (100 * removed <= max_removed * F.col("n_words"))).alias("kept"))
+        new[size] = F.when(F.col(told).isNull(), F.col(size)).otherwise(F.length(told).cast(docs.schema[size].dataType))
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
@@ -157,9 +153,9 @@ WITH d AS (
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), l AS (
-  SELECT rid, source, t, unnest(string_split(t, chr(10))) AS raw FROM d
+  SELECT rid, doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d
 ), ln AS (
-  SELECT rid, source, t, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS line,
+  SELECT rid, doc_id, source, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS line,
     len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT raw) AS n_dup_lines FROM ln GROUP BY rid
@@ -170,10 +166,10 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY rid
 ), hosts AS (
-  SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source
+  SELECT source, count(DISTINCT struct_pack(k := doc_id)) AS n FROM d GROUP BY source
 ), above AS (
   SELECT ln.source, line FROM ln JOIN hosts ON ln.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY ln.source, line, hosts.n HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > hosts.n * 0.01
+  GROUP BY ln.source, line, hosts.n HAVING count(DISTINCT struct_pack(k := doc_id)) > 20 AND count(DISTINCT struct_pack(k := doc_id)) > hosts.n * 0.01
 ), gone AS (
   SELECT rid, sum(ln.n) AS removed FROM ln JOIN above ON ln.source IS NOT DISTINCT FROM above.source AND ln.line = above.line GROUP BY rid
 ), m AS (

@@ -105,11 +105,11 @@ def test_token_files_round_trip(spark, docs, tmp_path):
 def brute_quality(rows, max_docs, max_share, max_removed):
     lines, hosts = defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub("[\t-\r ]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), x)).strip(" ")
-    for _, t, host in rows:
-        hosts[host].add(t)
+    for k, t, host in rows:
+        hosts[host].add(k)
         for x in t.split("\n"):
             if WORD.search(x):
-                lines[host, norm(x)].add(t)
+                lines[host, norm(x)].add(k)
     out = []
     for k, t, host in rows:
         words = WORD.findall(t)
@@ -131,14 +131,18 @@ def test_quality_rules_are_brute_force(spark):
     got = sorted(tuple(x) for x in quality_rules.judge(df, max_docs=3, max_share=0.2, max_removed=50).collect())
     assert got == sorted(brute_quality([*rows, (45, "", None)], 3, 0.2, 50))
     assert any(not x[-1] and not x[6] for x in got)
-    kept = quality_rules.without_rejected(df, max_docs=3, max_share=0.2, max_removed=50)
+    kept = quality_rules.cleaned(df, max_docs=3, max_share=0.2, max_removed=50)
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(x[0] for x in got if x[-1])
 
 
-def test_copies_do_not_make_boilerplate(spark):
+def test_documents_are_counted(spark):
+    """Lines of many documents of one text are above the limits; rows of one id are one document, and so are all without an id."""
     text = " ".join(f"w{k}" for k in range(80))
-    df = spark.createDataFrame([(k, text, "h") for k in range(50)], "doc_id long, text string, source string")
-    assert quality_rules.judge(df).filter("kept").count() == 50
+    df = lambda ids: spark.createDataFrame([(k, text, "h") for k in ids], "doc_id long, text string, source string")
+    assert quality_rules.judge(df(range(21))).filter("kept").count() == 0
+    assert quality_rules.judge(df(range(20))).filter("kept").count() == 20
+    assert quality_rules.judge(df([1] * 30 + [None] * 30)).filter("kept").count() == 60
+    assert quality_rules.cleaned(df([*range(19), None, None])).count() == 21
 
 
 def test_mixing_targets_and_copies(spark):
@@ -369,7 +373,7 @@ def test_odd_rows_and_names(odd):
     path = tokenizer_path("word_bpe_49k.json")
     assert bpe.bpe_decode(bpe.bpe_encode(odd, path), path).count() == 5
     assert quality_rules.judge(odd).filter("kept").count() == 0
-    assert quality_rules.without_rejected(odd).columns == odd.columns
+    assert quality_rules.cleaned(odd).columns == odd.columns
     assert mixing.mix(odd).count() == 5
     assert mixing.repeated(odd).columns == odd.columns
     near = minhash.near_duplicates(odd).collect()
