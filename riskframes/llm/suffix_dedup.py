@@ -1,26 +1,26 @@
 """Removal of long repeated byte strings across documents, by suffix arrays of shards.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. The steps:
+A byte goes if a string of ``LENGTH`` bytes that covers it (a window) also starts in a document with a smaller id. The steps:
 
 1. Documents are dealt to shards by a hash of their id. Of equal texts only the one with the smallest id goes on; all
    of another copy is covered, so it is removed without a search.
-2. Each string of ``LENGTH`` bytes (a window) is named by the smallest hash of the ``GRAM``-byte strings within it: equal windows have
-   equal names, and neighbours mostly share theirs. A shard sends its distinct names, four bytes each, to merge
-   tasks, which find by binary search in the sorted lists those that another shard holds as well and answer with a bit for each.
-3. A shard searches the windows whose names two of its documents hold. Runs of windows that are equal as a whole are settled by
-   their hash and a comparison of their bytes; suffixes of the others are sorted: Larsson and
-   Sadakane's refinement in numpy, ranks of 8 bytes first, then of 16, 32 and 50 by the rank at an offset, only for suffixes that
-   still tie. Kasai's common prefixes, in the order of the text, of neighbours in the array tell equal windows. A window
-   that a smaller document of the shard has is removed; of the others, those with names that another shard holds go as runs of
-   bytes to merge shards by name.
-4. A merge shard searches what all shards sent in the same way, and answers which windows a smaller document has.
+2. Each window is named by the smallest hash of the ``GRAM``-byte strings within it: equal windows have equal names, and neighbours mostly
+   share theirs. A shard sends its distinct names, four bytes each, to buckets, which find by binary search in their sorted
+   lists how many shards hold each and answer with two bits: whether another does, and whether more than ``HOT`` do.
+3. Each shard builds the suffix array of its whole text, by Larsson and Sadakane's refinement in numpy: ranks of 8 bytes first, then of 16, 32
+   and 50 by the rank at an offset, only for suffixes that still tie. Kasai's common prefixes of neighbours tell equal windows. A window
+   that a smaller document of the shard has is removed; of the others, those with names that another shard holds go to merges.
+4. A merge has all windows of its names. Runs of windows that are equal as a whole are settled by their hash and a comparison of their bytes; the
+   others are sorted by a suffix array for each block of shards, and the sorted lists are merged by binary search, two by two. Windows of
+   names that more than ``HOT`` shards hold are merged for ``HOT`` shards at a time first, and only one of each distinct window goes on, so no name is
+   a task of its own size.
 5. Each shard cuts the covered bytes out of its documents.
 
-What is exchanged: the texts once (the same exchange feeds the steps), names, and the windows that repeat. A passage in a
-third of all documents leaves each shard once. Nothing is collected but the total number of bytes.
+What is exchanged: the texts once (the same exchange feeds the steps), names, and the windows that repeat. Nothing is collected but the total
+number of bytes. Buckets and merges grow with the total, by ``bucket_bytes`` and ``merge_bytes`` of text each, not with the shards.
 
 Inputs: null and empty texts have 0 bytes. Documents with a null id neither lose bytes nor cover others. Rows with equal ids never
-cover each other. Extra columns are ignored. An empty table gives an empty result.
+cover each other. Very long texts are searched whole, by one worker with some 50 times their size. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from pyspark.sql import types as T
 from ._common import U64, cut, fresh, mix, row_chunks, span_hashes, stream, text_buffers, tidied
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES, BUCKET_BYTES, MERGE_BYTES = 2 << 20, 64 << 20, 16 << 20
+HOT = 64
+BLOCK = 256 << 10
 CHUNK = 1 << 19
 _M = stream(21, 8) | U64(1)
 _BYTES = stream(22, 256)
@@ -89,7 +91,7 @@ def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     n = len(data)
     block = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
     first = np.ndarray((n,), ">u8", block, 0, (1,)).astype(U64)
-    order = np.argsort(first, kind="stable").astype(np.int32)
+    order = np.argsort(first).astype(np.int32)
     key = first[order]
     head = np.concatenate([[True], key[1:] != key[:-1]])
     del first, key
@@ -103,7 +105,7 @@ def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         hop = min(known, depth - known)
         at = order[slots]
         key = (rank[at].astype(np.int64) << 32) | rank[at + hop]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -123,8 +125,9 @@ def _tied(head: np.ndarray, slots: np.ndarray) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Bytes that each suffix in ``order`` shares with the one before it, up to ``depth``.
 
-    Kasai's way: for each place of the text, in its order, the suffix that stands before it; eight bytes are compared at
-    a time for all places that agree so far.
+    Kasai's way: if a suffix shares h < ``depth`` bytes with the one before it, the suffix d places on shares h - d or more with the one before
+    that (suffixes that tie to ``depth`` are in no order beyond, so they carry nothing). Every eighth place is compared from its first byte, then those halfway between
+    from what the place before leaves known, and so on; eight bytes at a time for all places of a turn.
     """
     n = len(data)
     block = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
@@ -132,41 +135,91 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = LENGTH) ->
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int16)
-    at = np.flatnonzero(before >= 0)
-    for known in range(0, depth, 8):
-        differ = words[at + known] ^ words[before[at] + known]
-        same = differ == 0
-        apart = at[~same]
-        bits = differ[~same]
-        low = bits & (~bits + U64(1))
-        shared[apart] = known + (np.log2(low.astype(np.float64)).astype(np.int16) >> 3)
-        at = at[same]
-    shared[at] = depth
-    return np.minimum(shared, depth)[order]
-
-
-def repeats(data: np.ndarray, window: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each start in ``window``, the smallest owner of an equal window; ``owner``: of each start."""
+    for first, step, back in ((0, 8, 0), (4, 8, 4), (2, 4, 2), (1, 2, 1)):
+        at = np.arange(first, n, step, dtype=np.int32)
+        known = np.zeros(len(at), np.int32)
+        if back:
+            left = shared[at - back].astype(np.int32)
+            known = np.where(left < depth, np.maximum(left - back, 0), 0).astype(np.int32)
+        some = before[at] >= 0
+        at, known = at[some], known[some]
+        while len(at):
+            differ = words[at + known] ^ words[before[at] + known]
+            same = differ == 0
+            apart = ~same
+            bits = differ[apart]
+            low = bits & (~bits + U64(1))
+            shared[at[apart]] = np.minimum(known[apart] + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3), depth)
+            at, known = at[same], known[same] + 8
+            far = known >= depth
+            if far.any():
+                shared[at[far]] = depth
+                at, known = at[~far], known[~far]
+    return shared[order]
+
+
+def sorted_windows(data: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The window starts of ``data`` in order of their bytes (marked True in ``window``), and for each the index of its group of equal ones."""
     order = sorted_suffixes(data)
-    group = np.cumsum(common_prefixes(data, order) < LENGTH)
-    slot = np.full(len(data), -1, np.int32)
-    slot[window] = np.arange(len(window), dtype=np.int32)
-    which = slot[order]
-    keep = which >= 0
-    which, group = which[keep], group[keep]
-    least = np.empty(len(window), np.int64)
-    if len(which):
-        firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        smallest = np.minimum.reduceat(owner[which], firsts)
-        least[which] = np.repeat(smallest, np.diff(np.append(firsts, len(which))))
-    return least
+    group = np.cumsum(common_prefixes(data, order) < LENGTH, dtype=np.int32)
+    keep = window[order]
+    order, group = order[keep], group[keep]
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    return order, np.cumsum(new, dtype=np.int32) - 1
+
+
+def _least(owner: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The smallest owner of each group; groups ascend from 0."""
+    return np.minimum.reduceat(owner, np.searchsorted(group, np.arange(group[-1] + 1))) if len(group) else owner
+
+
+def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of distinct keys with an owner each, merged two by two by binary search; equal keys keep the smallest owner."""
+    while len(lists) > 1:
+        out = []
+        for (keys, least), (more, other) in zip(lists[::2], lists[1::2], strict=False):
+            if len(keys) < len(more):
+                keys, least, more, other = more, other, keys, least
+            place = np.searchsorted(keys, more)
+            hit = place < len(keys)
+            hit[hit] = keys[place[hit]] == more[hit]
+            least = least.copy()
+            least[place[hit]] = np.minimum(least[place[hit]], other[hit])
+            out.append((np.insert(keys, place[~hit], more[~hit]), np.insert(least, place[~hit], other[~hit])))
+        lists = out + lists[len(lists) & ~1 :]
+    return lists[0]
+
+
+def least_owners(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each window of runs (begin in ``text``, number, owner) the smallest owner of an equal one."""
+    sizes = counts + LENGTH - 1
+    lists, where = [], []
+    for i, j in row_chunks(sizes, BLOCK):
+        part, at = _gather(text, begins[i:j], sizes[i:j])
+        starts = _spread(at, counts[i:j])
+        slot = np.full(len(part), -1, np.int32)
+        slot[starts] = np.arange(len(starts), dtype=np.int32)
+        order, group = sorted_windows(part, slot >= 0)
+        firsts = np.searchsorted(group, np.arange(group[-1] + 1))
+        keys = np.ndarray((len(part) - LENGTH + 1,), f"S{LENGTH}", part, 0, (1,))[order[firsts]]
+        which = slot[order]
+        lists.append((keys, _least(np.repeat(owners[i:j], counts[i:j])[which], group)))
+        where.append((keys, group, which))
+    keys, least = merge_lists(lists)
+    out = []
+    for own, group, which in where:
+        each = np.empty(len(which), np.int64)
+        each[which] = least[np.searchsorted(keys, own)][group]
+        out.append(each)
+    return np.concatenate(out)
 
 
 def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """For each window of runs that stand in ``text``, whether a smaller owner has an equal window.
 
     Equal runs (most of them: copies of a passage) are settled first: the one with the smallest owner stands for
-    all. Only runs whose name two different runs have are searched with suffix arrays.
+    all. Only runs whose name two different runs have are sorted and merged.
     """
     n = len(begins)
     if not n:
@@ -194,9 +247,8 @@ def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.
     windows = np.cumsum(counts) - counts
     gone = np.zeros(int(counts.sum()), bool)
     if len(open_):
-        part, at = _gather(text, begins[open_], sizes[open_])
         owner = np.repeat(owners[open_], counts[open_])
-        gone[_spread(windows[open_], counts[open_])] = repeats(part, _spread(at, counts[open_]), owner) < owner
+        gone[_spread(windows[open_], counts[open_])] = least_owners(text, begins[open_], counts[open_], owners[open_]) < owner
     copy = np.flatnonzero(~chief)
     if len(copy):
         to = _spread(windows[copy], counts[copy])
@@ -231,7 +283,7 @@ def _as_runs(values: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class _Shard:
-    """The documents of a shard that are searched, their named runs, and which names two of them hold."""
+    """The documents of a shard that are searched, in order of their ids, and their named runs."""
 
     def __init__(self, docs: pa.Table, chosen: pa.Table) -> None:
         ids = docs.column("id").combine_chunks()
@@ -245,13 +297,22 @@ class _Shard:
         self.data, self.offsets = text_buffers(text)
         self.start, self.count, self.name = named_runs(self.data, self.offsets)
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        by = np.argsort(self.name, kind="stable")
-        name, owner = self.name[by], self.ids[self.doc[by]] if len(by) else np.zeros(0, np.int64)
-        first = np.ones(len(by), bool)
-        first[1:] = name[1:] != name[:-1]
-        self.names = name[first]
-        at = np.flatnonzero(first)
-        self.several = np.maximum.reduceat(owner, at) > np.minimum.reduceat(owner, at) if len(at) else np.zeros(0, bool)
+        self.names = np.unique(self.name)
+
+    def removed(self) -> np.ndarray:
+        """For each place, whether its window also starts in a document of the shard with a smaller id."""
+        gone = np.zeros(len(self.data), bool)
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        long = np.flatnonzero(np.diff(self.offsets) >= LENGTH)
+        np.add.at(inside, self.offsets[long], 1)
+        np.add.at(inside, self.offsets[long + 1] - LENGTH + 1, -1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        if not len(long):
+            return gone
+        order, group = sorted_windows(self.data, inside)
+        owner = self.ids[np.searchsorted(self.offsets, order, "right") - 1]
+        gone[order] = _least(owner, group)[group] < owner
+        return gone
 
 
 def _deal(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -274,42 +335,47 @@ def _send_names(buckets: int):
     return run
 
 
-def _answer_names(rows: pa.Table) -> pa.Table:
-    """Which names of each list another shard holds, as bits."""
-    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("names")]
-    merged = np.sort(np.concatenate(lists))  # each list is distinct: a name that comes twice is held by two shards
-    twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
-    bits = []
-    for x in lists:
-        at = np.searchsorted(twice, x)
-        found = np.zeros(len(x), bool)
-        some = at < len(twice)
-        found[some] = twice[at[some]] == x[some]
-        bits.append(np.packbits(found).tobytes())
-    return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "bits": pa.array(bits, pa.binary())})
+def _answer_names(most: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """As bits, which names of each list another shard holds, and which more than ``most`` hold."""
+        lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("names")]
+        merged = np.sort(np.concatenate(lists))  # each list is distinct, so a name is there once for each shard
+        bits, hot = [], []
+        for x in lists:
+            held = np.searchsorted(merged, x, "right") - np.searchsorted(merged, x)
+            bits.append(np.packbits(held > 1).tobytes())
+            hot.append(np.packbits(held > most).tobytes())
+        return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "bits": pa.array(bits, pa.binary()), "hot": pa.array(hot, pa.binary())})
+
+    return run
 
 
-def _search(buckets: int, merges: int):
+def _search(buckets: int, merges: int, most: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         number = docs.column("shard")[0].as_py() if len(docs) else 0
         shard = _Shard(docs, told.filter(pc.is_valid(told.column("rep"))))
         answers = told.filter(pc.is_valid(told.column("bucket")))
-        bits = {b.as_py(): np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for b, x in zip(answers.column("bucket"), answers.column("bits"), strict=True)}
-        elsewhere = np.zeros(len(shard.names), bool)
+        unpack = lambda x: np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8))
+        bits = {b.as_py(): (unpack(x), unpack(y)) for b, x, y in zip(*(answers.column(c) for c in ("bucket", "bits", "hot")), strict=True)}
+        elsewhere, hot = np.zeros(len(shard.names), bool), np.zeros(len(shard.names), bool)
         to, low = _deal(shard.names, buckets), (shard.names & U64(0xFFFFFFFF)).astype(np.uint32)
         for bucket, mine in by_bucket(to).items():
-            elsewhere[mine] = bits[bucket][np.searchsorted(np.unique(low[mine]), low[mine])].astype(bool)
+            place = np.searchsorted(np.unique(low[mine]), low[mine])
+            elsewhere[mine], hot[mine] = (x[place].astype(bool) for x in bits[bucket])
+        gone = shard.removed()
+        window = np.flatnonzero(gone)
+        doc = np.searchsorted(shard.offsets, window, "right") - 1
+        kinds: list[tuple] = [_removed(number, shard.ids, doc, window - shard.offsets[doc])]
         which = np.searchsorted(shard.names, shard.name)
-        out_there, several = elsewhere[which], shard.several[which]
-        wanted = out_there | several
-        start, count, doc, name, out_there, several = (x[wanted] for x in (shard.start, shard.count, shard.doc, shard.name, out_there, several))
+        out_there = elsewhere[which]
+        start, count, name, is_hot = shard.start[out_there], shard.count[out_there], shard.name[out_there], hot[which[out_there]]
         window = _spread(start, count)
-        each_doc, each_out = np.repeat(doc, count), np.repeat(out_there, count)
-        gone = np.zeros(len(window), bool)
-        gone[np.repeat(several, count)] = covered(shard.data, start[several], count[several], name[several], shard.ids[doc[several]])
-        kinds: list[tuple] = [_removed(number, shard.ids, each_doc[gone], window[gone] - shard.offsets[each_doc[gone]])]
-        send = ~gone & each_out
-        kinds += _to_merge(number, merges, shard, window[send], each_doc[send], np.repeat(name, count)[send])
+        send = ~gone[window]
+        name, is_hot = np.repeat(name, count)[send], np.repeat(is_hot, count)[send]
+        window = window[send]
+        doc = np.searchsorted(shard.offsets, window, "right") - 1
+        for some, salt in ((~is_hot, 0), (is_hot, 1 + number // most)):
+            kinds += _to_merge(number, merges, salt, shard.data, shard.ids, window[some], doc[some], (window - shard.offsets[doc])[some], name[some])
         return _table([k for k in kinds if k is not None])
 
     return run
@@ -323,60 +389,72 @@ def by_bucket(to: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(values.tolist(), np.split(order, first[1:]), strict=True))
 
 
-_COLUMNS = "merge bigint, shard bigint, ids binary, starts binary, counts binary, names binary, bytes binary"
+_COLUMNS = "merge bigint, hot boolean, shard bigint, ids binary, starts binary, counts binary, names binary, bytes binary"
 
 
-def _row(merge: int, shard: int, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, names: bytes = b"", data: bytes = b"") -> tuple:
-    return merge, shard, ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), names, data
+def _row(merge: int, hot: bool, shard: int, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, names: bytes = b"", data: bytes = b"") -> tuple:
+    return merge, hot, shard, ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), names, data
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    names = ["merge", "shard", "ids", "starts", "counts", "names", "bytes"]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    names = ["merge", "hot", "shard", "ids", "starts", "counts", "names", "bytes"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 5]
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
 def _removed(shard: int, ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple | None:
-    """A row that tells a shard which runs of windows go; it passes by the merge shards (a negative number)."""
+    """A row that tells a shard which runs of windows go; it passes by the merges (a negative number)."""
     if not len(at):
         return None
     first, many = _as_runs(at, doc)
-    return _row(-1 - shard, shard, ids[doc[first]], at[first], many)
+    return _row(-1 - shard, False, shard, ids[doc[first]], at[first], many)
 
 
-def _to_merge(number: int, merges: int, shard: _Shard, window: np.ndarray, doc: np.ndarray, name: np.ndarray) -> list[tuple]:
+def _to_merge(number: int, merges: int, salt: int, text: np.ndarray, ids: np.ndarray, window: np.ndarray, doc: np.ndarray, at: np.ndarray, name: np.ndarray) -> list[tuple]:
+    """Rows for merges: windows at places of ``text``, which are at ``at`` in their document. A salt other than 0 is of a merge before the last."""
     if not len(window):
         return []
-    first, many = _as_runs(window, doc, name)
-    merge = (mix(name[first]) % U64(merges)).astype(np.int64)
+    first, many = _as_runs(window, doc, name, at - window)
+    merge = (mix(name[first] + U64(salt)) % U64(merges)).astype(np.int64)
     rows = []
     for m, part in by_bucket(merge).items():
         f = first[part]
-        text, _ = _gather(shard.data, window[f], many[part] + LENGTH - 1)
-        rows.append(_row(m, number, shard.ids[doc[f]], window[f] - shard.offsets[doc[f]], many[part], name[f].tobytes(), text.tobytes()))
+        sent, _ = _gather(text, window[f], many[part] + LENGTH - 1)
+        rows.append(_row(m, salt > 0, number, ids[doc[f]], at[f], many[part], name[f].tobytes(), sent.tobytes()))
     return rows
 
 
-def _merge(rows: pa.Table) -> pa.Table:
-    """Which of the windows that shards sent a smaller document has; rows for shards pass."""
+def _merge_as(merges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        return _merge(rows, merges)
+
+    return run
+
+
+def _merge(rows: pa.Table, merges: int) -> pa.Table:
+    """Which of the windows that shards sent a smaller document has; what is left of hot ones goes on to the last merge, rows for shards pass."""
     if rows.column("merge")[0].as_py() < 0:
         return rows
+    rows = rows.sort_by("shard")
     column = lambda name: [np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(name)]
     ids, starts, counts = column("ids"), column("starts"), column("counts")
     text = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("bytes")])
     all_counts = np.concatenate(counts)
     sizes = all_counts + LENGTH - 1
+    begins = np.cumsum(sizes) - sizes
     names = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in rows.column("names")])
-    gone = covered(text, np.cumsum(sizes) - sizes, all_counts, names, np.concatenate(ids))
-    at = _spread(np.concatenate(starts), all_counts)
+    gone = covered(text, begins, all_counts, names, np.concatenate(ids))
+    at, window = _spread(np.concatenate(starts), all_counts), _spread(begins, all_counts)
+    each_name = np.repeat(names, all_counts)
     out, lo = [], 0
-    for shard, c, i in zip(rows.column("shard").to_pylist(), counts, ids, strict=True):
-        hi = lo + int(c.sum())
-        g = gone[lo:hi]
-        doc = np.repeat(np.arange(len(c)), c)[g]
-        if len(doc):
-            out.append(_removed(shard, i, doc, at[lo:hi][g]))
-        lo = hi
+    for shard, hot, c, i in zip(rows.column("shard").to_pylist(), rows.column("hot").to_pylist(), counts, ids, strict=True):
+        here = slice(lo, lo + int(c.sum()))
+        lo = here.stop
+        g, doc = gone[here], np.repeat(np.arange(len(c)), c)
+        if g.any():
+            out.append(_removed(shard, i, doc[g], at[here][g]))
+        if hot and not g.all():
+            out += _to_merge(shard, merges, 0, text, i, window[here][~g], doc[~g], at[here][~g], each_name[here][~g])
     return _table(out)
 
 
@@ -423,7 +501,17 @@ def _cut_out(docs: pa.Table, told: pa.Table, whole_characters: bool) -> pa.Table
     return pa.table({"id": own.cast(pa.int64())} | {n: pa.array(v, t) for (n, v), t in zip(rows.items(), kinds, strict=True)} | {"row": docs.column("row")})
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    whole_characters: bool = False,
+    shard_bytes: int = SHARD_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    merge_bytes: int = MERGE_BYTES,
+    hot: int = HOT,
+) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, span_starts, span_ends, row) of every row.
 
     ``kept``: the remaining bytes; ``row``: a struct of the columns named in ``keep``, null without any.
@@ -433,17 +521,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     size = F.octet_length("text")
     narrow = cut(rows.select("id", F.when(size >= LENGTH, F.md5(F.col("text").cast("binary"))).alias("digest"), size.cast("bigint").alias("size")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards, buckets, merges = max(1, -(-total // shard_bytes)), max(16, total // bucket_bytes), max(16, total // merge_bytes)
     place = F.pmod(F.xxhash64("id"), F.lit(shards))
     dealt = rows.withColumn("shard", place).groupBy("shard")
     reps = narrow.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = cut(reps.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep"))
-    sent = dealt.cogroup(reps.groupBy("shard")).applyInArrow(tidied(_send_names(shards)), "bucket bigint, shard bigint, names binary")
-    answers = sent.groupBy("bucket").applyInArrow(tidied(_answer_names), "shard bigint, bucket bigint, bits binary")
-    told = reps.select("shard", "rep", F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(answers, allowMissingColumns=True)
-    found = dealt.cogroup(told.groupBy("shard")).applyInArrow(tidied(_search(shards, shards)), _COLUMNS)
-    merged = found.groupBy("merge").applyInArrow(tidied(_merge), _COLUMNS)
-    last = reps.select("shard", "rep").unionByName(merged.select("shard", "ids", "starts", "counts"), allowMissingColumns=True)
+    sent = dealt.cogroup(reps.groupBy("shard")).applyInArrow(tidied(_send_names(buckets)), "bucket bigint, shard bigint, names binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidied(_answer_names(hot)), "shard bigint, bucket bigint, bits binary, hot binary")
+    told = reps.select("shard", "rep").unionByName(answers, allowMissingColumns=True).select("shard", "rep", "bucket", "bits", "hot")
+    found = dealt.cogroup(told.groupBy("shard")).applyInArrow(tidied(_search(buckets, merges, hot)), _COLUMNS)
+    merged = cut(found.groupBy("merge").applyInArrow(tidied(_merge_as(merges)), _COLUMNS))
+    again = merged.filter("merge >= 0").groupBy("merge").applyInArrow(tidied(_merge_as(merges)), _COLUMNS)
+    runs = merged.filter("merge < 0").union(again).select("shard", "ids", "starts", "counts")
+    last = reps.select("shard", "rep").unionByName(runs, allowMissingColumns=True)
     schema = T.StructType.fromDDL("id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, span_starts array<bigint>, span_ends array<bigint>")
     schema = T.StructType([*schema.fields, rows.schema["row"]])
     return dealt.cogroup(last.groupBy("shard")).applyInArrow(tidied(_cut_out_as(whole_characters)), schema)

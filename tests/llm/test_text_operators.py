@@ -295,7 +295,8 @@ def brute_repeats(rows):
     return out
 
 
-def test_suffix_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 700, "hot": 3, "merge_bytes": 500, "bucket_bytes": 600}])
+def test_suffix_dedup_is_brute_force(spark, sizes):
     r = random.Random(6)
     passage = ["".join(r.choice("abé \n") for _ in range(r.randint(40, 130))) for _ in range(6)]
     rows = []
@@ -306,7 +307,7 @@ def test_suffix_dedup_is_brute_force(spark):
         rows.append((k * 3, "".join(parts)))
     rows += [(1000, rows[4][1]), (1001, "ab" * 200), (1002, "ab" * 150), (1003, None), (1004, ""), (1005, "\0" * 120), (1006, "\0" * 60 + "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(df).collect()}
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(df, **sizes).collect()}
     assert got == brute_repeats(rows)
 
 
@@ -321,6 +322,28 @@ def test_suffix_arrays_and_prefixes():
         assert keys == sorted(keys)
         shared = suffix_dedup.common_prefixes(data, order)
         assert all(shared[k] == next((j for j in range(50) if keys[k][j] != keys[k - 1][j]), 50) for k in range(1, n))
+    for n in (60, 3000):  # long repeats beside each other, so that places carry what others know
+        data = np.frombuffer((bytes(r.choice(b"abc") for _ in range(n // 3)) * 4)[:n] + b"ab" * 60, np.uint8)
+        order = suffix_dedup.sorted_suffixes(data)
+        padded = data.tobytes() + bytes(50)
+        keys = [padded[i : i + 50] for i in order]
+        shared = suffix_dedup.common_prefixes(data, order)
+        assert keys == sorted(keys)
+        assert all(shared[k] == next((j for j in range(50) if keys[k][j] != keys[k - 1][j]), 50) for k in range(1, len(data)))
+
+
+def test_lists_merge_by_binary_search():
+    r = np.random.default_rng(3)
+    for most in (1, 2, 5, 8):
+        lists, want = [], {}
+        for _ in range(most):
+            keys = np.unique(r.integers(0, 60, r.integers(1, 40)).astype("S50"))
+            own = r.integers(0, 1000, len(keys))
+            lists.append((keys, own))
+            for k, o in zip(keys.tolist(), own.tolist(), strict=True):
+                want[k] = min(o, want.get(k, o))
+        keys, least = suffix_dedup.merge_lists(lists)
+        assert dict(zip(keys.tolist(), least.tolist(), strict=True)) == want and keys.tolist() == sorted(want)
 
 
 def test_ordinal_held_out(spark, sf):
