@@ -5,11 +5,15 @@ A text is lowered and split into letters and digits. Each anchor (a very common
 navigation and advertisement has few anchors, so it hardly counts. A text without a signature has one of its own: the hash
 of its words, or of itself where it has none. So equal texts have equal sets, and no set is empty.
 
-``near_pairs`` compares sets: texts are put into partitions by the size of the set such that sets in partitions that
-aren't neighbours can't reach the threshold, and within them only sets that share one of their rarest signatures
-are compared, with the sizes checked first. Equal sets are one class; classes are compared, not copies.
-
-Everything is DataFrame functions. Null texts count as empty; repeated rows and ties of the key are in order of their text.
+``near_pairs`` compares sets. Equal sets are one class; classes are compared, not copies. Classes are put into partitions by the size of the set,
+such that sets in partitions that aren't neighbours can't reach the threshold, and within them only sets that share one of their rarest signatures
+meet, with the sizes checked first (a set of n needs no more than its n - ceil(percent * n / 100) + 1 rarest). Where more than ``PAIRS`` classes
+share a signature and a partition, they are split by a second rare signature, which sets that reach the threshold share as well. Rare is
+what counters of a fixed number say, so the order of all signatures is a table of ``SLOTS`` bytes, whatever the input; a poor order costs time and loses nothing.
+
+Everything is DataFrame functions. Null and empty texts have the one signature of no words; very long texts are read whole. Repeated rows and ties of the key are in
+order of their text. Documents without a key have neither class nor links; rows that share a key have its smallest class. Extra columns are ignored. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ COMMON = ANCHORS + [
     "sur", "une", "al", "como", "con", "del", "las", "no", "para", "por", "se", "su", "y",
 ]
 CHAIN = 2
+PAIRS, SLOTS = 256, 1 << 16
+RANGE_ROWS, MOST_RANGES = 20_000, 16_384
 
 
 def signatures(text: Column) -> Column:
@@ -63,81 +69,129 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def with_next(docs: DataFrame, key: str, text: str, derive, ranges: int | None = None) -> DataFrame:
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array from one literal, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _place(docs: DataFrame, key: str) -> Column:
+    """The range of a key: cut at approximate quantiles into ranges of some ``RANGE_ROWS`` rows; null has one of its own."""
+    ranges = max(1, min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    found = docs.select(F.percentile_approx(key, _numbers([k / ranges for k in range(1, ranges)], "double"), 20 * ranges)).first()[0] if ranges > 1 else None
+    cuts = sorted(set(found or []))
+    if not cuts:
+        return F.when(F.col(key).isNull(), -1).otherwise(0)
+    step = math.isqrt(len(cuts)) + 1  # two steps of about the root of their number, not one comparison for each
+    tops = _numbers(cuts[::step], "bigint")
+    inner = F.transform(F.split(F.lit(";".join(",".join(map(str, cuts[i : i + step])) for i in range(0, len(cuts), step))), ";"), lambda x: F.split(x, ",").cast("array<bigint>"))
+    block = F.size(F.filter(tops, lambda m: m <= F.col(key)))
+    within = let(block, lambda b: F.when(b > 0, (b - 1) * step + F.size(F.filter(F.get(inner, b - 1), lambda m: m <= F.col(key)))).otherwise(0))
+    return F.when(F.col(key).isNull(), -1).otherwise(within)
+
+
+def with_next(docs: DataFrame, key: str, text: str, derive, info: DataFrame | None = None) -> DataFrame:
     """``derive(docs)`` with ``next``, a struct of the text and derived columns of the next row by key (null first, then by text); the last has the first.
 
-    The key range is cut at approximate quantiles; rows follow each other within a range, and the last of a
-    range gets the first row of the next. No task sees more than a range; the table of ranges has ``ranges`` rows.
+    Rows follow each other within a range of keys, and the last of a range gets the first row of the next. No task sees more than a range; the
+    table of ranges has one row each. Texts mustn't be null. ``info``: columns by key (one row each) that rows get along the way, without another exchange.
     """
-    spark = docs.sparkSession
-    ranges = ranges or min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = docs.select(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    marks = sorted(set(marks or []))
-    if marks:  # two steps of about the root of their number, not one comparison for each mark
-        step = math.isqrt(len(marks)) + 1
-        blocks = [marks[i : i + step] for i in range(0, len(marks), step)]
-        tops = F.array(*[F.lit(b[0]).cast("bigint") for b in blocks])
-        inner = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in b]) for b in blocks])
-        block = F.size(F.filter(tops, lambda m: m <= F.col(key)))
-        within = let(block, lambda b: F.when(b > 0, (b - 1) * step + F.size(F.filter(F.get(inner, b - 1), lambda m: m <= F.col(key)))).otherwise(0))
-        place = F.when(F.col(key).isNull(), -1).otherwise(within)
-    else:
-        place = F.when(F.col(key).isNull(), -1).otherwise(0)
+    place = _place(docs, key)
     placed = docs.withColumn("_range", place)
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    order = [F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first()]
     derived = derive(placed)
     rows = [text, *(c for c in derived.columns if c not in placed.columns)]
-    step_on = derived.withColumn("_lead", F.lead(F.struct(*rows)).over(order))
+    here = derived.withColumn("_row", F.struct(*rows))
+    if info is not None:  # a row without text before those of its key
+        here = here.unionByName(info.withColumn("_range", place), allowMissingColumns=True)
+        known = Window.partitionBy("_range", key).orderBy(order[1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        here = here.withColumns({c: F.last(c, ignorenulls=True).over(known) for c in info.columns if c != key})
+    step_on = here.withColumn("_lead", F.lead("_row").over(Window.partitionBy("_range").orderBy(*order)) if info is None else F.expr(
+        f"lead(_row) ignore nulls over (partition by _range order by `{key}` asc nulls first, `{text}` asc nulls first)")).drop("_row").filter(F.col(text).isNotNull())
     firsts = placed.groupBy("_range").agg(F.min(key).alias("_first"))
     ahead = Window.orderBy("_range")
     wrap = F.first("_first").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     wrap_range = F.first("_range").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select(F.col("_range").alias("_of"), F.when(F.lead("_range").over(ahead).isNull(), wrap).otherwise(F.lead("_first").over(ahead)).alias("_want"),
         F.coalesce(F.lead("_range").over(ahead), wrap_range).alias("_in"))
-    heads = placed.join(F.broadcast(firsts), (F.col("_range") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_want")))  # at most ``ranges`` rows
+    heads = placed.join(F.broadcast(firsts), (F.col("_range") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_want")))  # one key of each range
     heads = derive(heads.groupBy("_of").agg(F.min(text).alias(text))).select("_of", F.struct(*rows).alias("_head"))
     joined = step_on.join(heads, F.col("_range") == F.col("_of"), "left")
     return joined.withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head", "_of", "_range")
 
 
-def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's fingerprint, that of its text with the last quarter replaced from the next document, and their likeness."""
+def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """Each document's fingerprint, that of its text with the last quarter replaced from the next document, and their likeness.
+
+    ``class_id``: the smallest key with the same fingerprint; ``n_links``: how many other fingerprints of all documents reach the threshold with it.
+    """
+    members, pairs = near_pairs(docs, percent, key, text)
+    ends = F.explode(F.array("a", "b")).alias("class")
+    links = pairs.select(ends).groupBy("class").agg(F.count("*").alias("n_links"))
+    info = cut(members.groupBy(key).agg(F.min("class").alias("class")).join(links, "class", "left").select(key, F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = with_next(rows, key, "t", lambda df: df.withColumn("sigs", signatures(F.col("t"))))
+    rows = with_next(rows, key, "t", lambda df: df.withColumn("sigs", signatures(F.col("t"))), info)
     n = F.length("t")
     quarter = F.floor(n / 4).cast("int")
-    rows = rows.select(key, n.cast("bigint").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"),
+    rows = rows.select(key, "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), n.cast("bigint").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"),
         F.concat(F.substring("t", F.lit(1), n - quarter), F.substring(F.col("next.t"), F.lit(1), quarter)).alias("edited"))
     out = F.struct(
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sigs")).alias("fingerprint"), let(
             signatures(F.col("edited")), lambda e: F.struct(as_string(e).alias("s"), likeness(F.col("sigs"), e).alias("near"))).alias("e"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
-    rows = rows.select(key, "n_chars", out.alias("o"))
-    return rows.select(key, "n_chars", "o.edited_sha256", "o.fingerprint", F.col("o.e.s").alias("edited_fingerprint"), F.col("o.e.near").alias("near_edited"), "o.near_next")
+    rows = rows.select(key, "n_chars", "class_id", "n_links", out.alias("o"))
+    return rows.select(key, "n_chars", "o.edited_sha256", "o.fingerprint", F.col("o.e.s").alias("edited_fingerprint"), F.col("o.e.near").alias("near_edited"), "o.near_next", "class_id", "n_links")
+
 
+def partition_bounds(percent: int) -> list[int]:
+    """Smallest sizes of the partitions: sizes x <= y with 100 * x >= percent * y are in one or in neighbours."""
+    bounds = [1]
+    while bounds[-1] < 1 << 31:
+        bounds.append(bounds[-1] * 100 // percent + 1)
+    return bounds
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, class) of every document, and (a, b, likeness) of classes whose likeness reaches the threshold.
+
+def _rarity(classes: DataFrame) -> Column:
+    """One byte for each of ``SLOTS`` counters of signatures, higher for more, as a constant."""
+    counts = classes.select(F.explode("sigs").alias("sig")).groupBy(F.pmod("sig", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("c"))
+    level = bytearray(SLOTS)
+    for r in counts.collect():  # SLOTS rows at most
+        level[r["slot"]] = min(255, int(4 * math.log2(r["c"])))
+    return F.lit(bytes(level))
+
+
+def _meet(rows: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that agree in ``on`` and are in one partition or in neighbours, the smaller set first."""
+    left = rows.select(F.col("class").alias("a"), F.col("n").alias("na"), *on, F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = rows.select(F.col("class").alias("b"), F.col("n").alias("nb"), *on, "part")
+    close = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return left.join(right, [*on, "part"]).filter(close & (100 * F.col("na") >= percent * F.col("nb"))).select("a", "b").distinct()
+
+
+def near_pairs(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(key, class) of every document, and (a, b, likeness) of classes whose likeness reaches ``percent`` / 100.
 
     A class is named by its smallest key; documents without a key are left out of both.
     """
     sets = cut(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), signatures(F.col(text)).alias("sigs")))
-    digest = F.sha2(as_string(F.col("sigs")).cast("binary"), 256)
-    classes = sets.groupBy(digest.alias("d")).agg(F.min("id").alias("class"), F.min_by("sigs", "id").alias("sigs"))
-    members = sets.select("id", digest.alias("d")).join(classes.select("d", "class"), "d").select(F.col("id").alias(key), "class")
-    classes = cut(classes.select("class", "sigs"))
-    rare = classes.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    counts = rare.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = rare.join(counts, "sig", "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    by_count = Window.partitionBy("class").orderBy("c", "sig")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
-    heads = shared.withColumn("k", F.row_number().over(by_count)).filter((F.col("k") <= prefix) & (F.col("c") > 1))
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))) if threshold < 1 else F.col("n")
-    heads = heads.withColumn("part", part.cast("int")).select("class", "n", "sig", "part")
-    left = heads.select(F.col("class").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = heads.select(F.col("class").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    close = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["sig", "part"]).filter(close & (F.col("na") >= F.col("nb") * F.lit(threshold))).select("a", "b").distinct()
+    classes = cut(sets.groupBy("sigs").agg(F.min("id").alias("class")))
+    name = [F.xxhash64("sigs").alias("d"), F.xxhash64(F.lit(1), "sigs").alias("e")]
+    members = sets.select("id", *name).join(classes.select("class", *name), ["d", "e"]).select(F.col("id").alias(key), "class")
+    levels, bounds = _rarity(classes), _numbers(partition_bounds(percent), "bigint")
+    ranked = F.sort_array(F.transform("sigs", lambda s: F.struct(F.substring(levels, F.pmod(s, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("r"), s.alias("s"))))
+    n = F.size("sigs")
+    prefix = (n - F.floor((percent * n + 99) / 100) + 1).cast("int")
+    rare = F.transform(F.slice(ranked, 1, prefix + 1), lambda x: x["s"])
+    part = F.size(F.filter(bounds, lambda b: b <= n))
+    heads = classes.select("class", n.alias("n"), part.alias("part"), prefix.alias("prefix"), rare.alias("rare"))
+    heads = heads.select("class", "n", "part", "rare", F.explode(F.slice("rare", 1, F.col("prefix"))).alias("sig"))
+    both = F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")
+    groups = heads.select("sig", both).groupBy("sig", "part").agg(F.count("*").alias("many")).filter("many > 1")
+    hot = cut(groups.filter(F.col("many") > most).select("sig").distinct())  # their number is a small part of the classes
+    cold = heads.drop("rare").join(hot, "sig", "left_anti")
+    again = heads.join(hot, "sig", "left_semi").select("class", "n", "part", "sig", F.explode("rare").alias("other")).filter("sig != other")
+    again = again.select("class", "n", "part", F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other")).distinct()
+    pairs = _meet(cold, ["sig"], percent).union(_meet(again, ["sig", "other"], percent)).distinct()
     a, b = classes.select(F.col("class").alias("a"), F.col("sigs").alias("sa")), classes.select(F.col("class").alias("b"), F.col("sigs").alias("sb"))
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
-    return members, found.filter(F.col("likeness") >= threshold)
+    shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    found = cut(pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("both"), sizes.alias("all")).filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))))
+    return members, found.select("a", "b", (F.col("both") / (F.col("all") - F.col("both"))).alias("likeness"))

@@ -226,15 +226,32 @@ def test_spotsigs_is_brute_force(docs):
         assert r["near_next"] == len(sets[k] & sets[n]) / len(sets[k] | sets[n])
 
 
-def test_spotsigs_pairs(docs):
+@pytest.mark.parametrize(("percent", "most"), [(80, 256), (60, 256), (60, 1), (55, 3)])
+def test_spotsigs_pairs(docs, percent, most):
     rows = {r["doc_id"]: spot_set(r["text"] or "") for r in docs.collect()}
-    members, pairs = spotsigs.near_pairs(docs, 0.6)
+    members, pairs = spotsigs.near_pairs(docs, percent, most=most)
     name = {r["doc_id"]: r["class"] for r in members.collect()}
     first = {}
     for k in sorted(rows):
         assert name[k] == first.setdefault(frozenset(rows[k]), k)
-    expected = {tuple(sorted((a, b))) for a in set(name.values()) for b in set(name.values()) if a < b and len(rows[a] & rows[b]) >= 0.6 * len(rows[a] | rows[b])}
+    # sets of a class or two share so few signatures that a second one isn't there; they can't be near and differ
+    expected = {tuple(sorted((a, b))) for a in set(name.values()) for b in set(name.values()) if a < b and 100 * len(rows[a] & rows[b]) >= percent * len(rows[a] | rows[b])}
     assert {tuple(sorted((r["a"], r["b"]))) for r in pairs.collect()} == expected
+    if percent == 80:
+        links = Counter(x for p in expected for x in p)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spotsigs.edited_pairs(docs).collect()}
+        assert got == {k: (name[k], links[name[k]]) for k in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 55, 80, 99, 100])
+def test_spotsigs_bounds(percent):
+    """Sizes that may reach the threshold are in one partition or in neighbours."""
+    bounds = spotsigs.partition_bounds(percent)
+    part = lambda n: sum(b <= n for b in bounds)
+    for y in range(1, 400):
+        for x in range(1, y + 1):
+            if 100 * x >= percent * y:
+                assert part(y) - part(x) in (0, 1)
 
 
 def brute_components(rows, width, percent):
