@@ -9,17 +9,12 @@ Bands of the signature name buckets. Documents with equal sets are one class fro
 one member of a bucket. Each bucket gives star edges: its centre (the smallest id) to each member, so the number of
 candidates grows with members, not their square. Candidates are checked on their full sets.
 
-Stars may leave members of one bucket in different components. What is left of a bucket is compared as well, without a loss:
-
-* up to ``PAIRS`` members: within the join, so no member is compared with more than that;
-* beyond, the bucket is split by shingles. Sets that reach the threshold share one of their rarest shingles (a fifth of each set and
-  one more, in any one order of all shingles), so only members that share one of these meet; a group that is still
-  larger than ``PAIRS`` is split again by a second rare shingle that both must share. The order is by counts in ``SLOTS`` counters, a
-  table of fixed size; a poor order costs time and loses nothing.
-
-Pairs so found are of different components and of sizes that allow a link. Their sketches (``BITS`` bits, each the parity of the hashes
-that fall on it) are compared first: at least as many hashes differ as bits, so sketches that differ in more than the sets may
-rule a pair out for certain. What remains is checked on full sets. A pair is missed only if it shares no bucket.
+Stars may leave members of one bucket in different components. These are compared as well, without a loss: sets that reach the threshold
+share one of their rarest shingles (a fifth of each set and one more, in any one order of all shingles), so members meet where they share one of
+these and their components differ, not in the bucket: what a boilerplate passage has put together is kept apart. The order is by counts in ``SLOTS`` counters, a
+table of fixed size; a poor order costs time and loses nothing. Pairs that meet are compared within the join by sizes and by sketches (``BITS`` bits, each the
+parity of the hashes that fall on it): at least as many hashes differ as bits, so sketches that differ in more than the sets may rule a pair out for
+certain. What remains comes out and is checked on full sets. A pair is missed only if it shares no bucket.
 
 Inputs: null and empty texts and texts without words have no set and link with nothing. A null id links with nothing
 and has a null component; it is kept. Rows that share an id are one document, its sets all lead to that id. Equal ids,
@@ -39,9 +34,7 @@ from ._common import U64, cut, fresh, frugal, list_array, mix, release, row_chun
 from .components import components
 
 BINS, BANDS, BAND_ROWS = 128, 32, 4
-BITS = 2048
-#: Members of a bucket that are compared pair by pair; larger buckets are split.
-PAIRS = 256
+BITS = 1024
 #: Counters of shingles by which rare ones are told.
 SLOTS = 1 << 17
 CHUNK = 1 << 20
@@ -219,10 +212,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(_WORDS)))], ["rep", *_WORDS])
 
 
-def _mixed(rest: DataFrame, *key: str) -> DataFrame:
-    """Rows of groups that hold more than one component, with ``many``, the rows of the group."""
-    mixed = rest.groupBy(*key).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("many")).filter("p != q").drop("p", "q")
-    return rest.join(mixed, list(key))
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of groups that hold more than one component."""
+    mixed = rows.groupBy(key).agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(key)
+    return rows.join(mixed, key, "left_semi")
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -238,45 +231,41 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["slot", "c"])
 
 
-def rarest(set_: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The rarest hashes of a set in order, one more than its prefix, and the length of the prefix.
-
-    Sets that reach the threshold have ceil(percent * n / 100) hashes in common or more, so their prefixes share one and the longer ones two.
-    """
+def rarest(set_: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest hashes of a set: sets that reach the threshold have ceil(percent * n / 100) hashes in common or more, so these share one."""
     n = len(set_)
-    prefix = n - -(-percent * n // 100) + 1
-    return set_[np.lexsort((set_, counts[_slot(set_)]))[: prefix + 1]], prefix
+    return set_[np.lexsort((set_, counts[_slot(set_)]))[: n - -(-percent * n // 100) + 1]]
 
 
 def _rarest(counts: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             each = [rarest(np.frombuffer(x.as_buffer(), U64), counts, percent) for x in batch.column(1)]
-            rare = list_array(np.concatenate([r for r, _ in each]).view(np.int64), np.array([len(r) for r, _ in each]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for _, p in each], pa.int32()), rare], ["rep", "prefix", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(each).view(np.int64), np.array(list(map(len, each))), pa.int64())], ["rep", "rare"])
 
     return run
 
 
-def _met(rows: DataFrame, key: list[str], long_enough: Column) -> DataFrame:
-    """Pairs (a, b, na, nb) of rows of one key that are of different components."""
-    side = lambda x: rows.select(*key, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
-    return side("a").join(side("b"), key).filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & long_enough).select("a", "b", "na", "nb").distinct()
-
-
-def _split(hot: DataFrame, sets: DataFrame, percent: int, long_enough: Column) -> DataFrame:
-    """Pairs of members of large buckets that share a rare shingle, or two where many share one."""
-    own = sets.join(cut(hot.select("rep").distinct()), "rep", "left_semi")
+def _beside(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of ``rest`` (rep, n, part) that share a rare hash, are of different components and whose sizes and sketches allow a link."""
+    own = sets.join(rest.select("rep"), "rep", "left_semi")
     slots = own.mapInArrow(frugal(_slot_counts), "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int32)
     counts[slots.column("slot").to_numpy()] = np.minimum(slots.column("c").to_numpy(), 2**31 - 1)
-    rare = cut(own.mapInArrow(frugal(_rarest(counts, percent)), "rep bigint, prefix int, rare array<bigint>"))
-    once = hot.drop("many").join(rare, "rep").select("bucket", "rep", "n", "part", F.explode(F.expr("slice(rare, 1, prefix)")).alias("h"))
-    once = cut(_mixed(once, "bucket", "h"))
-    pairs = _met(once.filter(F.col("many") <= PAIRS), ["bucket", "h"], long_enough)
-    again = once.filter(F.col("many") > PAIRS).drop("many").join(rare, "rep").select("bucket", "rep", "n", "part", "h", F.explode("rare").alias("i")).filter("h != i")
-    again = again.select("bucket", "rep", "n", "part", F.least("h", "i").alias("h"), F.greatest("h", "i").alias("i")).distinct()
-    return pairs.union(_met(_mixed(again, "bucket", "h", "i"), ["bucket", "h", "i"], long_enough)).distinct()
+    rare = own.mapInArrow(frugal(_rarest(counts, percent)), "rep bigint, rare array<bigint>")
+    rows = cut(rest.join(rare, "rep").select("rep", "n", "part", F.explode("rare").alias("h")))
+    sketches = own.mapInArrow(frugal(_sketched), "rep bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    rows = _mixed(rows, "h").join(sketches, "rep")
+    side = lambda x: rows.select("h", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), *(F.col(w).alias(f"{x}{w}") for w in _WORDS))
+    differ = F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0")))
+    for w in _WORDS[1:]:
+        differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))  # holds for every pair that reaches the threshold
+    return side("a").join(side("b"), "h").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _long_enough(percent) & near).select("a", "b", "na", "nb").distinct()
+
+
+def _long_enough(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,41 +275,21 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.join(pairs, ["a", "b"]).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def links(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Checked links (a, b) between classes.
-
-    ``members``: (bucket, rep, n) of buckets with two or more classes; ``names``: (rep, bands), the buckets of each class in the same order. A pair
-    of a small bucket comes out of the first bucket that both share; where that has one of them as its centre, it was checked as a star.
-    """
-    long_enough = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Checked links (a, b) between classes. ``members``: (bucket, rep, n) of buckets with two or more classes."""
     centres = cut(members.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("na"))).alias("c")).select("bucket", "c.*"))
     other = members.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    stars = cut(other.join(centres, "bucket").filter((F.col("a") < F.col("b")) & long_enough).select("a", "b", "na", "nb").distinct())
+    stars = cut(other.join(centres, "bucket").filter((F.col("a") < F.col("b")) & _long_enough(percent)).select("a", "b", "na", "nb").distinct())
     edges = cut(_checked(stars, sets, percent))
     parts = components(edges)
     release(members.sparkSession)
     rest = members.join(centres.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
     rest = rest.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    rest = cut(_mixed(rest, "bucket"))
+    rest = cut(_mixed(rest, "bucket").select("rep", "n", "part").distinct())
     if rest.isEmpty():
         return edges
     release(members.sparkSession)
-    sketches = cut(sets.join(rest.select("rep").distinct(), "rep", "left_semi").mapInArrow(frugal(_sketched), "rep bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)))
-    bits = lambda x: [F.col(w).alias(f"{x}{w}") for w in _WORDS]
-    differ = F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0")))
-    for w in _WORDS[1:]:
-        differ = differ + F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")))
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))  # holds for every pair that reaches the threshold
-    rows = rest.filter(F.col("many") <= PAIRS).join(sketches.join(names, "rep"), "rep")
-    side = lambda x: rows.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), F.col("bands").alias(f"k{x}"), *bits(x))
-    first = F.get(F.array_intersect("ka", "kb"), 0) == F.col("bucket")
-    pairs = side("a").join(side("b"), "bucket").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & long_enough & near & first)
-    pairs = cut(pairs.select("a", "b", "na", "nb").join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    hot = rest.filter(F.col("many") > PAIRS)
-    if not hot.isEmpty():
-        met = cut(_split(hot, sets, percent, long_enough).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-        a, b = sketches.select(F.col("rep").alias("a"), *bits("a")), sketches.select(F.col("rep").alias("b"), *bits("b"))
-        pairs = cut(pairs.union(met.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb")).distinct())
+    pairs = cut(_beside(rest, sets, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     release(members.sparkSession)
     return edges.union(_checked(pairs, sets, percent))
 
@@ -335,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     members = cut(every.join(shared, "bucket", "left_semi").distinct())
     sets = written(full_sets(docs, key, text, width, members.select("rep").distinct()).dropDuplicates(["rep"]), compression="none")
     release(docs.sparkSession)
-    edges = cut(links(members, classes.select("rep", "bands"), sets, percent))
+    edges = cut(links(members, sets, percent))
     by_set = named.select("id", "set_a", "set_b", "n").join(classes.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
     copies = by_set.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = rows.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
