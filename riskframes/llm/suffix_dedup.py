@@ -86,21 +86,24 @@ def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(names)
 
 
-def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """All suffix starts of ``data`` in order of their first ``depth`` bytes (as if zero bytes followed the end)."""
+def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
+    """All suffix starts of ``data`` in order of their first ``depth`` bytes (as if zero bytes followed the end).
+
+    Beside it, the slots whose suffix agrees with that of the slot before in the bytes that were known before the last turn, and how many these are.
+    """
     n = len(data)
     block = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
     first = np.ndarray((n,), ">u8", block, 0, (1,)).astype(U64)
     order = np.argsort(first).astype(np.int32)
     key = first[order]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
+    head = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=head[1:])
     del first, key
     slot = np.arange(n, dtype=np.int32)
-    group = np.maximum.accumulate(np.where(head, slot, 0)).astype(np.int32)
     rank = np.zeros(n + depth + 16, np.int32)  # past the end: 0, and ranks of suffixes count from 1
-    rank[order] = group + 1
+    rank[order] = np.maximum.accumulate(np.where(head, slot, 0)) + 1
     known = 8
-    slots = _tied(head, slot)
+    slots, alike = _tied(head, slot), np.flatnonzero(~head)
     while known < depth and len(slots):
         hop = min(known, depth - known)
         at = order[slots]
@@ -108,70 +111,75 @@ def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        starts = np.maximum.accumulate(np.where(fresh, slots, 0))
-        rank[at] = starts + 1
+        new = np.ones(len(slots), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        if known + hop == depth:
+            old = np.ones(len(slots), bool)
+            np.not_equal(key[1:] >> 32, key[:-1] >> 32, out=old[1:])
+            return order, slots[~old], known
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0)) + 1
         known += hop
-        slots = slots[_tied(fresh, np.arange(len(slots), dtype=np.int64))]
-    return order
+        slots = slots[_tied(new, np.arange(len(slots), dtype=np.int32))]
+    return order, slots[:0] if known > 8 else alike, known
 
 
 def _tied(head: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The slots whose group has two or more members."""
-    alone = head & np.append(head[1:], True)
+    alone = head.copy()
+    alone[:-1] &= head[1:]
     return slots[~alone]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Bytes that each suffix in ``order`` shares with the one before it, up to ``depth``.
+def common_prefixes(data: np.ndarray, order: np.ndarray, alike: np.ndarray, known: int, depth: int = LENGTH) -> np.ndarray:
+    """For the slots ``alike`` of ``order``, whose suffixes share ``known`` bytes with the ones before them: how many they share, up to ``depth``.
 
     Kasai's way: if a suffix shares h < ``depth`` bytes with the one before it, the suffix d places on shares h - d or more with the one before
-    that (suffixes that tie to ``depth`` are in no order beyond, so they carry nothing). Every eighth place is compared from its first byte, then those halfway between
-    from what the place before leaves known, and so on; eight bytes at a time for all places of a turn.
+    that (suffixes that tie to ``depth`` are in no order beyond, so they carry nothing). Places at a multiple of eight are compared first, then those halfway
+    between from what the place before them leaves known, and so on; eight bytes at a time for all places of a turn.
     """
     n = len(data)
     block = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
     words = np.ndarray((n + depth + 8,), "<u8", block, 0, (1,))
-    before = np.full(n, -1, np.int32)
-    before[order[1:]] = order[:-1]
+    place, before = order[alike], order[alike - 1]
     shared = np.zeros(n, np.int16)
-    for first, step, back in ((0, 8, 0), (4, 8, 4), (2, 4, 2), (1, 2, 1)):
-        at = np.arange(first, n, step, dtype=np.int32)
-        known = np.zeros(len(at), np.int32)
+    kind = place & 7
+    for turn, back in ((kind == 0, 0), (kind == 4, 4), ((kind & 3) == 2, 2), ((kind & 1) == 1, 1)):
+        at, left = place[turn], before[turn]
+        least = np.full(len(at), known, np.int32)
         if back:
-            left = shared[at - back].astype(np.int32)
-            known = np.where(left < depth, np.maximum(left - back, 0), 0).astype(np.int32)
-        some = before[at] >= 0
-        at, known = at[some], known[some]
+            carried = shared[at - back].astype(np.int32)
+            least = np.maximum(least, np.where(carried < depth, carried - back, 0))
         while len(at):
-            differ = words[at + known] ^ words[before[at] + known]
+            differ = words[at + least] ^ words[left + least]
             same = differ == 0
             apart = ~same
             bits = differ[apart]
             low = bits & (~bits + U64(1))
-            shared[at[apart]] = np.minimum(known[apart] + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3), depth)
-            at, known = at[same], known[same] + 8
-            far = known >= depth
+            shared[at[apart]] = np.minimum(least[apart] + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3), depth)
+            at, left, least = at[same], left[same], least[same] + 8
+            far = least >= depth
             if far.any():
                 shared[at[far]] = depth
-                at, known = at[~far], known[~far]
-    return shared[order]
+                at, left, least = at[~far], left[~far], least[~far]
+    return shared[place]
 
 
 def sorted_windows(data: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The window starts of ``data`` in order of their bytes (marked True in ``window``), and for each the index of its group of equal ones."""
-    order = sorted_suffixes(data)
-    group = np.cumsum(common_prefixes(data, order) < LENGTH, dtype=np.int32)
+    """The window starts of ``data`` (marked True in ``window``) in order of their bytes, and where each group of equal ones begins."""
+    order, alike, known = sorted_suffixes(data)
+    new = np.ones(len(order), bool)
+    new[alike[common_prefixes(data, order, alike, known) >= LENGTH]] = False
     keep = window[order]
-    order, group = order[keep], group[keep]
-    new = np.ones(len(group), bool)
-    new[1:] = group[1:] != group[:-1]
-    return order, np.cumsum(new, dtype=np.int32) - 1
+    if not keep.all():  # a group begins at the first of it that is a window
+        group = np.cumsum(new, dtype=np.int32)[keep]
+        order, new = order[keep], np.ones(len(group), bool)
+        np.not_equal(group[1:], group[:-1], out=new[1:])
+    return order, np.flatnonzero(new)
 
 
-def _least(owner: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The smallest owner of each group; groups ascend from 0."""
-    return np.minimum.reduceat(owner, np.searchsorted(group, np.arange(group[-1] + 1))) if len(group) else owner
+def _each(firsts: np.ndarray, n: int) -> np.ndarray:
+    """How many members each group has."""
+    return np.diff(np.append(firsts, n))
 
 
 def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +208,16 @@ def least_owners(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, owner
         starts = _spread(at, counts[i:j])
         slot = np.full(len(part), -1, np.int32)
         slot[starts] = np.arange(len(starts), dtype=np.int32)
-        order, group = sorted_windows(part, slot >= 0)
-        firsts = np.searchsorted(group, np.arange(group[-1] + 1))
+        order, firsts = sorted_windows(part, slot >= 0)
         keys = np.ndarray((len(part) - LENGTH + 1,), f"S{LENGTH}", part, 0, (1,))[order[firsts]]
         which = slot[order]
-        lists.append((keys, _least(np.repeat(owners[i:j], counts[i:j])[which], group)))
-        where.append((keys, group, which))
+        lists.append((keys, np.minimum.reduceat(np.repeat(owners[i:j], counts[i:j])[which], firsts)))
+        where.append((keys, _each(firsts, len(order)), which))
     keys, least = merge_lists(lists)
     out = []
-    for own, group, which in where:
+    for own, many, which in where:
         each = np.empty(len(which), np.int64)
-        each[which] = least[np.searchsorted(keys, own)][group]
+        each[which] = np.repeat(least[np.searchsorted(keys, own)], many)
         out.append(each)
     return np.concatenate(out)
 
@@ -309,9 +316,10 @@ class _Shard:
         inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
         if not len(long):
             return gone
-        order, group = sorted_windows(self.data, inside)
-        owner = self.ids[np.searchsorted(self.offsets, order, "right") - 1]
-        gone[order] = _least(owner, group)[group] < owner
+        order, firsts = sorted_windows(self.data, inside)
+        rank = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)  # rows with equal ids are one owner
+        owner = np.repeat(rank, np.diff(self.offsets))[order]
+        gone[order] = np.repeat(np.minimum.reduceat(owner, firsts), _each(firsts, len(order))) < owner
         return gone
 
 
@@ -530,9 +538,9 @@ def remove_repeats(
     answers = sent.groupBy("bucket").applyInArrow(tidied(_answer_names(hot)), "shard bigint, bucket bigint, bits binary, hot binary")
     told = reps.select("shard", "rep").unionByName(answers, allowMissingColumns=True).select("shard", "rep", "bucket", "bits", "hot")
     found = dealt.cogroup(told.groupBy("shard")).applyInArrow(tidied(_search(buckets, merges, hot)), _COLUMNS)
-    merged = cut(found.groupBy("merge").applyInArrow(tidied(_merge_as(merges)), _COLUMNS))
-    again = merged.filter("merge >= 0").groupBy("merge").applyInArrow(tidied(_merge_as(merges)), _COLUMNS)
-    runs = merged.filter("merge < 0").union(again).select("shard", "ids", "starts", "counts")
+    for _ in range(2):  # hot names in two steps; all else passes the second
+        found = found.groupBy("merge").applyInArrow(tidied(_merge_as(merges)), _COLUMNS)
+    runs = found.select("shard", "ids", "starts", "counts")
     last = reps.select("shard", "rep").unionByName(runs, allowMissingColumns=True)
     schema = T.StructType.fromDDL("id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, span_starts array<bigint>, span_ends array<bigint>")
     schema = T.StructType([*schema.fields, rows.schema["row"]])
