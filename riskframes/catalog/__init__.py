@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import causal, models, panel, risk
+from . import causal, fits, models, panel, risk
 
-MODULES = (panel, risk, causal, models)
+MODULES = (panel, risk, causal, models, fits)
 
 
 def queries() -> dict:

@@ -106,12 +106,12 @@ st AS (SELECT path, -1 AS t, {_cut(uniform_sql(SEED, 'path', "'start'"), cf.STAR
   UNION ALL SELECT st.path, st.t + 1, CASE st.z {' '.join(f"WHEN {k} THEN {_cut('u', row)}" for k, row in enumerate(cf.TRANSITIONS))} END FROM st JOIN exo ON exo.path = st.path AND exo.t = st.t + 1)"""
 
 
-def _sim(name: str, do: cf.Intervention | None) -> str:
+def _sim(name: str, do: cf.Intervention | None, model: cf.Structure = MODEL, exo: str = "exo") -> str:
     """A recursive table of one simulation: each equation in a lateral step."""
     do = do or cf.Intervention()
     sql, done = [], {}
-    for v in cf.EQUATIONS:
-        total = f"e_{v}" + "".join(f" + ({c!r}) * {'s.' + n if b else done[n]}" for n, b, c in cf.EQUATIONS[v]) + f" + CASE z WHEN 0 THEN {cf.INTERCEPTS[v][0]!r} WHEN 1 THEN {cf.INTERCEPTS[v][1]!r} ELSE {cf.INTERCEPTS[v][2]!r} END"
+    for v in model.equations:
+        total = f"e_{v}" + "".join(f" + ({c!r}) * {'s.' + n if b else done[n]}" for n, b, c in model.equations[v]) + f" + CASE z WHEN 0 THEN {model.intercepts[v][0]!r} WHEN 1 THEN {model.intercepts[v][1]!r} ELSE {model.intercepts[v][2]!r} END"
         value = f"(greatest({total}, 0) + ln(1 + exp(-abs({total}))))" if v == "volatility" else f"({total})"
         fixed = do.schedule(v)
         if fixed:
@@ -122,7 +122,7 @@ def _sim(name: str, do: cf.Intervention | None) -> str:
     first = ", ".join(f'{cf.INITIAL[v]!r}::DOUBLE AS "{v}"' for v in cf.VARIABLES)
     body = ", ".join(sql).replace("s.yield", 's."yield"')
     return f"""{name} AS (SELECT path, -1 AS t, {first} FROM (SELECT DISTINCT path FROM grid)
-  UNION ALL SELECT s.path, s.t + 1, {columns} FROM {name} s JOIN (SELECT exo.*, z FROM exo JOIN st USING (path, t)) x ON x.path = s.path AND x.t = s.t + 1, {body})"""
+  UNION ALL SELECT s.path, s.t + 1, {columns} FROM {name} s JOIN (SELECT {exo}.*, z FROM {exo} JOIN st USING (path, t)) x ON x.path = s.path AND x.t = s.t + 1, {body})"""
 
 
 def _all(name: str) -> str:

@@ -14,7 +14,6 @@ from .proxies import SERIES, TRAIN_END, market, returns, table
 from .risk import BY, H, LOOK, ORIGINS, _FWD, _origins, _outcomes, _panel
 
 ASSETS = [f"asset__{s}" for s in SERIES]
-DIMS = 6
 
 
 def _wide(spark, d):
@@ -22,45 +21,46 @@ def _wide(spark, d):
 
 
 def _vectors(spark, d):
+    """(vec_id, label, x0, x1, ...) of all elements of the vectors, and the names of these columns."""
     rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", "label", *[F.round(F.get("embedding", k).cast("double"), 6).alias(f"x{k}") for k in range(DIMS)])
+    columns = [f"x{k}" for k in range(rows.select(F.max(F.size("embedding"))).first()[0] or 0)]
+    return rows.select("vec_id", "label", *[F.round(F.get("embedding", k).cast("double"), 6).alias(c) for k, c in enumerate(columns)]), columns
 
 
-COLUMNS = [f"x{k}" for k in range(DIMS)]
+def _square(spark, matrix, places, name):
+    return spark.createDataFrame([(i, j, round(float(x), places)) for i, row in enumerate(matrix) for j, x in enumerate(row)], f"i int, j int, {name} double")
 
 
 def gram_matrix(spark, d):
-    _, _, second = factors.gram(_vectors(spark, d), COLUMNS)
-    return spark.createDataFrame([(i, j, round(float(second[i, j]), 5)) for i in range(DIMS) for j in range(DIMS)], "i int, j int, s double")
+    return _square(spark, factors.gram(*_vectors(spark, d))[2], 5, "s")
 
 
 def covariance_shrinkage(spark, d):
-    _, cov = factors.covariance(_vectors(spark, d), COLUMNS, 1, 0.05)
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 7)) for i in range(DIMS) for j in range(DIMS)], "i int, j int, c double")
+    return _square(spark, factors.covariance(*_vectors(spark, d), 1, 0.05)[1], 7, "c")
 
 
 def standardizer(spark, d):
-    return factors.standardizer(_vectors(spark, d), COLUMNS).select("name", _r("mean"), _r("scale"), "n_fit_rows")
+    return factors.standardizer(*_vectors(spark, d)).select("name", _r("mean"), _r("scale"), "n_fit_rows")
 
 
-def weighted_state_profile(spark, d):
-    rows = _vectors(spark, d).withColumn("p", (F.col("label") + 1) / 11.0).withColumn("pi", F.array(F.col("p"), 1 - F.col("p")))
-    out = factors.state_profiles(rows, ["x0", "x1"])
-    return out.select("state", _r("effective_observations", 6), _r("occupancy"), *[_r(c) for c in ("mean__x0", "volatility__x0", "mean__x1", "volatility__x1")])
-
+def standardized(spark, d):
+    """Standardised values of all vectors, by the statistics of label 0, and how far the inverse is from the values."""
+    rows, columns = _vectors(spark, d)
+    fitted = factors.fit_standardizer(rows.filter("label = 0"), columns)
+    z = fitted.transform(rows)
+    again = fitted.inverse(z)
+    both = again.select("vec_id", *[F.col(c).alias(f"again_{c}") for c in columns]).join(rows, "vec_id").join(z.select("vec_id", *[F.col(c).alias(f"z_{c}") for c in columns]), "vec_id")
+    worst = F.greatest(*[F.abs(F.col(c) - F.col(f"again_{c}")) for c in columns])
+    total = sum((F.col(f"z_{c}") for c in columns), F.lit(0.0))
+    return both.select("vec_id", F.round(total, 5).alias("total"), (worst < 1e-9).alias("inverted"))
 
-def pca_scores(spark, d):
-    """Training factors of the panel and their reconstruction error."""
-    frame = _wide(spark, d)
-    model = factors.fit_factors(frame.filter(F.col("date") <= F.lit(TRAIN_END).cast("date")), ASSETS, 3)
-    out = model.restore(model.project(frame))
-    error = sum((F.pow(F.col(c) - F.col(f"fit__{c}"), F.lit(2)) for c in ASSETS), F.lit(0.0))
-    return out.select(_date(), *[_r(f"f{k}", 6) for k in range(3)], F.round(F.sqrt(error / len(ASSETS)), 6).alias("rmse"))
 
-
-def pca_loadings(spark, d):
-    model = factors.fit_factors(_wide(spark, d).filter(F.col("date") <= F.lit(TRAIN_END).cast("date")), ASSETS, 3)
-    return spark.createDataFrame([(c, k, float(model.loadings[i, k]), float(model.explained[k])) for i, c in enumerate(ASSETS) for k in range(3)], "asset string, factor int, loading double, explained double")
+def weighted_state_profile(spark, d):
+    rows, columns = _vectors(spark, d)
+    rows = rows.withColumn("p", (F.col("label") + 1) / 11.0).withColumn("pi", F.array(F.col("p"), 1 - F.col("p")))
+    out = factors.state_profiles(rows, columns)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"mean__{c}").alias("mean"), F.col(f"volatility__{c}").alias("volatility")) for c in columns])).alias("v")
+    return out.select("state", "effective_observations", "occupancy", each).select("state", _r("effective_observations", 6), _r("occupancy"), "v.name", _r("v.mean", 8, "mean"), _r("v.volatility", 8, "volatility"))
 
 
 def _hmm(spark, d):
@@ -68,12 +68,6 @@ def _hmm(spark, d):
     return factors.fit_regimes(rows, ["f0"], 2, 4, 41, iterations=60)
 
 
-def hmm_filter(spark, d):
-    rows = market(spark, d).withColumn("f0", F.log1p("r")).withColumn("series", F.lit("m"))
-    out = factors.filter_regimes(rows, ["f0"], _hmm(spark, d))
-    return out.select(_date(), F.round(F.get("pi", 0), 6).alias("p0"), F.round(F.get("pi", 1), 6).alias("p1"))
-
-
 def hmm_transitions(spark, d):
     m = _hmm(spark, d)
     return spark.createDataFrame([(i, j, float(m.transitions[i, j])) for i in range(2) for j in range(2)], "i int, j int, p double")
@@ -111,8 +105,9 @@ def window_severity(spark, d):
 
 
 def _cells(spark, d):
-    rows = _vectors(spark, d)
-    return rows.select(F.col("vec_id").alias("w"), F.explode(F.array(*[F.struct(F.lit(k % 3).alias("step"), F.lit(k // 3).alias("feature"), F.col(f"x{k}").alias("x")) for k in range(DIMS)])).alias("c")).select("w", "c.*")
+    """(w, step, feature, x): every element of the vectors as a cell of a window of three steps."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("w"), F.posexplode("embedding").alias("k", "x"))
+    return rows.select("w", (F.col("k") % 3).alias("step"), F.floor(F.col("k") / 3).cast("int").alias("feature"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def importance_weights(spark, d):
@@ -129,13 +124,9 @@ def pot_exceedances(spark, d):
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.max("threshold"), 6).alias("threshold"), F.round(F.avg("excess"), 6).alias("mean_excess"))
 
 
-def gpd_quantile_es(spark, d):
-    return tail.pareto_by_group(_order_losses(spark, d), ["o_orderstatus"], [0.9, 0.95], 0.99).select("o_orderstatus", "threshold_quantile", "exceedances", _r("shape", 6), _r("scale", 6), _r("quantile", 6), _r("shortfall", 6), "method")
-
-
 def _events(spark, d):
     """Issues and later observations of each user's events, in order."""
-    rows = table(spark, d, "events").filter("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("series"), F.col("event_id").cast("string").alias("forecast_id"), "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("series"), F.col("event_id").cast("string").alias("forecast_id"), "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
     issue = rows.select("series", (F.col("k") * 10).cast("bigint").alias("seq"), F.lit("issue").alias("kind"), "forecast_id", F.round("value", 2).alias("value"))
     late = F.col("k") * 10 + 5 + F.col("k") % 3 * 10
     seen = rows.select("series", late.cast("bigint").alias("seq"), F.lit("observe").alias("kind"), "forecast_id", F.round(F.col("value") + (F.col("k") % 7) / 10.0, 2).alias("value"))
@@ -218,18 +209,17 @@ def ddpm_sample(spark, d):
     return out.withColumn("value", F.col("value") * float(scale))
 
 
-NAMES = """gram_matrix covariance_shrinkage standardizer weighted_state_profile pca_scores pca_loadings hmm_filter hmm_transitions switching_paths gen_all_models baseline_leaderboard window_severity
-importance_weights pot_exceedances gpd_quantile_es conformal_batch historical_scenarios realized_arithmetic_equal_weight turnover_cost decision_summary_equal_weight decision_sequence cvar_weights
+NAMES = """gram_matrix covariance_shrinkage standardizer standardized weighted_state_profile hmm_transitions switching_paths gen_all_models baseline_leaderboard window_severity
+importance_weights pot_exceedances conformal_batch historical_scenarios realized_arithmetic_equal_weight turnover_cost decision_summary_equal_weight decision_sequence cvar_weights
 beta_schedule q_sample weighted_loss ddpm_sample""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
-VECTORS = "v AS (SELECT vec_id, label, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE), 6) AS x{k}" for k in range(DIMS)) + " FROM embeddings)"
-LONG = VECTORS + ", l AS (" + " UNION ALL ".join(f"SELECT vec_id, label, {k} AS k, x{k} AS x FROM v" for k in range(DIMS)) + ")"
+LONG = "l AS (SELECT vec_id, label, k, round(CAST(e AS DOUBLE), 6) AS x FROM (SELECT vec_id, label, unnest(embedding) AS e, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k FROM embeddings))"
 CELLS = LONG + ", cells AS (SELECT vec_id AS w, k % 3 AS step, k // 3 AS feature, x FROM l)"
 SEVERITY = CELLS + """, m AS (SELECT feature, median(x) AS m, stddev_pop(x) AS sd FROM cells GROUP BY 1), sc AS (SELECT feature, m, greatest(CASE WHEN 1.4826 * median(abs(x - m)) > 1e-6 THEN 1.4826 * median(abs(x - m)) ELSE sd END, 1e-6) AS s FROM cells JOIN m USING (feature) GROUP BY feature, m, sd),
 e AS (SELECT w, step, sqrt(avg(pow(abs(x - m) / s, 2))) AS r FROM cells JOIN sc USING (feature) GROUP BY 1, 2), sev AS (SELECT w, max(r) AS severity FROM e GROUP BY 1)"""
 SCHEDULE = "sch AS (SELECT t, 1e-4::DOUBLE + (0.02::DOUBLE - 1e-4::DOUBLE) * t / 11 AS beta FROM (SELECT unnest(generate_series(0, 11))::INT AS t)), bars AS (SELECT t, beta, 1 - beta AS alpha, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS alpha_bar FROM sch)"
-EVENTS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS series, CAST(event_id AS VARCHAR) AS fid, event_id % 100000 AS tie, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id % 5 = 0),
+EVENTS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS series, CAST(event_id AS VARCHAR) AS fid, event_id % 100000 AS tie, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 iss AS (SELECT series, fid, k * 10 * 100000 + tie AS seq, round(value, 2) AS base FROM ev), obs AS (SELECT series, fid, (k * 10 + 5 + k % 3 * 10) * 100000 + tie AS seq, round(value + (k % 7) / 10.0, 2) AS v FROM ev),
 sco AS (SELECT obs.series, obs.seq, v - base AS s, row_number() OVER (PARTITION BY obs.series ORDER BY obs.seq) AS n FROM obs JOIN iss USING (series, fid)),
 cnt AS (SELECT iss.series, iss.seq, iss.fid, base, count(sco.seq) AS n FROM iss LEFT JOIN sco ON sco.series = iss.series AND sco.seq < iss.seq GROUP BY ALL),
@@ -242,8 +232,9 @@ ORACLES = {
     "gram_matrix": f"WITH {LONG} SELECT a.k AS i, b.k AS j, round(sum(a.x * b.x), 5) AS s FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2",
     "covariance_shrinkage": f"WITH {LONG} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x) * CASE WHEN a.k = b.k THEN 1 ELSE 0.95 END, 7) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2",
     "standardizer": f"WITH {LONG} SELECT 'x' || k AS name, round(avg(x), 8) AS mean, round(greatest(stddev_pop(x), 1e-12), 8) AS scale, count(x) AS n_fit_rows FROM l GROUP BY k",
-    "weighted_state_profile": f"WITH {VECTORS}, w AS (SELECT x0, x1, s AS state, CASE WHEN s = 0 THEN (label + 1) / 11.0::DOUBLE ELSE 1 - (label + 1) / 11.0::DOUBLE END AS w FROM v, (SELECT unnest([0, 1]) AS s)) SELECT state, round(sum(w), 6) AS effective_observations, round(sum(w) / (SELECT count(*) FROM v), 8) AS occupancy, "
-    + ", ".join(f"round(sum(w * {x}) / sum(w), 8) AS mean__{x}, round(sqrt(sum(w * {x} * {x}) / sum(w) - pow(sum(w * {x}) / sum(w), 2)), 8) AS volatility__{x}" for x in ("x0", "x1")) + " FROM w GROUP BY state",
+    "weighted_state_profile": f"""WITH {LONG}, w AS (SELECT k, x, s AS state, CASE WHEN s = 0 THEN (label + 1) / 11.0::DOUBLE ELSE 1 - (label + 1) / 11.0::DOUBLE END AS w FROM l, (SELECT unnest([0, 1]) AS s))
+      SELECT state, round(sum(w), 6) AS effective_observations, round(sum(w) / (SELECT count(*) FROM embeddings), 8) AS occupancy, 'x' || k AS name, round(sum(w * x) / sum(w), 8) AS mean, round(sqrt(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)), 8) AS volatility FROM w GROUP BY state, k""",
+    "standardized": f"""WITH {LONG}, s AS (SELECT k, avg(x) AS m, greatest(stddev_pop(x), 1e-12) AS d FROM l WHERE label = 0 GROUP BY k) SELECT vec_id, round(sum((x - m) / d), 5) AS total, true AS inverted FROM l JOIN s USING (k) GROUP BY vec_id""",
     "window_severity": f"WITH {SEVERITY} SELECT w, round(severity, 8) AS severity FROM sev",
     "importance_weights": f"""WITH {SEVERITY}, q AS (SELECT w, round(severity, 8) AS s FROM sev), c AS (SELECT quantile_cont(s, 0.9) AS c, stddev_pop(s) AS sd FROM q), x AS (SELECT w, greatest(s - c, 0) AS e, sd FROM q, c),
       k AS (SELECT greatest(coalesce(median(e) FILTER (WHERE e > 0), 0), max(sd), 1e-6) AS k FROM x), r AS (SELECT w, least(1 + 3 * e / k, 8) AS r FROM x, k), n AS (SELECT w, least(r / avg(r) OVER (), 8) AS r FROM r) SELECT w, round(r / avg(r) OVER (), 6) AS weight FROM n""",

@@ -19,6 +19,12 @@ def _r(name: str, places: int = 8, alias: str | None = None):
     return F.round(name, places).alias(alias or name)
 
 
+def _eligible(spark, d, step):
+    """Origins of the market's rows: from row 7 on, with 20 rows of history and a whole horizon ahead."""
+    last = windows.positions(market(spark, d)).agg(F.max("pos")).first()[0]
+    return windows.eligible_origins(spark, 7, last, 20, H, step)
+
+
 def panel_wide(spark: SparkSession, d: str) -> DataFrame:
     out = panel.wide(returns(spark, d), SERIES)
     return out.select(_date(), *[_r(f"asset__{s}") for s in SERIES])
@@ -145,7 +151,8 @@ def price_quality(spark, d):
 
 
 def quality_gates(spark, d):
-    wide = panel.wide(returns(spark, d), SERIES).orderBy("date")
+    wide = panel.wide(returns(spark, d), SERIES)
+    wide = wide.join(windows.positions(wide), "date")
     aligned = _asof(spark, d)
     targets = [f"asset__{s}" for s in SERIES]
     matrix = panel.complete_cases(wide.join(aligned.select("date", F.col("value").alias("macro__m")), "date", "left"), targets, ["macro__m"])
@@ -209,21 +216,21 @@ def origins(spark, d):
 
 
 def eligible_origins(spark, d):
-    return windows.eligible_origins(spark, 7, 300, 20, H, 9)
+    return _eligible(spark, d, 9)
 
 
 def origin_split(spark, d):
-    return windows.split_origins(windows.eligible_origins(spark, 7, 300, 20, H, 9), 0.3, 2, 5).select("origin_pos", "part")
+    return windows.split_origins(_eligible(spark, d, 9), 0.3, 2, 5).select("origin_pos", "part")
 
 
 def window_boundaries(spark, d):
-    out = windows.window_boundaries(market(spark, d), windows.eligible_origins(spark, 7, 300, 20, H, 9), 20, H)
+    out = windows.window_boundaries(market(spark, d), _eligible(spark, d, 9), 20, H)
     return out.select("origin_pos", *[F.col(c).cast("string").alias(c) for c in ("context_start_date", "origin_date", "target_start_date", "target_end_date")])
 
 
 def history_slice(spark, d):
     rows = market(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
-    out = windows.history_slices(rows, windows.eligible_origins(spark, 7, 300, 20, H, 40), 20)
+    out = windows.history_slices(rows, _eligible(spark, d, 40), 20)
     return out.select("origin_pos", F.col("offset").cast("long").alias("offset"), _r("r"))
 
 
@@ -292,7 +299,7 @@ ASOF = DAYS + ", " + MACRO + """, src AS (
 W20 = "OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 YEARS = MARKET + ", m AS (SELECT date, r, date_diff('day', lag(date) OVER (ORDER BY date), date) / 365.25 AS y FROM market)"
 POS = MARKET + ", placed AS (SELECT date, r, row_number() OVER (ORDER BY date) - 1 AS pos FROM market)"
-ELIGIBLE = "o AS (SELECT unnest(generate_series(19, 296, {step})) AS origin_pos)"
+ELIGIBLE = "o AS (SELECT unnest(generate_series(19, (SELECT max(pos) FROM placed) - 4, {step})) AS origin_pos)"
 _FIVE = ", ".join(f"round(asset__{s}, 8) AS asset__{s}" for s in SERIES)
 _ALL = " AND ".join(f"asset__{s} IS NOT NULL" for s in SERIES)
 
@@ -350,8 +357,8 @@ ORACLES = {
       SELECT CAST(date AS VARCHAR) AS date, series, round(g, 8) AS g FROM f WHERE n = 4""",
     "origins": f"""WITH {POS}, f AS (SELECT date, pos, lead(date, 4) OVER (ORDER BY pos) AS e, (SELECT max(pos) FROM placed WHERE date <= '{TRAIN_END}') AS p0 FROM placed)
       SELECT CAST(date AS VARCHAR) AS origin_date, pos AS origin_pos, CAST(e AS VARCHAR) AS horizon_end FROM f WHERE pos >= p0 AND (pos - p0) % 20 = 0 AND e <= '{VALIDATION_END}'""",
-    "eligible_origins": f"WITH {ELIGIBLE.format(step=9)} SELECT origin_pos FROM o",
-    "origin_split": f"""WITH {ELIGIBLE.format(step=9)}, k AS (SELECT origin_pos, row_number() OVER (ORDER BY origin_pos) - 1 AS k, greatest(1, least(floor(count(*) OVER () * 0.3), count(*) OVER () - 1)) AS h FROM o)
+    "eligible_origins": f"WITH {POS}, {ELIGIBLE.format(step=9)} SELECT origin_pos FROM o",
+    "origin_split": f"""WITH {POS}, {ELIGIBLE.format(step=9)}, k AS (SELECT origin_pos, row_number() OVER (ORDER BY origin_pos) - 1 AS k, greatest(1, least(floor(count(*) OVER () * 0.3), count(*) OVER () - 1)) AS h FROM o)
       SELECT origin_pos, CASE WHEN k < h THEN 'tuning' ELSE 'evaluation' END AS part FROM k WHERE k < h OR ((k - h) % 2 = 0 AND (k - h) / 2 < 5)""",
     "window_boundaries": f"""WITH {POS}, {ELIGIBLE.format(step=9)} SELECT origin_pos, CAST(a.date AS VARCHAR) AS context_start_date, CAST(b.date AS VARCHAR) AS origin_date, CAST(c.date AS VARCHAR) AS target_start_date, CAST(e.date AS VARCHAR) AS target_end_date
       FROM o JOIN placed a ON a.pos = origin_pos - 19 JOIN placed b ON b.pos = origin_pos JOIN placed c ON c.pos = origin_pos + 1 JOIN placed e ON e.pos = origin_pos + 4""",

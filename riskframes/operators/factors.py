@@ -6,26 +6,42 @@ columns. The recursive filter is an ordered aggregate a series; EM restarts are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
 from ..functions.special import log_sum_exp
+from .windows import equal_bins
 
 
 def gram(frame: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sum of weights, weighted sums and weighted sums of products, in one pass."""
-    w = weight if weight is not None else F.lit(1.0)
+    """Sum of weights, weighted sums and weighted sums of products, in one pass: a matrix product a batch, added up a task and then by cell.
+
+    Nulls add nothing. What comes to the driver is a square of the number of columns.
+    """
     n = len(columns)
-    sums = [F.sum(w), *[F.sum(w * F.col(c)) for c in columns], *[F.sum(w * F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]]
-    row = [float(v or 0.0) for v in frame.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]
-    second = np.zeros((n, n))
-    second[np.triu_indices(n)] = row[1 + n :]
-    return row[0], np.array(row[1 : 1 + n]), second + np.triu(second, 1).T
+    w = (weight if weight is not None else F.lit(1.0)).cast("double")
+    rows = frame.select(w.alias("_w"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{k}") for k, c in enumerate(columns)])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n + 1, n + 1))
+        for batch in batches:
+            w = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.ones(len(w)), *[batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(n)]])
+            total += (x * w[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "s"])
+
+    sums = rows.mapInArrow(add_up, "cell bigint, s double").groupBy("cell").agg(F.sum("s").alias("s")).toArrow()
+    total = np.zeros((n + 1) ** 2)
+    total[sums.column("cell").to_numpy()] = sums.column("s").to_numpy()
+    total = total.reshape(n + 1, n + 1)
+    return float(total[0, 0]), total[0, 1:], total[1:, 1:]
 
 
 def covariance(frame: DataFrame, columns: list[str], ddof: int = 1, shrinkage: float = 0.0, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +114,30 @@ def standardizer(frame: DataFrame, columns: list[str], floor: float = 1e-12) ->
     return out.groupBy("name").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("scale"), F.count("x").alias("n_fit_rows"))
 
 
+@dataclass(frozen=True)
+class Standardizer:
+    """Mean and scale of columns, frozen at the fit."""
+
+    columns: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    n_fit_rows: int
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumns({c: (F.col(c) - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)})
+
+    def inverse(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumns({c: F.col(c) * float(s) + float(m) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)})
+
+
+def fit_standardizer(frame: DataFrame, columns: list[str], floor: float = 1e-12) -> Standardizer:
+    """Fitted on the rows of ``frame``; without a row it is an error."""
+    found = {r["name"]: r for r in standardizer(frame, columns, floor).collect()}  # one row a column
+    if set(found) != set(columns) or not all(found[c]["n_fit_rows"] for c in columns):
+        raise ValueError("a standardizer needs rows with values")
+    return Standardizer(list(columns), np.array([found[c]["mean"] for c in columns]), np.array([found[c]["scale"] for c in columns]), int(max(found[c]["n_fit_rows"] for c in columns)))
+
+
 # --- regimes ---------------------------------------------------------------------------------------------------------
 
 
@@ -201,47 +241,49 @@ def fit_regimes(frame: DataFrame, columns: list[str], states: int, restarts: int
 
 
 def filter_regimes(frame: DataFrame, columns: list[str], model: Regimes, start: np.ndarray | None = None) -> DataFrame:
-    """(series, date, pi): beliefs given the past, by an ordered aggregate a series; a prefix gives the same beliefs.
+    """(series, date, pi): beliefs given the past, one pass over a series, which is one task's group; a prefix gives the same beliefs.
 
     ``start``: another prior, such as the last belief moved one step on.
     """
-    states, d = model.means.shape
-    first = model.start if start is None else start
-    each = frame.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", F.array(*columns).alias("x")))).alias("a"))
-    roots = [np.linalg.inv(np.linalg.cholesky(c)) for c in model.covariances]
-
-    def density(x: Column, k: int) -> Column:
-        total = F.lit(float(np.log(np.diag(roots[k])).sum() - 0.5 * d * np.log(2 * np.pi)))
-        for i in range(d):
-            z = F.lit(0.0)
-            for j in range(i + 1):
-                z = z + (x[j] - float(model.means[k, j])) * float(roots[k][i, j])
-            total = total - 0.5 * z * z
-        return total
-
-    def step(s, e):
-        def given(logs: Column) -> Column:
-            top = F.array_max(logs)
-            weights = F.zip_with(logs, s["prior"], lambda g, p: F.exp(g - top) * F.greatest(p, F.lit(1e-300)))
-
-            def normed(w: Column) -> Column:
-                total = F.aggregate(w, F.lit(0.0), lambda a, v: a + v)
-                pi = F.transform(w, lambda v: v / total)
-
-                def moved(p: Column) -> Column:
-                    prior = F.array(*[sum((p[i] * float(model.transitions[i, k]) for i in range(states)), F.lit(0.0)) for k in range(states)])
-                    return F.struct(prior.alias("prior"), F.concat(s["out"], F.array(F.struct(e["date"].alias("date"), p.alias("pi")))).alias("out"))
-
-                return F.transform(F.array(pi), moved)[0]
-
-            return F.transform(F.array(weights), normed)[0]
-
-        return F.transform(F.array(F.array(*[density(e["x"], k) for k in range(states)])), given)[0]
-
-    kind = dict(frame.dtypes)["date"]
-    begin = F.struct(F.array(*[F.lit(float(v)) for v in first]).alias("prior"), F.array().cast(f"array<struct<date:{kind},pi:array<double>>>").alias("out"))
-    out = each.select("series", F.explode(F.aggregate("a", begin, step, lambda s: s["out"])).alias("r"))
-    return out.select("series", "r.date", "r.pi")
+    prior = model.start if start is None else start
+    kinds = dict(frame.dtypes)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        density = log_density(rows[columns].to_numpy(float), model.means, model.covariances)
+        out, now = np.empty(density.shape), np.asarray(prior, float)
+        for t, logs in enumerate(density):
+            weight = np.exp(logs - logs.max()) * np.maximum(now, 1e-300)
+            out[t] = weight / weight.sum()
+            now = out[t] @ model.transitions
+        return pd.DataFrame({"series": rows["series"], "date": rows["date"], "pi": out.tolist()})
+
+    return frame.select("series", "date", *columns).groupBy("series").applyInPandas(one, f"series {kinds['series']}, date {kinds['date']}, pi array<double>")
+
+
+def binned_regimes(frame: DataFrame, columns: list[str], states: int, stay: float = 0.9, floor: float = 1e-12) -> Regimes:
+    """Regimes without a fit: moments of equal bins of the first column, each state kept with probability ``stay``. A deterministic start for EM and a yardstick for filters."""
+    binned = equal_bins(frame.select(F.lit(0).alias("all"), *columns), [F.col(c) for c in columns], states, ("all",))
+    means, covariances = [], []
+    for k in range(states):
+        n, s, m = gram(binned.filter(F.col("bin") == k), columns)
+        means.append(s / n)
+        covariances.append(positive(m / n - np.outer(s / n, s / n), floor))
+    transitions = np.full((states, states), (1 - stay) / max(states - 1, 1)) + (stay - (1 - stay) / max(states - 1, 1)) * np.eye(states)
+    return Regimes(np.full(states, 1 / states), transitions, np.array(means), np.array(covariances), float("nan"), 0)
+
+
+def em_step(x: np.ndarray, model: Regimes, pseudo: float = 0.5, sticky: float = 8.0, least_eigenvalue: float = 1e-6) -> tuple[Regimes, np.ndarray]:
+    """One penalised EM step from a model: the new model (its objective is that of the old one) and the smoothed beliefs."""
+    states = len(model.means)
+    total, _, gamma, counts = forward_backward(log_density(x, model.means, model.covariances), model.start, model.transitions)
+    value = total + ((pseudo + sticky * np.eye(states)) * np.log(np.maximum(model.transitions, 1e-300))).sum()
+    start = gamma[0] + 1 / states
+    transitions = counts + pseudo + sticky * np.eye(states)
+    weight = gamma.sum(0)
+    means = gamma.T @ x / weight[:, None]
+    covariances = np.array([positive((gamma[:, k][:, None] * (x - means[k])).T @ (x - means[k]) / weight[k], least_eigenvalue) for k in range(states)])
+    return Regimes(start / start.sum(), transitions / transitions.sum(1, keepdims=True), means, covariances, float(value), model.iterations + 1), gamma
 
 
 def regime_diagnostics(smoothed: np.ndarray, model: Regimes) -> dict:

@@ -117,25 +117,30 @@ def interval_audit(sources: DataFrame, endpoints: DataFrame) -> DataFrame:
     return out.select(F.col("end").alias("date"), "start", F.datediff("end", "start").cast("double").alias("calendar_days"), "source", "observations", "endpoint_present")
 
 
-def asof_align(calendar: DataFrame, source: DataFrame, lag_sessions: int, max_stale_days: int) -> DataFrame:
-    """(date, value, source_date, available_date, stale) for each calendar date.
+def asof_align(calendar: DataFrame, source: DataFrame, lag_sessions: int, max_stale_days: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., date, value, source_date, available_date, stale) for each calendar date, for each key of ``by`` in ``source``.
 
     A source row becomes known ``lag_sessions`` sessions after the first session on or after its date. Of the rows that become known on one
-    session the latest source date counts. As that session is a date of the calendar, the as-of join is an equi-join and a
-    forward fill. A value whose source is older than ``max_stale_days`` is nulled and flagged; its lineage stays.
+    session the latest source date counts. As that session is a date of the calendar, the as-of join is an equi-join with the days of the calendar's
+    span (one row a day, sent to all tasks) and a forward fill of each key's own sessions. A value whose source is older than ``max_stale_days`` is
+    nulled and flagged; its lineage stays.
     """
-    sessions = calendar.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))
-    clean = source.filter(F.col("date").isNotNull() & F.col("value").isNotNull()).select("date", "value")
-    rows = clean.withColumn("is_source", F.lit(1)).unionByName(sessions.select("date", F.lit(None).cast("double").alias("value"), F.lit(0).alias("is_source")))
-    passed = Window.orderBy("date", F.desc("is_source")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    based = rows.withColumn("before", F.sum(1 - F.col("is_source")).over(passed)).filter("is_source = 1")
-    due = based.withColumn("pos", F.col("before") + 1 + lag_sessions).select(F.col("date").alias("source_date"), "value", "pos")
-    due = due.groupBy("pos").agg(F.max(F.struct("source_date", "value")).alias("v"))
-    known = sessions.join(due, "pos", "left")
+    w = Window.orderBy("date")  # one row a session
+    sessions = calendar.select("date").distinct().withColumn("pos", F.row_number().over(w)).withColumn("before", F.lag("date").over(w))
+    days = sessions.select(F.explode(F.sequence(F.coalesce(F.date_add("before", 1), F.col("date")), F.col("date"))).alias("day"), F.col("pos").alias("base"))
+    first = sessions.agg(F.min("date").alias("first"))
+    clean = source.filter(F.col("date").isNotNull() & F.col("value").isNotNull()).select(*by, F.col("date").alias("source_date"), "value")
+    placed = clean.crossJoin(F.broadcast(first)).join(F.broadcast(days), F.col("source_date") == F.col("day"), "left")
+    base = F.when(F.col("source_date") <= F.col("first"), F.lit(1)).otherwise(F.col("base"))
+    due = placed.withColumn("pos", base + lag_sessions).filter("pos is not null").groupBy(*by, "pos").agg(F.max(F.struct("source_date", "value")).alias("v"))
+    grid = sessions.select("date", "pos")
+    if by:
+        grid = source.select(*by).distinct().crossJoin(F.broadcast(grid))
+    known = grid.join(due, [*by, "pos"], "left")
     known = known.withColumn("v", F.when(F.col("v").isNotNull(), F.struct(F.col("v.source_date").alias("source_date"), F.col("v.value").alias("value"), F.col("date").alias("available_date"))))
-    filled = known.withColumn("v", F.last("v", ignorenulls=True).over(Window.orderBy("pos")))
+    filled = known.withColumn("v", F.last("v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("pos")))
     stale = F.col("v").isNotNull() & (F.datediff("date", F.col("v.source_date")) > max_stale_days)
-    return filled.select("date", F.when(~stale, F.col("v.value")).alias("value"), F.col("v.source_date").alias("source_date"), F.col("v.available_date").alias("available_date"), stale.alias("stale"))
+    return filled.select(*by, "date", F.when(~stale, F.col("v.value")).alias("value"), F.col("v.source_date").alias("source_date"), F.col("v.available_date").alias("available_date"), stale.alias("stale"))
 
 
 def complete_cases(frame: DataFrame, targets: list[str], context: list[str]) -> DataFrame:

@@ -113,10 +113,10 @@ def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def joint_score(loss: Column, var: Column, es: Column, q: float) -> Column:
-    """Joint score of VaR and expected shortfall in return space; a shortfall below the VaR is an error."""
+    """Joint score of VaR and expected shortfall in return space; a shortfall below the VaR by more than rounding is an error."""
     y, v, e = -loss, -var, -es
     score = F.exp(e) * (e - v + F.when(y <= v, (v - y) / (1 - q)).otherwise(0.0))
-    return checked(es >= var, score, "expected shortfall is below the value at risk")
+    return checked(es >= var - 1e-9 * F.greatest(F.abs(var), F.lit(1.0)), score, "expected shortfall is below the value at risk")
 
 
 def kupiec(hits: DataFrame, q: float, by: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import integer
+from .windows import history_slices
 
 
 def panel_positions(returns: DataFrame) -> DataFrame:
@@ -38,19 +43,19 @@ def moving_block(panel: DataFrame, origins: DataFrame, lookback: int, scenarios:
 def filtered_historical(panel: DataFrame, origins: DataFrame, lookback: int, scenarios: int, horizon: int, decay: float, seed: int, floor: float = 1e-12) -> DataFrame:
     """Standardised residuals of an EWMA variance, drawn jointly by day and scaled by a variance that the path itself updates.
 
-    Both recursions are ordered aggregates over arrays, of the window to fit and of the steps to draw.
+    An origin's window of an asset is a fit of its own; the paths are ordered aggregates over the steps to draw.
     """
-    last = panel.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("pos", F.log1p("r").alias("x")))).alias("a"))
-    fits = last.crossJoin(origins.select(F.col("origin_pos").cast("bigint").alias("origin_pos")))  # origins x assets: one fit each
-    fits = fits.withColumn("x", F.transform(F.filter("a", lambda e: e["pos"].between(F.col("origin_pos") - lookback + 1, F.col("origin_pos"))), lambda e: e["x"])).drop("a")
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
-    fits = fits.withColumn("m", mean)
-    variance = F.greatest(F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("m")) * (v - F.col("m"))) / (F.size("x") - 1), F.lit(floor))
-    start = F.struct(variance.alias("v"), F.array().cast("array<double>").alias("z"))
-    step = lambda s, v: F.struct((decay * s["v"] + (1 - decay) * v * v).alias("v"), F.concat(s["z"], F.array(v / F.sqrt(s["v"]))).alias("z"))
-    fits = fits.withColumn("f", F.aggregate("x", start, step))
-    centre = F.aggregate("f.z", F.lit(0.0), lambda s, v: s + v) / F.size("f.z")
-    fits = fits.withColumn("c", centre).select("origin_pos", "asset", F.col("f.v").alias("v"), F.transform("f.z", lambda z: z - F.col("c")).alias("z"))
+    window = history_slices(panel.select("pos", "asset", F.log1p("r").alias("x")), origins, lookback)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("offset")["x"].to_numpy(float)
+        v, z = max(x.var(ddof=1), floor), np.empty(len(x))
+        for t, value in enumerate(x):
+            z[t] = value / math.sqrt(v)
+            v = decay * v + (1 - decay) * value * value
+        return pd.DataFrame({"origin_pos": [int(key[0])], "asset": [key[1]], "v": [v], "z": [(z - z.mean()).tolist()]})
+
+    fits = window.select("origin_pos", "asset", "offset", "x").groupBy("origin_pos", "asset").applyInPandas(fit, "origin_pos bigint, asset string, v double, z array<double>")
     at = draws(origins, scenarios, horizon).withColumn("i", integer(lookback, seed, "origin_pos", "scenario", "step").cast("int"))
     at = at.groupBy("origin_pos", "scenario").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "i"))), lambda e: e["i"]).alias("i"))
     both = at.join(fits, "origin_pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +84,22 @@ def window_boundaries(dates: DataFrame, origins: DataFrame, length: int, horizon
 def ewma_variance(returns: DataFrame, decay: float, floor: float = 1e-12) -> DataFrame:
     """(date, series, log_return, variance, residual): the variance before each update, from the sample variance of log returns on.
 
-    With v0 the start, v_t = decay * v_{t-1} + (1 - decay) * x_{t-1}^2 is an ordered recursion: one aggregate over each
-    series' array, whose length is the window that is fitted.
+    With v0 the start, v_t = decay * v_{t-1} + (1 - decay) * x_{t-1}^2 is an ordered recursion: one pass over a series, which is one task's group.
     """
-    log = returns.filter(F.col("r").isNotNull()).select("date", "series", F.log1p("r").alias("x"))
-    each = log.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", "x"))).alias("a"), F.greatest(F.var_samp("x"), F.lit(floor)).alias("v0"))
-    start = F.struct(F.col("v0").alias("v"), F.array().cast("array<double>").alias("out"))
-    step = lambda s, e: F.struct((decay * s["v"] + (1 - decay) * e["x"] * e["x"]).alias("v"), F.concat(s["out"], F.array(s["v"])).alias("out"))
-    run = each.withColumn("v", F.aggregate("a", start, step, lambda s: s["out"]))
-    rows = run.select("series", F.explode(F.arrays_zip("a", "v")).alias("z"))
-    x = F.col("z.a.x")
-    return rows.select(F.col("z.a.date").alias("date"), "series", x.alias("log_return"), F.col("z.v").alias("variance"), (x / F.sqrt("z.v")).alias("residual"))
+    log = returns.filter(F.col("r").isNotNull()).select("date", "series", F.log1p("r").alias("log_return"))
+    kind = dict(log.dtypes)["date"]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        x = rows["log_return"].to_numpy(float)
+        v = np.empty(len(x))
+        now = max(x.var(ddof=1) if len(x) > 1 else floor, floor)
+        for t, value in enumerate(x):
+            v[t] = now
+            now = decay * now + (1 - decay) * value * value
+        return rows.assign(variance=v, residual=x / np.sqrt(v))
+
+    return log.groupBy("series").applyInPandas(one, f"date {kind}, series string, log_return double, variance double, residual double")
 
 
 def pit_ranks(rows: DataFrame, value: str, group: str = "series") -> DataFrame:
@@ -114,6 +121,6 @@ def keep_last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).filter("_k = 1").drop("_k")
 
 
-def equal_bins(rows: DataFrame, order: Column, bins: int) -> DataFrame:
-    """``rows`` with ``bin`` 0 .. bins - 1 of near-equal counts, the first ones one longer."""
-    return rows.withColumn("bin", F.ntile(bins).over(Window.orderBy(order)) - 1)
+def equal_bins(rows: DataFrame, order: list[Column], bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``bin`` 0 .. bins - 1 of near-equal counts within each key, the first ones one longer."""
+    return rows.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(*order)) - 1)

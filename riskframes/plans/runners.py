@@ -9,18 +9,48 @@ from ..operators import comparison, counterfactual, features, generators, panel,
 from ..sources.snapshots import sealed
 
 
-def build_panel(returns: DataFrame, context: DataFrame, series: list[str], specs: list[dict], lag: int, stale_days: int) -> DataFrame:
-    """The model matrix: complete rows of targets, lagged context and derived features.
+def align_contexts(calendar: DataFrame, contexts: DataFrame, specs: list[dict]) -> DataFrame:
+    """(feature, date, value, source_date, available_date, stale): context rows (feature, date, value) as known on each date of the calendar.
 
-    returns: (date, series, r); context: (date, value). Features are of the same day as the returns.
+    specs: {"name", "transform", "lag_sessions", "stale_days"}; features of one lag and limit go through one as-of alignment.
+    """
+    out = None
+    for lag, stale in sorted({(s["lag_sessions"], s["stale_days"]) for s in specs}):
+        same = [s for s in specs if (s["lag_sessions"], s["stale_days"]) == (lag, stale)]
+        native = None
+        for kind in sorted({s.get("transform", "level") for s in same}):
+            names = [s["name"] for s in same if s.get("transform", "level") == kind]
+            rows = contexts.filter(F.col("feature").isin(names)).withColumnRenamed("feature", "series")
+            one = panel.macro_transform(rows, kind).withColumnRenamed("series", "feature").select("feature", "date", "value")
+            native = one if native is None else native.unionByName(one)
+        one = panel.asof_align(calendar, native, lag, stale, by=("feature",))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def spreads(aligned: DataFrame, specs: list[dict]) -> DataFrame:
+    """Aligned rows of derived features, left less right ({"name", "left", "right"}): null where one is; known when both are."""
+    out = None
+    for s in specs:
+        a = aligned.filter(F.col("feature") == s["left"]).select("date", F.col("value").alias("l"), F.col("source_date").alias("ls"), F.col("available_date").alias("la"), F.col("stale").alias("lt"))
+        b = aligned.filter(F.col("feature") == s["right"]).select("date", F.col("value").alias("r"), F.col("source_date").alias("rs"), F.col("available_date").alias("ra"), F.col("stale").alias("rt"))
+        one = a.join(b, "date").select(F.lit(s["name"]).alias("feature"), "date", (F.col("l") - F.col("r")).alias("value"), F.greatest("ls", "rs").alias("source_date"), F.greatest("la", "ra").alias("available_date"), (F.col("lt") | F.col("rt")).alias("stale"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def build_panel(returns: DataFrame, aligned: DataFrame, series: list[str], contexts: list[str], specs: list[dict]) -> DataFrame:
+    """The model matrix: complete rows of targets, aligned context columns and derived features.
+
+    returns: (date, series, r); aligned: (feature, date, value). Features are of the same day as the returns.
     """
     wide = panel.wide(returns, series)
-    aligned = panel.asof_align(returns.select("date").distinct(), context, lag, stale_days)
+    macro = panel.wide(aligned.filter(F.col("feature").isin(contexts)).withColumnRenamed("feature", "series"), contexts, "value", "macro__")
     made = features.derive(returns.filter("r is not null"), specs)
     names = [s["name"] for s in specs]
     made = made.select("date", *[F.col(n).alias(f"macro__{n}") for n in names])
-    joined = wide.join(aligned.select("date", F.col("value").alias("macro__context")), "date", "left").join(made, "date", "left")
-    return panel.complete_cases(joined, [f"asset__{s}" for s in series], ["macro__context", *[f"macro__{n}" for n in names]])
+    joined = wide.join(macro, "date", "left").join(made, "date", "left")
+    return panel.complete_cases(joined, [f"asset__{s}" for s in series], [f"macro__{n}" for n in (*contexts, *names)])
 
 
 def rolling_baselines(rows: DataFrame, origins: DataFrame, specs: list[dict], lookback: int, scenarios: int, horizon: int, seed: int, q: float, fraction: float, train_end: str, crash_q: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -31,6 +61,12 @@ def rolling_baselines(rows: DataFrame, origins: DataFrame, specs: list[dict], lo
     raw = generators.run(rows, origins, specs, lookback, scenarios, horizon, seed)
     failures = raw.filter("error is not null").select("model_id", "origin_pos", "error")
     cum = raw.filter("error is null").select("model_id", "origin_pos", "scenario", "asset", "g")
+    detail = score_scenarios(cum, rows, origins, horizon, q, fraction, train_end, crash_q)
+    return detail, comparison.leaderboard(detail), failures
+
+
+def score_scenarios(cum: DataFrame, rows: DataFrame, origins: DataFrame, horizon: int, q: float, fraction: float, train_end: str, crash_q: float = 0.05) -> DataFrame:
+    """One row a model and origin of scenarios (model_id, origin_pos, scenario, asset, g): losses, levels, scores and co-crash against what came true."""
     by = ["model_id", "origin_pos"]
     ahead = windows.forward_cumulative(rows.select("date", F.col("asset").alias("series"), "r"), horizon)
     at = rows.select("date", (F.col("pos") - 1).alias("origin_pos")).distinct()
@@ -46,15 +82,17 @@ def rolling_baselines(rows: DataFrame, origins: DataFrame, specs: list[dict], lo
     detail = level.join(actual, "origin_pos").join(risk.energy_score(cum, both, by), by).join(risk.variogram_score(cum, both, by), by)
     detail = detail.join(risk.co_crash(cum, thresholds, by, fraction).withColumnRenamed("co_crash", "predicted_co_crash_probability"), by)
     detail = detail.join(risk.realized_co_crash(outcome, thresholds, ["origin_pos"], fraction).withColumnRenamed("realized", "actual_co_crash"), "origin_pos")
-    detail = detail.withColumn("var_violation", F.col("actual_loss") > F.col("value_at_risk")).withColumn("joint_score", risk.joint_score(F.col("actual_loss"), F.col("value_at_risk"), F.col("expected_shortfall"), q))
-    return detail, comparison.leaderboard(detail), failures
+    return detail.withColumn("var_violation", F.col("actual_loss") > F.col("value_at_risk")).withColumn("joint_score", risk.joint_score(F.col("actual_loss"), F.col("value_at_risk"), F.col("expected_shortfall"), q))
 
 
 def paired_comparison(detail: DataFrame, model: str, metrics: list[str], replications: int, block: int, level: float, seed: int) -> DataFrame:
-    """(baseline_model_id, metric, ...): intervals of ``model`` less each other model, on the same origins."""
+    """(baseline_model_id, metric, ...): intervals of ``model`` less each other model, on the same origins; an origin that only one has, or twice, is an error."""
     own = detail.filter(F.col("model_id") == model)
     base = detail.filter(F.col("model_id") != model)
-    pairs = base.alias("b").join(own.alias("m"), "origin_pos").select("origin_pos", F.col("b.model_id").alias("baseline_model_id"), *[(F.col(f"m.{x}") - F.col(f"b.{x}")).alias(x) for x in metrics])
+    own = own.select("origin_pos", *[F.col(x).alias(f"{x}_m") for x in metrics]).crossJoin(F.broadcast(base.select("model_id").distinct()))  # a row a model
+    own = own.select(F.struct("model_id", "origin_pos").alias("k"), *[f"{x}_m" for x in metrics])
+    base = base.select(F.struct("model_id", "origin_pos").alias("k"), *[F.col(x).alias(f"{x}_b") for x in metrics])
+    pairs = panel.exact_join(own, base, "k", ("", "")).select("k.origin_pos", F.col("k.model_id").alias("baseline_model_id"), *[(F.col(f"{x}_m") - F.col(f"{x}_b")).alias(x) for x in metrics])
     long = pairs.unpivot(["origin_pos", "baseline_model_id"], metrics, "metric", "d")
     from pyspark.sql import Window
 
@@ -102,7 +140,7 @@ def counterfactual_evaluation(spark: SparkSession, paths: int, horizon: int, see
             for arm, key in zip(("factual", "counterfactual"), pair, strict=True):
                 one = counterfactual.long_paths(counterfactual.simulate(noise, model, do[key])).withColumns({"model_id": F.lit(name), "effect_type": F.lit(kind), "arm": F.lit(arm)})
                 out = one if out is None else out.unionByName(one)
-    return counterfactual.effects(out.persist(), outcomes)
+    return counterfactual.effects(out, outcomes)
 
 
 def gate(passed: DataFrame) -> None:

@@ -7,10 +7,12 @@ dates within the range.
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,4 +122,29 @@ def read_archive(spark: SparkSession, path: str, assets: list[str], origins: lis
     return rows
 
 
+def write_archive(scenarios: DataFrame, path: str, assets: list[str]) -> None:
+    """Scenarios (origin_date, scenario, asset, g) as an archive of one array a row, in order of ``assets``; a missing cell is an error."""
+    cells = scenarios.groupBy("origin_date", "scenario").agg(F.map_from_entries(F.collect_list(F.struct("asset", "g"))).alias("m"))
+    g = F.array(*[F.coalesce(F.col("m")[a], F.raise_error(F.lit(f"{a} is missing")).cast("double")) for a in assets])
+    cells.select("origin_date", "scenario", g.alias("g")).write.parquet(path)
+
+
+def write_arrays(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """Named arrays (a model's weights, a standardizer) as rows (name, shape, values)."""
+    rows = [(k, list(map(int, v.shape)), v.ravel().astype(float).tolist()) for k, v in sorted(arrays.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.parquet(path)
+
+
+def read_arrays(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of ``write_arrays``; other names than those asked for, or a shape that doesn't hold, are an error."""
+    out = {}
+    for r in spark.read.parquet(path).collect():  # a model's own size
+        if math.prod(r["shape"]) != len(r["values"]) or r["name"] in out:
+            raise ValueError(f"{r['name']} isn't an array")
+        out[r["name"]] = np.array(r["values"], float).reshape(r["shape"])
+    if names is not None and sorted(out) != sorted(names):
+        raise ValueError("the archive has other arrays")
+    return out
+
+
 RETURN_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("series", T.StringType()), T.StructField("r", T.DoubleType())])
