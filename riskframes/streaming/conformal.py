@@ -25,18 +25,24 @@ def correction(scores: list[float], coverage: float, minimum: int, cold: float)
     return sorted(scores)[max(1, min(n, math.ceil((n + 1) * coverage))) - 1]
 
 
-def conformal_stream(events: DataFrame, coverage: float, window: int, minimum: int, cold: float = 0.0) -> DataFrame:
-    """Issued forecasts of a stream (series, seq, kind, forecast_id, value) with their corrections, in order of seq within a batch."""
+def conformal_stream(events: DataFrame, coverage: float, window: int, minimum: int, cold: float = 0.0, remember: int = 10_000) -> DataFrame:
+    """Issued forecasts of a stream (series, seq, kind, forecast_id, value) with their corrections, in order of seq within a batch.
+
+    The state of a series is its pending forecasts, the last ``window`` scores and the last ``remember`` issued ids: an id that comes again within these
+    is an error, so the state doesn't grow with the stream.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, bases, seen, scores = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        pending, known, out = dict(zip(ids, bases, strict=True)), set(seen), []
+        pending, known, out = dict(zip(ids, bases, strict=True)), dict.fromkeys(seen), []
         rows = pd.concat(list(frames)).sort_values("seq")
         for e in rows.itertuples():
             if e.kind == "issue":
-                if e.forecast_id in known:
+                if e.forecast_id in known or e.forecast_id in pending:
                     raise ValueError(f"forecast {e.forecast_id} is issued twice")
-                known.add(e.forecast_id)
+                known[e.forecast_id] = None
+                if len(known) > remember:
+                    known.pop(next(iter(known)))
                 pending[e.forecast_id] = e.value
                 c = correction(scores, coverage, minimum, cold)
                 out.append((key[0], e.seq, e.forecast_id, e.value, c, e.value + c))
@@ -44,7 +50,7 @@ def conformal_stream(events: DataFrame, coverage: float, window: int, minimum: i
                 if e.forecast_id not in pending:
                     raise ValueError(f"forecast {e.forecast_id} isn't pending")
                 scores = [*scores, e.value - pending.pop(e.forecast_id)][-window:]
-        state.update((list(pending), list(pending.values()), sorted(known), scores))
+        state.update((list(pending), list(pending.values()), list(known), scores))
         yield pd.DataFrame(out, columns=["series", "seq", "forecast_id", "base", "correction", "adjusted"])
 
     return events.groupBy("series").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
