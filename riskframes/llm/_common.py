@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import tempfile
@@ -18,11 +19,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -42,11 +45,47 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its Hadoop file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is removed when the session's driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place, system = _folder(spark, path)
+    _leave_behind.append((system, place))
+    return path
+
+
+_leave_behind: list[tuple] = []
+
+
+def _sweep() -> None:
+    for system, place in _leave_behind:
+        try:
+            system.delete(place, True)
+        except Exception:  # the driver's JVM has ended already
+            return
+
+
+atexit.register(_sweep)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for rows too wide for ``cut``."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession, "table")
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``written`` that nothing reads any more."""
+    place, system = _folder(df.sparkSession, df._written)
+    system.delete(place, True)
 
 
 def let(value: Column, body) -> Column:

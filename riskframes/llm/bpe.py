@@ -8,7 +8,7 @@ other sequence has that property, the result is exactly that of merging by rank,
 
 Decoding lays the text of all tokens into one block of bytes with an offset for each id, and gathers.
 
-Inputs: null text has no tokens; empty text as well. Ids outside the vocabulary are an error. Extra columns are
+Inputs: null text has no tokens; empty text as well. Very long texts and pieces are encoded whole. An empty table gives no rows. Ids outside the vocabulary are an error. Extra columns are
 passed through; one that has the name of an output gives way to it. Repeated rows are encoded alike.
 """
 

@@ -18,7 +18,7 @@ certain. What remains comes out and is checked on full sets. A pair is missed on
 
 Inputs: null and empty texts and texts without words have no set and link with nothing. A null id links with nothing
 and has a null component; it is kept. Rows that share an id are one document, its sets all lead to that id. Equal ids,
-repeated rows: a row each. Extra columns are ignored. An empty table gives an empty result.
+repeated rows: a row each. Very long texts are read whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, cut, fresh, frugal, list_array, mix, release, row_chunks, slices, span_hashes, stream, text_buffers, written
+from ._common import U64, cut, discard, fresh, frugal, list_array, mix, release, row_chunks, slices, span_hashes, stream, text_buffers, written
 from .components import components
 
 BINS, BANDS, BAND_ROWS = 128, 32, 4
@@ -305,6 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     sets = written(full_sets(docs, key, text, width, members.select("rep").distinct()).dropDuplicates(["rep"]), compression="none")
     release(docs.sparkSession)
     edges = cut(links(members, sets, percent))
+    discard(sets)
     by_set = named.select("id", "set_a", "set_b", "n").join(classes.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
     copies = by_set.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = rows.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")

@@ -6,7 +6,7 @@ rate is target / size; each document is taken floor(rate) times, and once more w
 its key and the seed. So a document is never taken more than ``most`` times, and reruns agree.
 
 Inputs: a null text has size 0, a null source is a source of its own (last in order), repeated rows are drawn alike.
-Sources whose size is 0 have target and rate 0. Extra columns are never read, whatever their names; ``repeated`` gives them back. An empty table gives no rows.
+Sources whose size is 0 have target and rate 0; very long texts count whole. Extra columns are never read, whatever their names; ``repeated`` gives them back. An empty table gives no rows.
 """
 
 from __future__ import annotations

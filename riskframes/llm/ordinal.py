@@ -9,8 +9,8 @@ steps with an L1 penalty, so words that tell nothing have none.
 The model is fitted on the driver on at most ``max_labelled`` labelled documents, chosen by a hash of their ids (a documented bound
 of the sample); every document is scored. It gives the expected grade and the probability of the top grade.
 
-Inputs: null and empty texts have length and repetition bins only. Labels that are null are left out; without any label
-the model is an error. Repeated rows are scored alike. Extra columns are ignored.
+Inputs: null and empty texts have length and repetition bins only; very long texts are read whole. Labels that are null are left out, of several of a key the lowest
+counts; rows that share a labelled key are all fitted on. Without any labelled document the fit is an error; an empty table is graded to no rows. Repeated rows are scored alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,30 +122,47 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -30, 30)))
 
 
-def fit(owner: np.ndarray, bucket: np.ndarray, value: np.ndarray, grades: np.ndarray, top: int, steps: int = 300, rate: float = 0.3, l1: float = 3e-4) -> Model:
+def objective(w: np.ndarray, gaps: np.ndarray, edges: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood and its gradients by weights and gaps.
+
+    Row i has the features edges[i] : edges[i + 1]; the first threshold is gaps[0], each further one exp(gaps[k]) above the one before.
+    """
+    rows, top = len(grades), len(gaps)
+    theta = _thresholds(gaps)
+    sizes = np.diff(edges)
+    s = np.zeros(rows)
+    if len(column):
+        s[sizes > 0] = np.add.reduceat(w[column] * value, edges[:-1][sizes > 0])
+    edge = np.concatenate([[-np.inf], theta, [np.inf]])
+    with np.errstate(over="ignore"):
+        up, down = 1 / (1 + np.exp(s - edge[grades + 1])), 1 / (1 + np.exp(s - edge[grades]))
+    p = np.maximum(up - down, 1e-9)
+    du, dd = up * (1 - up) / p, down * (1 - down) / p
+    g = np.bincount(column, weights=np.repeat((du - dd) / rows, sizes) * value, minlength=len(w))
+    gt = np.zeros(top + 2)
+    np.add.at(gt, grades + 1, -du / rows)
+    np.add.at(gt, grades, dd / rows)
+    gt = gt[1:-1]
+    return float(-np.log(p).mean()), g, np.concatenate([[gt.sum()], [np.exp(gaps[k]) * gt[k:].sum() for k in range(1, top)]])
+
+
+def _thresholds(gaps: np.ndarray) -> np.ndarray:
+    return np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))])
+
+
+def fit(edges: np.ndarray, bucket: np.ndarray, value: np.ndarray, grades: np.ndarray, top: int, steps: int = 300, rate: float = 0.3, l1: float = 3e-4) -> Model:
     """Full-batch proximal Adagrad on the mean negative log likelihood."""
-    rows = len(grades)
-    used, column = np.unique(bucket, return_inverse=True)
-    w, theta = np.zeros(len(used)), np.log((np.arange(top) + 1.0) / (top - np.arange(top)))
-    shares = np.clip(np.cumsum(np.bincount(grades, minlength=top + 1))[:-1] / rows, 1e-3, 1 - 1e-3)
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    column = place[bucket]
+    w = np.zeros(len(used))
+    shares = np.clip(np.cumsum(np.bincount(grades, minlength=top + 1))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     theta = np.log(shares / (1 - shares))
     gaps = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
     sq, sq_gaps = np.full(len(used), 1e-8), np.full(top, 1e-8)
     for _ in range(steps):
-        theta = np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))])
-        s = np.bincount(owner, weights=w[column] * value, minlength=rows)
-        edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        with np.errstate(over="ignore"):
-            up, down = 1 / (1 + np.exp(s - edge[grades + 1])), 1 / (1 + np.exp(s - edge[grades]))
-        p = np.maximum(up - down, 1e-9)
-        du, dd = up * (1 - up) / p, down * (1 - down) / p
-        gs = (du - dd) / rows  # of the loss by the score
-        g = np.bincount(column, weights=gs[owner] * value, minlength=len(used))
-        gt = np.zeros(top + 2)
-        np.add.at(gt, grades + 1, -du / rows)
-        np.add.at(gt, grades, dd / rows)
-        gt = gt[1:-1]
-        gg = np.concatenate([[gt.sum()], [np.exp(gaps[k]) * gt[k:].sum() for k in range(1, top)]])
+        _, g, gg = objective(w, gaps, edges, column, value, grades)
         sq += g * g
         sq_gaps += gg * gg
         pace = rate / np.sqrt(sq)
@@ -153,7 +171,7 @@ def fit(owner: np.ndarray, bucket: np.ndarray, value: np.ndarray, grades: np.nda
         gaps = gaps - rate * gg / np.sqrt(sq_gaps)
     weights = np.zeros(BUCKETS)
     weights[used] = w
-    return Model(weights, np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))]))
+    return Model(weights, _thresholds(gaps))
 
 
 def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,7 +182,7 @@ def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def training_rows(docs: DataFrame, grades: DataFrame, key: str, text: str, max_labelled: int) -> tuple[np.ndarray, ...]:
-    """Sparse features and grades of the sample; at most ``max_labelled`` rows come to the driver."""
+    """Features of the sample (edges of the rows, buckets, values) and its grades, in order of the keys; at most ``max_labelled`` rows come to the driver."""
     sample = grades.orderBy(F.xxhash64(key, F.lit(5)), key).limit(max_labelled).withColumnRenamed(key, "k")
     rows = docs.select(F.col(key).alias("k"), text).join(F.broadcast(sample), "k").select("k", "grade", text)
 
@@ -176,18 +194,23 @@ def training_rows(docs: DataFrame, grades: DataFrame, key: str, text: str, max_l
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in blob], pa.binary()), pa.array([x[1] for x in blob], pa.binary())], ["k", "grade", "b", "v"])
 
     got = rows.mapInArrow(frugal(run), "k bigint, grade int, b binary, v binary").toArrow().combine_chunks()
-    got = got.sort_by("k")
-    buckets = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("b")]
-    values = [np.frombuffer(x.as_buffer(), "<f4") for x in got.column("v")]
-    owner = np.repeat(np.arange(len(buckets)), [len(x) for x in buckets])
-    if not buckets:
+    if not got.num_rows:
         raise ValueError("no labelled document to fit on")
-    return owner, np.concatenate(buckets).astype(np.int64), np.concatenate(values).astype(np.float64), got.column("grade").to_numpy().astype(np.int64)
+    order = pc.sort_indices(got.column("k")).to_pylist()
+    grades = got.column("grade").to_numpy().astype(np.int64)[order]
+    lists = {c: got.column(c).chunk(0) for c in ("b", "v")}
+    sizes = np.array([len(lists["b"][k].as_buffer()) // 4 for k in order], np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    bucket, value = np.empty(edges[-1], np.int32), np.empty(edges[-1], np.float32)
+    for k, lo, hi in zip(order, edges[:-1], edges[1:], strict=True):
+        bucket[lo:hi] = np.frombuffer(lists["b"][k].as_buffer(), "<i4")
+        value[lo:hi] = np.frombuffer(lists["v"][k].as_buffer(), "<f4")
+    return edges, bucket, value, grades
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = 20_000, top: int = 2) -> Model:
-    owner, bucket, value, grades = training_rows(docs, graded(labels, key), key, text, max_labelled)
-    return fit(owner, bucket, value, grades, top)
+    edges, bucket, value, grades = training_rows(docs, graded(labels, key), key, text, max_labelled)
+    return fit(edges, bucket, value, grades, top)
 
 
 def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:

@@ -5,13 +5,12 @@ values pack well as dictionary codes; delta packing (``encoding="delta"``, the f
 vocabularies too large for a dictionary page. Row groups and pages are kept small and have page indexes, so that a reader
 takes the pages of a key range, or the counts without the ids.
 
-Order: ascending key, null first, equal keys by text. Null and empty texts hold the end id alone. An empty table
+Order: ascending key, null first, equal keys by text. Very long texts are one row whole. Null and empty texts hold the end id alone. An empty table
 gives files without rows. Extra columns named in ``keep`` are written along; a clash with an output name is an error.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, frugal, list_array, shared_dir, slices
+from ._common import cut, frugal, list_array, slices, temporary
 from .bpe import byte_letters
 from .pretoken import Memo, encode_texts
 
+#: Rows of a file, where there are more of these than shuffle partitions.
+RANGE_ROWS = 200_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -67,7 +68,9 @@ def encode_rows(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndar
 
 def tokenize(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, kept columns, n_tokens, ids) of ``df``, ranged and sorted by key."""
-    rows = df.select(key, *keep, text).repartitionByRange(key).sortWithinPartitions(key, text)
+    ranges = df.count() // RANGE_ROWS
+    many = (ranges,) if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    rows = df.select(key, *keep, text).repartitionByRange(*many, key).sortWithinPartitions(key, text)
     schema = T.StructType([*df.select(key, *keep).schema.fields, T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,8 @@ def starts(counts: DataFrame) -> DataFrame:
     """
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     files = counts.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")  # names have five digits or more
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("before_file"))
     rows = counts.withColumn("before_row", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return rows.join(files, "file").withColumn("start", F.col("before_file") + F.col("before_row")).drop("before_file", "before_row")
@@ -140,6 +144,6 @@ def checksums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 def token_file_report(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", to: str | None = None) -> DataFrame:
     """Write the token files of ``docs`` and report each row as read back from them."""
     spark = docs.sparkSession
-    to = to or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    to = to or temporary(spark, "tokens")
     write_token_files(tokenize(docs, path, end_id, key, text), to)
     return starts(cut(checksums(read_token_files(spark, to), key))).select(key, "start", "n_tokens", "ids_crc32")

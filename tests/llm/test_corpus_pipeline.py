@@ -47,3 +47,23 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows, null and long texts, and columns with names that operators use inside pass all stages."""
+    from pyspark.sql import functions as F
+
+    body = lambda k, n=70: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k, body(k), "en", f"s{k % 2}", 1) for k in range(8)] + [(3, body(3), "en", "s1", 1), (None, body(50), "en", None, 1), (None, body(51), "en", None, 1), (9, None, "en", "s0", 0), (10, body(10, 30_000), "en", "s0", 1), (11, "", None, "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("ids", "row", "n", "rep", "part", "size", "copies", "h", "above", "host", "line", "_above", "_gone", "_null"):
+        docs = docs.withColumn(name, F.lit("own"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == docs.columns
+        now = spark.createDataFrame(now.collect(), docs.schema)
+    kept = {r["doc_id"] for r in now.filter("row = 'own' and _gone = 'own'").collect()}
+    assert kept <= {*range(8), 10, None} and {0, 10, None} <= kept
+    out = corpus_pipeline.tokens(spark, now, "").collect()
+    assert len(out) == now.count() and all(r["n_tokens"] == len(r["ids"]) > 0 for r in out)
