@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.rng import uniform_sql
 from ..operators import counterfactual as cf
-from ..operators import factors, tail, windows
-from . import causal, models
+from ..operators import factors, portfolio, tail, windows
+from . import causal, models, risk
 from .models import ASSETS
 from .panel import ASOF, CALENDARS, WIDE, _date, _r
 from .proxies import MARKET, RETURNS, SERIES, TRAIN_END, VALIDATION_END, market, returns, table
-from .risk import H, LOOK, ORIGINS, S
+from .risk import CUM, LOOK, ORIGINS
 
 FACTORS = 3
+PORTFOLIOS = {"equal": [0.2] * 5, "tilted": [0.4, 0.3, 0.2, 0.1, 0.0], "single": [0.0, 0.0, 1.0, 0.0, 0.0]}
 
 
 def _factor_model(spark, d):
@@ -86,6 +86,24 @@ def regime_switches(spark, d):
     return windows.state_switches(paths).select("scenario", F.col("switches").cast("bigint").alias("switches"))
 
 
+def scm_paired(spark, d):
+    """Treated and reference paths side by side, checked to share regimes and initial state: mean difference of each variable and step."""
+    exo = causal._exo(spark)
+    a, b = (causal._long(spark, causal.DO[k]) for k in ("reference", "treated"))
+    both = cf.paired(a, b, (exo.select("path", "z"), exo.select("path", "z")), (causal.MODEL, causal.MODEL))
+    return both.groupBy("variable", "t").agg(F.count("*").alias("n"), F.round(F.avg(F.col("c") - F.col("f")), 8).alias("mean_effect")).select("variable", F.col("t").cast("int").alias("t"), "n", "mean_effect")
+
+
+def objective_parts(spark, d):
+    """The parts of the robust CVaR objective of three fixed portfolios at every origin."""
+    rows = [(n, a, w, 1.0 / len(SERIES)) for n, ws in PORTFOLIOS.items() for a, w in zip(SERIES, ws, strict=True)]
+    weights = spark.createDataFrame(rows, "strategy string, asset string, weight double, previous double")
+    scenarios = risk._cum(spark, d)
+    origins = scenarios.select("origin_pos").distinct()
+    out = portfolio.objective_parts(scenarios, origins.crossJoin(F.broadcast(weights)), 0.9, 0.01, 0.001, ["origin_pos"])
+    return out.select("origin_pos", "strategy", *[_r(c) for c in ("eta", "cvar", "penalty", "turnover", "cost", "objective")])
+
+
 def ratings(spark, d):
     """Orders by a label that a map gives to their status; what the map doesn't hold is ``other``."""
     label = F.create_map(*[F.lit(x) for x in ("F", "filled", "O", "open")])
@@ -93,7 +111,7 @@ def ratings(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches ratings".split()
+NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts ratings".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- twins ------------------------------------------------------------------------------------------------------------
@@ -233,5 +251,11 @@ ORACLES = {
     "time_embedding": "SELECT t, k, round(CASE WHEN k < 4 THEN sin(t * exp(-ln(10000) / 3 * k)) ELSE cos(t * exp(-ln(10000) / 3 * (k - 4))) END, 9) AS x FROM (SELECT unnest(generate_series(0, 11))::INT AS t), (SELECT unnest(generate_series(0, 7))::INT AS k)",
     "return_bins": f"WITH {RETURNS}, b AS (SELECT series, r, CAST(ntile(4) OVER (PARTITION BY series ORDER BY r, date) - 1 AS INTEGER) AS bin FROM returns WHERE r IS NOT NULL) SELECT series, bin, count(*) AS n, round(min(r), 8) AS least, round(max(r), 8) AS most FROM b GROUP BY ALL",
     "regime_switches": f"WITH RECURSIVE {causal._EXO}, s AS (SELECT path, z <> lag(z) OVER (PARTITION BY path ORDER BY t) AS c FROM st WHERE t >= 0) SELECT path AS scenario, CAST(coalesce(sum(c::INT), 0) AS BIGINT) AS switches FROM s GROUP BY path",
+    "scm_paired": f"WITH RECURSIVE {causal._EXO}, {causal._sim('fa', causal.DO['reference'])}, {causal._sim('co', causal.DO['treated'])} " + " UNION ALL ".join(f"SELECT '{v}' AS variable, t, count(*) AS n, round(avg(co.\"{v}\" - fa.\"{v}\"), 8) AS mean_effect FROM co JOIN fa USING (path, t) WHERE t >= 0 GROUP BY t" for v in cf.VARIABLES),
+    "objective_parts": f"""WITH {CUM}, pw AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{a}', {w!r}::DOUBLE)" for n, ws in PORTFOLIOS.items() for a, w in zip(SERIES, ws, strict=True))}) AS p(strategy, asset, w)),
+      ls AS (SELECT origin_pos, strategy, scenario, -sum(g * w) AS loss FROM cum JOIN pw USING (asset) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY origin_pos, strategy ORDER BY loss, scenario) AS i, count(*) OVER (PARTITION BY origin_pos, strategy) AS n FROM ls),
+      et AS (SELECT origin_pos, strategy, min(loss) FILTER (i >= ceil(n * 0.9::DOUBLE - 1e-12)) AS eta FROM rk GROUP BY ALL), tl AS (SELECT origin_pos, strategy, any_value(eta) AS eta, any_value(eta) + avg(greatest(loss - eta, 0)) / (1 - 0.9::DOUBLE) AS cvar FROM ls JOIN et USING (origin_pos, strategy) GROUP BY ALL),
+      hd AS (SELECT strategy, 0.01::DOUBLE * max(abs(w)) / (1 - 0.9::DOUBLE) AS penalty, sum(abs(w - 0.2::DOUBLE)) AS turnover FROM pw GROUP BY 1)
+      SELECT origin_pos, strategy, round(eta, 8) AS eta, round(cvar, 8) AS cvar, round(penalty, 8) AS penalty, round(turnover, 8) AS turnover, round(0.001::DOUBLE * turnover, 8) AS cost, round(cvar + penalty + 0.001::DOUBLE * turnover, 8) AS objective FROM tl JOIN hd USING (strategy)""",
     "ratings": "SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1",
 }

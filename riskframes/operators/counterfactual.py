@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
-from ..functions.scalars import inverse_softplus, softplus
+from ..functions.scalars import checked, inverse_softplus, softplus
 
 VARIABLES = ("policy", "yield", "credit", "liquidity", "equity", "volatility")
 MEDIATORS = ("yield", "credit", "liquidity", "volatility")
@@ -190,6 +190,22 @@ def _shortfall(values: DataFrame, column: str, q: float) -> DataFrame:
     return expected_shortfall(values.withColumn("_g", F.lit(1)), q, ["_g"], column)
 
 
+def paired(factual: DataFrame, counterfactual: DataFrame, regimes_of: tuple[DataFrame, DataFrame], models: tuple[Structure, Structure]) -> DataFrame:
+    """(path, t, variable, f, c) of two long simulations that share regimes and initial state.
+
+    regimes_of: (path, z) of each. Other initial values are an error at once; a path whose regimes differ, or that only one has, is an error in its row.
+    """
+    if models[0].initial != models[1].initial:
+        raise ValueError("the simulations begin in different states")
+    a, b = regimes_of
+    same = a.select("path", F.col("z").alias("za")).join(b.select("path", F.col("z").alias("zb")), "path", "full")
+    fine = same.withColumn("ok", checked(F.col("za") == F.col("zb"), F.lit(1.0), "the simulations must share their regimes")).select("path", "ok")
+    long = lambda df, x: df.unpivot(["path", "t"], list(VARIABLES), "variable", x)
+    both = long(factual, "f").join(long(counterfactual, "c"), ["path", "t", "variable"], "full")
+    both = both.withColumn("f", checked(F.col("f").isNotNull() & F.col("c").isNotNull(), F.col("f"), "paths must match one to one"))
+    return both.join(fine, "path").filter("ok = 1").select("path", "t", "variable", "f", "c")
+
+
 def effect(factual: DataFrame, counterfactual: DataFrame, outcome: str, q: float = 0.95, loss_sign: float = -1.0) -> tuple[DataFrame, DataFrame]:
     """(t, mean_effect), and one row (ate_terminal, cumulative_ate, tail_effect) of paired paths in long form.
 

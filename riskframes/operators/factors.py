@@ -395,6 +395,31 @@ class Switching:
         return np.maximum(np.expm1(y), -1 + 1e-15)
 
 
+@dataclass(frozen=True)
+class SwitchingSpec:
+    """All parameters of the integrated model; none has a default."""
+
+    factors: int
+    states: int
+    restarts: int
+    iterations: int
+    tolerance: float
+    pseudo: float
+    sticky: float
+    seed: int
+
+    @classmethod
+    def of(cls, config: dict) -> SwitchingSpec:
+        """From a mapping with exactly these keys; a missing or unknown one is an error."""
+        names = set(cls.__dataclass_fields__)
+        if set(config) != names:
+            raise ValueError(f"missing: {sorted(names - set(config))}, unknown: {sorted(set(config) - names)}")
+        return cls(**config)
+
+    def fit(self, frame: DataFrame, columns: list[str]) -> Switching:
+        return fit_switching(frame, columns, self.factors, self.states, self.restarts, self.seed, iterations=self.iterations, tolerance=self.tolerance, pseudo=self.pseudo, sticky=self.sticky)
+
+
 def fit_switching(frame: DataFrame, columns: list[str], count: int, states: int, restarts: int, seed: int, **options) -> Switching:
     """Training uses smoothed beliefs; forecasts start from the filtered one."""
     model = fit_factors(frame, columns, count)

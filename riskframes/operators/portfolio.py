@@ -124,6 +124,23 @@ def decomposed(returns: np.ndarray, w: np.ndarray, level: float, previous: np.nd
     return Decision(w, cvar, penalty, cost * turnover, turnover, cvar + penalty + cost * turnover)
 
 
+def objective_parts(scenarios: DataFrame, weights: DataFrame, level: float, radius: float, cost: float, by: list[str]) -> DataFrame:
+    """(by..., strategy, eta, cvar, penalty, turnover, cost, objective) of given weights.
+
+    scenarios: (by..., scenario, asset, g); weights: (by..., strategy, asset, weight, previous). CVaR is recomputed at its quantile eta; the penalty is
+    radius * max|w| / (1 - level); turnover is the sum of absolute trades, not halved.
+    """
+    own = [*by, "strategy"]
+    loss = scenarios.join(weights, [*by, "asset"]).groupBy(*own, "scenario").agg((-F.sum(F.col("g") * F.col("weight"))).alias("loss"))
+    w = Window.partitionBy(*own)
+    ranked = loss.withColumn("i", F.row_number().over(w.orderBy("loss", "scenario"))).withColumn("n", F.count("*").over(w))
+    eta = ranked.groupBy(*own).agg(F.min(F.when(F.col("i") >= F.ceil(F.col("n") * F.lit(level) - F.lit(1e-12)), F.col("loss"))).alias("eta"))
+    tail = loss.join(eta, own).groupBy(*own).agg(F.first("eta").alias("eta"), (F.first("eta") + F.avg(F.greatest(F.col("loss") - F.col("eta"), F.lit(0.0))) / (1 - level)).alias("cvar"))
+    held = weights.groupBy(*own).agg((radius * F.max(F.abs("weight")) / (1 - level)).alias("penalty"), F.sum(F.abs(F.col("weight") - F.col("previous"))).alias("turnover"))
+    out = tail.join(held, own).withColumn("cost", cost * F.col("turnover"))
+    return out.withColumn("objective", F.col("cvar") + F.col("penalty") + F.col("cost"))
+
+
 def realized(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by..., asset, drifted, gross, turnover, cost, net) of rows (by..., asset, target, previous, g, rate).
 
