@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.rng import uniform_sql
 from ..operators import counterfactual as cf
-from ..operators import factors, portfolio, tail, windows
+from ..operators import comparison, factors, portfolio, tail, windows
+from ..plans import runners
 from . import causal, models, risk
 from .models import ASSETS
 from .panel import ASOF, CALENDARS, WIDE, _date, _r
 from .proxies import MARKET, RETURNS, SERIES, TRAIN_END, VALIDATION_END, market, returns, table
-from .risk import CUM, LOOK, ORIGINS
+from .risk import CUM, DETAIL, LOOK, ORIGINS
 
 FACTORS = 3
 PORTFOLIOS = {"equal": [0.2] * 5, "tilted": [0.4, 0.3, 0.2, 0.1, 0.0], "single": [0.0, 0.0, 1.0, 0.0, 0.0]}
@@ -56,7 +57,7 @@ def hmm_filter(spark, d):
 def regime_em_step(spark, d):
     """One penalised EM step on the training rows: transitions, means, variances and occupancy by state."""
     rows, model = _beliefs(spark, d)
-    x = rows.filter(F.col("date") <= F.lit(TRAIN_END).cast("date")).orderBy("date").select("f0").toPandas().to_numpy(float)  # a fitted window's length
+    x = factors.series_rows(rows.filter(F.col("date") <= F.lit(TRAIN_END).cast("date")), ["f0"]).to_numpy(float)
     step, smoothed = factors.em_step(x, model)
     found = factors.regime_diagnostics(smoothed, step)
     out = [(k, *(round(float(v), 6) for v in (step.transitions[k, 0], step.transitions[k, 1], step.means[k, 0], step.covariances[k, 0, 0], found["occupancy"][k], found["persistence"][k]))) for k in range(2)]
@@ -104,6 +105,14 @@ def objective_parts(spark, d):
     return out.select("origin_pos", "strategy", *[_r(c) for c in ("eta", "cvar", "penalty", "turnover", "cost", "objective")])
 
 
+def leaderboard_historical(spark, d):
+    """Scores of historical scenarios at all origins, as the leaderboard of the evaluation has them."""
+    cum = risk._cum(spark, d).withColumn("model_id", F.lit("historical"))
+    detail = runners.score_scenarios(cum, risk._panel(spark, d), risk._origins(spark, d), risk.H, 0.8, 0.4, TRAIN_END, 0.2)
+    out = comparison.leaderboard(detail)
+    return out.select("model_id", "forecast_origins", *[_r(c, 6) for c in ("mean_energy_score", "mean_variogram_score", "joint_var_es_score", "var_violation_rate", "co_crash_brier_score", "mean_realized_loss")])
+
+
 def ratings(spark, d):
     """Orders by a label that a map gives to their status; what the map doesn't hold is ``other``."""
     label = F.create_map(*[F.lit(x) for x in ("F", "filled", "O", "open")])
@@ -111,7 +120,7 @@ def ratings(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts ratings".split()
+NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts leaderboard_historical ratings".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- twins ------------------------------------------------------------------------------------------------------------
@@ -257,5 +266,13 @@ ORACLES = {
       et AS (SELECT origin_pos, strategy, min(loss) FILTER (i >= ceil(n * 0.9::DOUBLE - 1e-12)) AS eta FROM rk GROUP BY ALL), tl AS (SELECT origin_pos, strategy, any_value(eta) AS eta, any_value(eta) + avg(greatest(loss - eta, 0)) / (1 - 0.9::DOUBLE) AS cvar FROM ls JOIN et USING (origin_pos, strategy) GROUP BY ALL),
       hd AS (SELECT strategy, 0.01::DOUBLE * max(abs(w)) / (1 - 0.9::DOUBLE) AS penalty, sum(abs(w - 0.2::DOUBLE)) AS turnover FROM pw GROUP BY 1)
       SELECT origin_pos, strategy, round(eta, 8) AS eta, round(cvar, 8) AS cvar, round(penalty, 8) AS penalty, round(turnover, 8) AS turnover, round(0.001::DOUBLE * turnover, 8) AS cost, round(cvar + penalty + 0.001::DOUBLE * turnover, 8) AS objective FROM tl JOIN hd USING (strategy)""",
+    "leaderboard_historical": f"""WITH {DETAIL}, ea AS (SELECT origin_pos, scenario, sqrt(sum(pow(cum.g - outc.g, 2))) AS d FROM cum JOIN outc USING (origin_pos, asset) GROUP BY ALL),
+      eb AS (SELECT x.origin_pos, x.scenario AS s, y.scenario AS t, sqrt(sum(pow(x.g - y.g, 2))) AS d FROM cum x JOIN cum y USING (origin_pos, asset) GROUP BY ALL),
+      en AS (SELECT origin_pos, n - 0.5 * f AS e FROM (SELECT origin_pos, avg(d) AS n FROM ea GROUP BY 1) JOIN (SELECT origin_pos, avg(d) AS f FROM eb GROUP BY 1) USING (origin_pos)),
+      vm AS (SELECT x.origin_pos, x.asset AS i, y.asset AS j, avg(sqrt(abs(x.g - y.g))) AS m FROM cum x JOIN cum y ON x.origin_pos = y.origin_pos AND x.scenario = y.scenario AND x.asset < y.asset GROUP BY ALL),
+      va AS (SELECT vm.origin_pos, sum(pow(sqrt(abs(a.g - b.g)) - m, 2)) AS s FROM vm JOIN outc a ON a.origin_pos = vm.origin_pos AND a.asset = i JOIN outc b ON b.origin_pos = vm.origin_pos AND b.asset = j GROUP BY 1),
+      hc AS (SELECT origin_pos, scenario, avg((g <= threshold)::INT) AS m FROM cum JOIN thr USING (asset) GROUP BY ALL), pc AS (SELECT origin_pos, avg((m >= 0.4)::INT) AS p FROM hc GROUP BY 1), yc AS (SELECT origin_pos, (avg((g <= threshold)::INT) >= 0.4)::INT AS y FROM outc JOIN thr USING (asset) GROUP BY 1)
+      SELECT 'historical' AS model_id, count(*) AS forecast_origins, round(avg(en.e), 6) AS mean_energy_score, round(avg(s), 6) AS mean_variogram_score, round(avg(exp(-det.e) * (-det.e + v + CASE WHEN -loss <= -v THEN (loss - v) / (1 - 0.8::DOUBLE) ELSE 0 END)), 6) AS joint_var_es_score,
+        round(avg(hit::INT), 6) AS var_violation_rate, round(avg(pow(p - y, 2)), 6) AS co_crash_brier_score, round(avg(loss), 6) AS mean_realized_loss FROM det JOIN en USING (origin_pos) JOIN va USING (origin_pos) JOIN pc USING (origin_pos) JOIN yc USING (origin_pos)""",
     "ratings": "SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1",
 }

@@ -199,7 +199,7 @@ def weighted_loss(spark, d):
 def ddpm_sample(spark, d):
     """Scenarios of a small trained denoiser on the market's windows."""
     rows = market(spark, d).filter(F.col("date") <= F.lit(TRAIN_END).cast("date")).withColumn("series", F.lit("m")).withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1).withColumn("x", F.log1p("r"))
-    pairs = windows.window_pairs(rows, ["x"], 12, H).orderBy("pos").toPandas()  # a fitted window's length
+    pairs = factors.series_rows(windows.window_pairs(rows, ["x"], 12, H), ["past", "future"], "pos")
     past, future = (np.array([[list(r) for r in w] for w in pairs[c]], float) for c in ("past", "future"))
     scale = past.std() or 1.0
     belief = np.ones((len(past), 1))

@@ -221,10 +221,18 @@ def em(x: np.ndarray, states: int, rng: np.random.Generator, iterations: int = 3
     return Regimes(start[order], transitions[np.ix_(order, order)], means[order], covariances[order], last, steps)
 
 
+def series_rows(frame: DataFrame, columns: list[str], order: str = "date", most: int = 2_000_000) -> pd.DataFrame:
+    """The rows of one fitted series on the driver, in order. A series is a window of days; more than ``most`` rows are an error, not a longer wait."""
+    rows = frame.orderBy(order).select(*columns).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a fit takes {most} rows of a series at most")
+    return rows
+
+
 def fit_regimes(frame: DataFrame, columns: list[str], states: int, restarts: int, seed: int, **options) -> Regimes:
     """The best of several EM starts, one a task. Each sees the whole training series, which is a fitted window's length."""
     spark = frame.sparkSession
-    rows = frame.orderBy("date").select(*columns).toPandas().to_numpy(float)
+    rows = series_rows(frame, columns).to_numpy(float)
     sent = spark.sparkContext.broadcast(rows)
 
     def one(batches):
@@ -423,9 +431,9 @@ class SwitchingSpec:
 def fit_switching(frame: DataFrame, columns: list[str], count: int, states: int, restarts: int, seed: int, **options) -> Switching:
     """Training uses smoothed beliefs; forecasts start from the filtered one."""
     model = fit_factors(frame, columns, count)
-    scored = model.project(frame).orderBy("date").select("date", *columns, *[f"f{k}" for k in range(count)])
+    scored = model.project(frame).select("date", *columns, *[f"f{k}" for k in range(count)])
     regimes = fit_regimes(scored, [f"f{k}" for k in range(count)], states, restarts, seed, **options)
-    rows = scored.toPandas()
+    rows = series_rows(scored, [*columns, *[f"f{k}" for k in range(count)]])
     f, y = rows[[f"f{k}" for k in range(count)]].to_numpy(float), np.log1p(rows[columns].to_numpy(float))
     _, filtered, smoothed, _ = forward_backward(log_density(f, regimes.means, regimes.covariances), regimes.start, regimes.transitions)
     return Switching(model, regimes, fit_regime_var(f, smoothed), fit_mapping(y, f, smoothed), filtered[-1], f[-1])

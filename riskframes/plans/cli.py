@@ -192,7 +192,7 @@ def run_diffusion(spark: SparkSession, config: dict, root: Path, out: Path) -> d
     pairs = windows.window_pairs(scaled.filter(within), columns, length, horizon).join(rows.select("pos", "pi"), "pos")
     cells = pairs.select(F.col("pos").alias("w"), F.posexplode("future").alias("step", "v")).select("w", "step", F.posexplode("v").alias("feature", "x"))
     weights = tail.importance_weights(tail.severity(cells, config.get("direction", "two_sided"))).select(F.col("w").alias("pos"), "weight")
-    fit = pairs.join(weights, "pos").orderBy("pos").select("past", "future", "pi", "weight").toPandas()  # the windows of a fit
+    fit = factors.series_rows(pairs.join(weights, "pos"), ["past", "future", "pi", "weight"], "pos")
     past, future = (np.array([[list(r) for r in w] for w in fit[c]], float) for c in ("past", "future"))
     belief, weight = np.array(fit["pi"].tolist(), float), fit["weight"].to_numpy(float)
     cut = max(1, int(config.get("training_fraction", 0.9) * len(past)))
