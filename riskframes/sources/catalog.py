@@ -82,9 +82,8 @@ class _SnapshotReader(DataSourceReader):
 
     def read(self, partition: _File):
         import csv
-        import json
 
-        meta = json.loads(snapshots.meta_path(partition.path).read_text())
+        meta = snapshots.snapshot_meta(partition.path)
         if meta["sha256"] != snapshots.file_hash(partition.path):
             raise ValueError(f"{partition.path} isn't what its metadata says")
         with open(partition.path, newline="") as file:

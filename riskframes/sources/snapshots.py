@@ -67,7 +67,10 @@ def file_hash(path: str | Path) -> str:
 
 
 def write_snapshot(frame: DataFrame, path: str | Path, source_id: str, provider: str, **extra) -> dict:
-    """One CSV file in order of date and its metadata beside it; both appear together."""
+    """One CSV file in order of date and its metadata beside it.
+
+    The new metadata is put in place first and holds the old one until the file has followed, so whenever this is stopped, the file that is there has its metadata.
+    """
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     stage = path.parent / f".stage-{uuid.uuid4().hex}"
@@ -75,8 +78,13 @@ def write_snapshot(frame: DataFrame, path: str | Path, source_id: str, provider:
     file = next(stage.glob("part-*.csv"))
     n, first, last = frame.agg(F.count("*"), F.min("date").cast("string"), F.max("date").cast("string")).first()
     meta = {"source_id": source_id, "provider": provider, "sha256": file_hash(file), "row_count": n, "columns": frame.columns, "first_date": first, "last_date": last} | extra
-    os.replace(file, path)
-    write_json(meta_path(path), meta)
+    if path.exists() and meta_path(path).exists():
+        write_json(meta_path(path), meta | {"previous": snapshot_meta(path)})
+        os.replace(file, path)
+        write_json(meta_path(path), meta)
+    else:
+        write_json(meta_path(path), meta)
+        os.replace(file, path)
     shutil.rmtree(stage)
     return meta
 
@@ -85,9 +93,16 @@ def meta_path(path: str | Path) -> Path:
     return Path(path).with_suffix(".meta.json")
 
 
+def snapshot_meta(path: str | Path) -> dict:
+    """The metadata of the file that is there: that of the snapshot before where its successor's file hasn't come."""
+    meta = json.loads(meta_path(path).read_text())
+    before = meta.pop("previous", None)
+    return before if before and before.get("sha256") == file_hash(path) else meta
+
+
 def read_snapshot(spark: SparkSession, path: str | Path, source_id: str, provider: str, columns: list[str], start: str, end: str) -> DataFrame:
     """A snapshot that is what its metadata says and covers the range, filtered to it. Anything else is an error."""
-    meta = json.loads(meta_path(path).read_text())
+    meta = snapshot_meta(path)
     missing = [k for k in META if k not in meta]
     if missing:
         raise ValueError(f"metadata lacks {', '.join(missing)}")

@@ -9,7 +9,7 @@ from riskframes.functions import tables
 from riskframes.operators import comparison, factors, panel, portfolio
 from riskframes.operators import counterfactual as cf
 from riskframes.plans import runners
-from riskframes.sources import catalog, readers
+from riskframes.sources import catalog, readers, snapshots
 
 
 @pytest.fixture
@@ -53,6 +53,30 @@ def test_snapshot_data_source(spark, raw):
         rows.collect()
 
 
+def test_a_stopped_snapshot_keeps_the_old_one(spark, tmp_path, monkeypatch):
+    frame = lambda v: spark.createDataFrame([("2020-01-01", v), ("2020-01-02", v)], "date string, x double").withColumn("date", F.to_date("date"))
+    path = tmp_path / "a.csv"
+    read = lambda: [r["x"] for r in snapshots.read_snapshot(spark, path, "a", "csv", ["x"], "2020-01-01", "2020-01-02").collect()]
+    span = {"requested_start": "2020-01-01", "requested_end": "2020-01-02"}
+    snapshots.write_snapshot(frame(1.0), path, "a", "csv", **span)
+    assert read() == [1.0, 1.0]
+    replace, done = snapshots.os.replace, []
+
+    def stop(a, b):
+        if str(b) == str(path):
+            raise OSError("stopped")
+        done.append(b)
+        return replace(a, b)
+
+    monkeypatch.setattr(snapshots.os, "replace", stop)
+    with pytest.raises(OSError, match="stopped"):
+        snapshots.write_snapshot(frame(2.0), path, "a", "csv", **span)
+    monkeypatch.undo()
+    assert read() == [1.0, 1.0]
+    snapshots.write_snapshot(frame(3.0), path, "a", "csv", **span)
+    assert read() == [3.0, 3.0] and "previous" not in snapshots.json.loads(snapshots.meta_path(path).read_text())
+
+
 def test_table_functions(spark):
     tables.register(spark)
     assert spark.sql("select count(*) as n, max(step) as s from scenario_grid(5, 4)").first() == (20, 3)
