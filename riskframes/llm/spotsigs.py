@@ -8,8 +8,10 @@ of its words, or of itself where it has none. So equal texts have equal sets, an
 ``near_pairs`` compares sets. Equal sets are one class; classes are compared, not copies. Classes are put into partitions by the size of the set,
 such that sets in partitions that aren't neighbours can't reach the threshold, and within them only sets that share one of their rarest signatures
 meet, with the sizes checked first (a set of n needs no more than its n - ceil(percent * n / 100) + 1 rarest). Where more than ``PAIRS`` classes
-share a signature and a partition, they are split by a second rare signature, which sets that reach the threshold share as well. Rare is
+share a signature, they are split by a second rare signature, which sets that reach the threshold share as well. Rare is
 what counters of a fixed number say, so the order of all signatures is a table of ``SLOTS`` bytes, whatever the input; a poor order costs time and loses nothing.
+Classes that meet are compared within the join by sketches (``64 * WORDS`` bits, each the parity of the signatures that fall on it): at least as many
+signatures differ as bits, so only pairs that may reach the threshold come out, and get their exact likeness.
 
 Everything is DataFrame functions. Null and empty texts have the one signature of no words; very long texts are read whole. Repeated rows and ties of the key are in
 order of their text. Documents without a key have neither class nor links; rows that share a key have its smallest class. Extra columns are ignored. An
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, let
+from ._common import cut, let, release
 
 #: Very common words of four languages. Anchors open a chain; no common word is a content word.
 ANCHORS = ["the", "a", "is", "was", "der", "die", "ist", "ein", "le", "la", "est", "un", "el", "los", "es", "una"]
@@ -34,7 +36,7 @@ COMMON = ANCHORS + [
     "sur", "une", "al", "como", "con", "del", "las", "no", "para", "por", "se", "su", "y",
 ]
 CHAIN = 2
-PAIRS, SLOTS = 256, 1 << 16
+PAIRS, SLOTS, WORDS = 256, 1 << 16, 4
 RANGE_ROWS, MOST_RANGES = 20_000, 16_384
 
 
@@ -93,20 +95,20 @@ def with_next(docs: DataFrame, key: str, text: str, derive, info: DataFrame | No
     """``derive(docs)`` with ``next``, a struct of the text and derived columns of the next row by key (null first, then by text); the last has the first.
 
     Rows follow each other within a range of keys, and the last of a range gets the first row of the next. No task sees more than a range; the
-    table of ranges has one row each. Texts mustn't be null. ``info``: columns by key (one row each) that rows get along the way, without another exchange.
+    table of ranges has one row each. Texts and derived columns mustn't be null. ``info``: columns by key (one row each) that rows get along the way, without another exchange.
     """
     place = _place(docs, key)
     placed = docs.withColumn("_range", place)
     order = [F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first()]
     derived = derive(placed)
     rows = [text, *(c for c in derived.columns if c not in placed.columns)]
-    here = derived.withColumn("_row", F.struct(*rows))
     if info is not None:  # a row without text before those of its key
-        here = here.unionByName(info.withColumn("_range", place), allowMissingColumns=True)
+        derived = derived.unionByName(info.withColumn("_range", place), allowMissingColumns=True)
         known = Window.partitionBy("_range", key).orderBy(order[1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        here = here.withColumns({c: F.last(c, ignorenulls=True).over(known) for c in info.columns if c != key})
-    step_on = here.withColumn("_lead", F.lead("_row").over(Window.partitionBy("_range").orderBy(*order)) if info is None else F.expr(
-        f"lead(_row) ignore nulls over (partition by _range order by `{key}` asc nulls first, `{text}` asc nulls first)")).drop("_row").filter(F.col(text).isNotNull())
+        derived = derived.withColumns({c: F.last(c, ignorenulls=True).over(known) for c in info.columns if c != key})
+    ahead = f"over (partition by _range order by `{key}` asc nulls first, `{text}` asc nulls first)"
+    leads = {c: F.expr(f"lead(`{c}`) ignore nulls {ahead}").alias(f"_lead_{c}") for c in rows}  # columns, not a struct of them, which would be exchanged as well
+    step_on = derived.select("*", *leads.values()).filter(F.col(text).isNotNull())
     firsts = placed.groupBy("_range").agg(F.min(key).alias("_first"))
     ahead = Window.orderBy("_range")
     wrap = F.first("_first").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -116,7 +118,8 @@ def with_next(docs: DataFrame, key: str, text: str, derive, info: DataFrame | No
     heads = placed.join(F.broadcast(firsts), (F.col("_range") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_want")))  # one key of each range
     heads = derive(heads.groupBy("_of").agg(F.min(text).alias(text))).select("_of", F.struct(*rows).alias("_head"))
     joined = step_on.join(heads, F.col("_range") == F.col("_of"), "left")
-    return joined.withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head", "_of", "_range")
+    after = F.struct(*[F.coalesce(F.col(f"_lead_{c}"), F.col("_head")[c]).alias(c) for c in rows])
+    return joined.withColumn("next", after).drop("_head", "_of", "_range", *(f"_lead_{c}" for c in rows))
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -128,6 +131,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     ends = F.explode(F.array("a", "b")).alias("class")
     links = pairs.select(ends).groupBy("class").agg(F.count("*").alias("n_links"))
     info = cut(members.groupBy(key).agg(F.min("class").alias("class")).join(links, "class", "left").select(key, F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    release(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = with_next(rows, key, "t", lambda df: df.withColumn("sigs", signatures(F.col("t"))), info)
     n = F.length("t")
@@ -143,7 +147,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
 
 
 def partition_bounds(percent: int) -> list[int]:
-    """Smallest sizes of the partitions: sizes x <= y with 100 * x >= percent * y are in one or in neighbours."""
+    """Smallest sizes of the partitions: sizes x <= y with 100 * x >= percent * y are in one or in neighbours. ``percent`` is below 100."""
     bounds = [1]
     while bounds[-1] < 1 << 31:
         bounds.append(bounds[-1] * 100 // percent + 1)
@@ -159,12 +163,24 @@ def _rarity(classes: DataFrame) -> Column:
     return F.lit(bytes(level))
 
 
+def _bits(sigs: Column) -> list[Column]:
+    """WORDS numbers: bit i is odd if an odd number of signatures fall on it."""
+
+    def word(k: int) -> Column:
+        mine = F.filter(sigs, lambda s: F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(WORDS - 1)) == k)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, s: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), s.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [word(k).alias(f"w{k}") for k in range(WORDS)]
+
+
 def _meet(rows: DataFrame, on: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that agree in ``on`` and are in one partition or in neighbours, the smaller set first."""
-    left = rows.select(F.col("class").alias("a"), F.col("n").alias("na"), *on, F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = rows.select(F.col("class").alias("b"), F.col("n").alias("nb"), *on, "part")
+    """Pairs (a, b) of classes that agree in ``on`` and are in one partition or in neighbours, the smaller set first, and whose sketches allow the threshold."""
+    side = lambda x: rows.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), *on, F.col("part").alias(f"p{x}"), *(F.col(f"w{k}").alias(f"{x}{k}") for k in range(WORDS)))
+    beside = (F.col("pb") - F.col("pa")).isin(0, 1)
     close = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return left.join(right, [*on, "part"]).filter(close & (100 * F.col("na") >= percent * F.col("nb"))).select("a", "b").distinct()
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return side("a").join(side("b"), on).filter(beside & close & (100 * F.col("na") >= percent * F.col("nb")) & near).select("a", "b").distinct()
 
 
 def near_pairs(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -172,25 +188,30 @@ def near_pairs(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: st
 
     A class is named by its smallest key; documents without a key are left out of both.
     """
-    sets = cut(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), signatures(F.col(text)).alias("sigs")))
+    sets = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), signatures(F.col(text)).alias("sigs"))
     classes = cut(sets.groupBy("sigs").agg(F.min("id").alias("class")))
     name = [F.xxhash64("sigs").alias("d"), F.xxhash64(F.lit(1), "sigs").alias("e")]
     members = sets.select("id", *name).join(classes.select("class", *name), ["d", "e"]).select(F.col("id").alias(key), "class")
-    levels, bounds = _rarity(classes), _numbers(partition_bounds(percent), "bigint")
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0, and 100 at most")
+    levels = _rarity(classes)
     ranked = F.sort_array(F.transform("sigs", lambda s: F.struct(F.substring(levels, F.pmod(s, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("r"), s.alias("s"))))
     n = F.size("sigs")
     prefix = (n - F.floor((percent * n + 99) / 100) + 1).cast("int")
     rare = F.transform(F.slice(ranked, 1, prefix + 1), lambda x: x["s"])
-    part = F.size(F.filter(bounds, lambda b: b <= n))
-    heads = classes.select("class", n.alias("n"), part.alias("part"), prefix.alias("prefix"), rare.alias("rare"))
-    heads = heads.select("class", "n", "part", "rare", F.explode(F.slice("rare", 1, F.col("prefix"))).alias("sig"))
-    both = F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")
-    groups = heads.select("sig", both).groupBy("sig", "part").agg(F.count("*").alias("many")).filter("many > 1")
-    hot = cut(groups.filter(F.col("many") > most).select("sig").distinct())  # their number is a small part of the classes
-    cold = heads.drop("rare").join(hot, "sig", "left_anti")
-    again = heads.join(hot, "sig", "left_semi").select("class", "n", "part", "sig", F.explode("rare").alias("other")).filter("sig != other")
-    again = again.select("class", "n", "part", F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other")).distinct()
-    pairs = _meet(cold, ["sig"], percent).union(_meet(again, ["sig", "other"], percent)).distinct()
+    part = F.size(F.filter(_numbers(partition_bounds(percent), "bigint"), lambda b: b <= n)) if percent < 100 else n
+    heads = classes.select("class", n.alias("n"), part.alias("part"), F.explode(F.slice(rare, 1, prefix)).alias("sig"))
+    several = heads.groupBy("sig").agg(F.count("*").alias("many")).filter("many > 1")
+    met = cut(heads.join(several, "sig"))
+    bits = cut(classes.join(met.select("class").distinct(), "class", "left_semi").select("class", *_bits(F.col("sigs"))))
+    pairs = _meet(met.filter(F.col("many") <= most).drop("many").join(bits, "class"), ["sig"], percent)
+    hot = met.filter(F.col("many") > most).drop("many")
+    if not hot.isEmpty():
+        again = hot.join(classes.select("class", rare.alias("rare")), "class").select("class", "n", "part", "sig", F.explode("rare").alias("other")).filter("sig != other")
+        again = cut(again.select("class", "n", "part", F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other")).distinct())
+        both = again.groupBy("sig", "other").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
+        pairs = pairs.union(_meet(again.join(both, ["sig", "other"], "left_semi").join(bits, "class"), ["sig", "other"], percent)).distinct()
+    pairs = cut(pairs)
     a, b = classes.select(F.col("class").alias("a"), F.col("sigs").alias("sa")), classes.select(F.col("class").alias("b"), F.col("sigs").alias("sb"))
     shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     found = cut(pairs.join(a, "a").join(b, "b").select("a", "b", shared.alias("both"), sizes.alias("all")).filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))))
