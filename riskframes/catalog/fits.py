@@ -248,7 +248,7 @@ def _misspecified() -> str:
 ORACLES = {
     "pca_loadings": f"WITH {_PCA} SELECT 'asset__' || unnest([{', '.join(repr(s) for s in SERIES)}]) AS asset, factor, round(unnest(v), 5) AS loading, round(l / {_TOTAL}, 6) AS explained FROM ld",
     "pca_scores": f"""WITH {_PCA}, z AS (SELECT date, r, list_transform(x, lambda a, i: (a - centre[i]) / scale[i]) AS z, centre, scale FROM lx, co), s AS (SELECT z.*, list_dot_product(z, ea.v) AS f0, list_dot_product(z, eb.v) AS f1, list_dot_product(z, ec.v) AS f2, ea.v AS a, eb.v AS b, ec.v AS c FROM z, ea, eb, ec)
-      SELECT CAST(date AS VARCHAR) AS date, round(f0, 4) AS f0, round(f1, 4) AS f1, round(f2, 4) AS f2, round(sqrt(list_avg(list_transform(r, lambda y, i: pow(y - greatest(exp((f0 * a[i] + f1 * b[i] + f2 * c[i]) * scale[i] + centre[i]) - 1, -1), 2)))), 5) AS rmse FROM s""",
+      SELECT CAST(date AS VARCHAR) AS date, CASE WHEN "full" THEN round(f0, 4) END AS f0, CASE WHEN "full" THEN round(f1, 4) END AS f1, CASE WHEN "full" THEN round(f2, 4) END AS f2, CASE WHEN "full" THEN round(sqrt(list_avg(list_transform(r, lambda y, i: pow(y - greatest(exp((f0 * a[i] + f1 * b[i] + f2 * c[i]) * scale[i] + centre[i]) - 1, -1), 2)))), 5) END AS rmse FROM (SELECT *, len(list_filter(r, lambda q: q IS NULL)) = 0 AS "full" FROM s)""",
     "hmm_filter": f"WITH RECURSIVE {_FILTER} SELECT CAST(date AS VARCHAR) AS date, round(p0, 6) AS p0, round(p1, 6) AS p1, round(-(p0 * ln(greatest(p0, 1e-300)) + p1 * ln(greatest(p1, 1e-300))), 6) AS entropy FROM fw JOIN f USING (k)",
     "regime_em_step": f"""WITH RECURSIVE {_EM} SELECT 0 AS state, round(c00 / (c00 + c01), 6) AS to0, round(c01 / (c00 + c01), 6) AS to1, round(m0, 6) AS mean, round(v0, 6) AS variance, round(o0, 6) AS occupancy, round(c00 / (c00 + c01), 6) AS persistence FROM ct, va
       UNION ALL SELECT 1, round(c10 / (c10 + c11), 6), round(c11 / (c10 + c11), 6), round(m1, 6), round(v1, 6), round(o1, 6), round(c11 / (c10 + c11), 6) FROM ct, va""",
