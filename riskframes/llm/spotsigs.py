@@ -37,7 +37,7 @@ COMMON = ANCHORS + [
 ]
 CHAIN = 2
 PAIRS, SLOTS, WORDS = 256, 1 << 16, 4
-RANGE_ROWS, MOST_RANGES = 20_000, 16_384
+RANGE_ROWS, MOST_RANGES = 4_000, 16_384
 
 
 def signatures(text: Column) -> Column:
