@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.rng import uniform_sql
 from ..operators import counterfactual as cf
-from ..operators import comparison, factors, portfolio, tail, windows
+from ..operators import comparison, factors, generators, portfolio, tail, windows
+from ..operators import risk as risk_operators
 from ..plans import runners
 from . import causal, models, risk
 from .models import ASSETS
 from .panel import ASOF, CALENDARS, WIDE, _date, _r
 from .proxies import MARKET, RETURNS, SERIES, TRAIN_END, VALIDATION_END, market, returns, table
-from .risk import CUM, DETAIL, LOOK, ORIGINS
+from .risk import _FWD, CUM, DETAIL, LOOK, ORIGINS
 
 FACTORS = 3
 PORTFOLIOS = {"equal": [0.2] * 5, "tilted": [0.4, 0.3, 0.2, 0.1, 0.0], "single": [0.0, 0.0, 1.0, 0.0, 0.0]}
@@ -113,6 +114,17 @@ def leaderboard_historical(spark, d):
     return out.select("model_id", "forecast_origins", *[_r(c, 6) for c in ("mean_energy_score", "mean_variogram_score", "joint_var_es_score", "var_violation_rate", "co_crash_brier_score", "mean_realized_loss")])
 
 
+def energy_score_sampled(spark, d):
+    """The energy score where scenario pairs are drawn."""
+    return risk_operators.energy_score(risk._cum(spark, d), risk._outcomes(spark, d), ["origin_pos"], most_pairs=500).select("origin_pos", _r("energy_score"))
+
+
+def generator_fits(spark, d):
+    """Means, shrunk covariances and degrees of freedom that the generators fit at every origin."""
+    out = generators.fitted(risk._panel(spark, d), risk._origins(spark, d), LOOK)
+    return out.select("origin_pos", "asset", "other", _r("mean"), _r("covariance"), _r("freedom", 5))
+
+
 def ratings(spark, d):
     """Orders by a label that a map gives to their status; what the map doesn't hold is ``other``."""
     label = F.create_map(*[F.lit(x) for x in ("F", "filled", "O", "open")])
@@ -120,7 +132,7 @@ def ratings(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts leaderboard_historical ratings".split()
+NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts leaderboard_historical energy_score_sampled generator_fits ratings".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- twins ------------------------------------------------------------------------------------------------------------
@@ -274,5 +286,15 @@ ORACLES = {
       hc AS (SELECT origin_pos, scenario, avg((g <= threshold)::INT) AS m FROM cum JOIN thr USING (asset) GROUP BY ALL), pc AS (SELECT origin_pos, avg((m >= 0.4)::INT) AS p FROM hc GROUP BY 1), yc AS (SELECT origin_pos, (avg((g <= threshold)::INT) >= 0.4)::INT AS y FROM outc JOIN thr USING (asset) GROUP BY 1)
       SELECT 'historical' AS model_id, count(*) AS forecast_origins, round(avg(en.e), 6) AS mean_energy_score, round(avg(s), 6) AS mean_variogram_score, round(avg(exp(-det.e) * (-det.e + v + CASE WHEN -loss <= -v THEN (loss - v) / (1 - 0.8::DOUBLE) ELSE 0 END)), 6) AS joint_var_es_score,
         round(avg(hit::INT), 6) AS var_violation_rate, round(avg(pow(p - y, 2)), 6) AS co_crash_brier_score, round(avg(loss), 6) AS mean_realized_loss FROM det JOIN en USING (origin_pos) JOIN va USING (origin_pos) JOIN pc USING (origin_pos) JOIN yc USING (origin_pos)""",
+    "energy_score_sampled": f"""WITH {CUM}{_FWD}, a AS (SELECT origin_pos, scenario, sqrt(sum(pow(cum.g - outc.g, 2))) AS d FROM cum JOIN outc USING (origin_pos, asset) GROUP BY ALL),
+      nm AS (SELECT origin_pos, scenario, row_number() OVER (PARTITION BY origin_pos ORDER BY scenario) - 1 AS i, count(*) OVER (PARTITION BY origin_pos) AS n FROM (SELECT DISTINCT origin_pos, scenario FROM cum)),
+      pr AS (SELECT origin_pos, k, CAST(floor({uniform_sql(17, 'k', "'l'")} * n) AS BIGINT) AS l, CAST(floor({uniform_sql(17, 'k', "'r'")} * n) AS BIGINT) AS r FROM (SELECT DISTINCT origin_pos, n FROM nm), (SELECT unnest(generate_series(0, 499)) AS k)),
+      pd AS (SELECT origin_pos, k, sqrt(sum(pow(x.g - y.g, 2))) AS d FROM pr JOIN nm nl USING (origin_pos) JOIN nm nr USING (origin_pos) JOIN cum x USING (origin_pos) JOIN cum y USING (origin_pos) WHERE nl.i = l AND nr.i = r AND x.scenario = nl.scenario AND y.scenario = nr.scenario AND x.asset = y.asset GROUP BY ALL)
+      SELECT origin_pos, round(m - 0.5 * f, 8) AS energy_score FROM (SELECT origin_pos, avg(d) AS m FROM a GROUP BY 1) JOIN (SELECT origin_pos, avg(d) AS f FROM pd GROUP BY 1) USING (origin_pos)""",
+    "generator_fits": f"""WITH {ORIGINS}, wx AS (SELECT origin_pos, pos, asset, ln(1 + pan.r) AS x FROM orig JOIN pan ON pos BETWEEN origin_pos - {LOOK - 1} AND origin_pos),
+      fu AS (SELECT origin_pos FROM wx GROUP BY 1 HAVING count(*) = {LOOK * len(SERIES)}), ku AS (SELECT origin_pos, asset, avg(x) AS m, kurtosis(x) AS k FROM wx GROUP BY ALL),
+      nu AS (SELECT origin_pos, CASE WHEN count(*) FILTER (k > 0) > 0 THEN least(greatest(6 / (median(k) FILTER (k > 0)) + 4, 4.1), 30) ELSE 30 END AS nu FROM ku GROUP BY 1),
+      cv AS (SELECT a.origin_pos, a.asset, b.asset AS other, covar_samp(a.x, b.x) AS c FROM wx a JOIN wx b USING (origin_pos, pos) GROUP BY ALL)
+      SELECT origin_pos, cv.asset, other, round(m, 8) AS mean, round(CASE WHEN cv.asset = other THEN c + 1e-10 ELSE 0.95::DOUBLE * c END, 8) AS covariance, round(nu, 5) AS freedom FROM cv JOIN ku USING (origin_pos, asset) JOIN nu USING (origin_pos) JOIN fu USING (origin_pos)""",
     "ratings": "SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1",
 }

@@ -247,6 +247,24 @@ def run(panel: DataFrame, origins: DataFrame, specs: list[dict], lookback: int,
     return slices.groupBy("origin_pos", "model").applyInPandas(one, SCHEMA)
 
 
+def fitted(panel: DataFrame, origins: DataFrame, lookback: int) -> DataFrame:
+    """(origin_pos, asset, other, mean, covariance, freedom): what the Gaussian and the t model fit to the log returns of each origin's window; windows with gaps are left out."""
+    from .windows import history_slices
+
+    slices = history_slices(panel.select("pos", "asset", "r"), origins, lookback).select("origin_pos", "offset", "asset", "r")
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="offset", columns="asset", values="r").sort_index()
+        names = ["origin_pos", "asset", "other", "mean", "covariance", "freedom"]
+        if wide.isna().any().any() or len(wide) < lookback:
+            return pd.DataFrame(columns=names)
+        gaussian, student = Gaussian().fit(wide.to_numpy()), StudentT().fit(wide.to_numpy())
+        cov = gaussian.root @ gaussian.root.T
+        return pd.DataFrame([(int(key[0]), a, b, gaussian.mean[i], cov[i, j], student.nu) for i, a in enumerate(wide.columns) for j, b in enumerate(wide.columns)], columns=names)
+
+    return slices.groupBy("origin_pos").applyInPandas(one, "origin_pos bigint, asset string, other string, mean double, covariance double, freedom double")
+
+
 def batches(paths: np.ndarray, rows: int) -> Iterator[np.ndarray]:
     for i in range(0, len(paths), rows):
         yield paths[i : i + rows]

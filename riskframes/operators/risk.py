@@ -77,10 +77,10 @@ def realized_co_crash(outcomes: DataFrame, thresholds: DataFrame, by: list[str],
     return hit.select(*by, (F.col("_m") >= fraction).alias("realized"))
 
 
-def energy_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], beta: float = 1.0, seed: int = 17) -> DataFrame:
+def energy_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], beta: float = 1.0, seed: int = 17, most_pairs: int = PAIR_LIMIT) -> DataFrame:
     """(by..., energy_score): mean distance to the outcome less half the mean distance of scenario pairs.
 
-    All pairs, each with itself included, while their number is at most ``PAIR_LIMIT``; else that many pairs by counter randomness.
+    All pairs, each with itself included, while their number is at most ``most_pairs``; else that many pairs by counter randomness.
     """
     wide = scenarios.groupBy(*by, "scenario").agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("_x"))
     y = outcomes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("asset", "g"))).alias("_y"))
@@ -88,8 +88,8 @@ def energy_score(scenarios: DataFrame, outcomes: DataFrame, by: list[str], beta:
     near = wide.join(y, by).groupBy(*by).agg(F.avg(power(F.col("_x"), F.col("_y"))).alias("_near"))
     numbered = wide.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("scenario")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     counts = numbered.select(*by, "_n").distinct()
-    full = F.col("_n") * F.col("_n") <= PAIR_LIMIT
-    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(full, F.col("_n") * F.col("_n") - 1).otherwise(PAIR_LIMIT - 1).cast("bigint")))
+    full = F.col("_n") * F.col("_n") <= most_pairs
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(full, F.col("_n") * F.col("_n") - 1).otherwise(most_pairs - 1).cast("bigint")))
     pairs = counts.withColumn("_k", k)  # bounded a forecast
     pairs = pairs.select(*by, F.when(full, F.floor(F.col("_k") / F.col("_n"))).otherwise(integer("_n", seed, "_k", F.lit("l"))).alias("_l"), F.when(full, F.col("_k") % F.col("_n")).otherwise(integer("_n", seed, "_k", F.lit("r"))).alias("_r"))
     left, right = numbered.select(*by, F.col("_i").cast("bigint").alias("_l"), F.col("_x").alias("_a")), numbered.select(*by, F.col("_i").cast("bigint").alias("_r"), F.col("_x").alias("_b"))
