@@ -19,6 +19,7 @@ from .proxies import MARKET, RETURNS, SERIES, TRAIN_END, VALIDATION_END, market,
 from .risk import _FWD, CUM, DETAIL, LOOK, ORIGINS
 
 FACTORS = 3
+RADII = [0.0, 0.01]
 PORTFOLIOS = {"equal": [0.2] * 5, "tilted": [0.4, 0.3, 0.2, 0.1, 0.0], "single": [0.0, 0.0, 1.0, 0.0, 0.0]}
 
 
@@ -125,6 +126,32 @@ def generator_fits(spark, d):
     return out.select("origin_pos", "asset", "other", _r("mean"), _r("covariance"), _r("freedom", 5))
 
 
+def allocation_checks(spark, d):
+    """What holds of every optimised portfolio: weights sum to one within bounds, CVaR is that of the weights, and no shift of a hundredth between two assets lowers the objective."""
+    cum = risk._cum(spark, d)
+
+    def one(key: tuple, rows):
+        import numpy as np
+        import pandas as pd
+
+        g = rows.pivot(index="scenario", columns="asset", values="g").sort_index().to_numpy()
+        out = []
+        for radius in RADII:
+            found = portfolio.solve_cvar(g, 0.9, upper=0.6, radius=radius)
+            w = found.weights
+            bounded = bool(abs(w.sum() - 1) < 1e-8 and w.min() > -1e-8 and w.max() < 0.6 + 1e-8)
+            losses = np.sort(-g @ w)
+            tail = max(1, round(0.1 * len(losses)))
+            consistent = bool(abs(losses[-tail:].mean() - found.cvar) < 1e-9) if abs(0.1 * len(losses) - tail) < 1e-9 else True
+            value = lambda v, radius=radius: portfolio.decomposed(g, v, 0.9, None, 0.0, radius).objective
+            shifts = [w + 0.01 * (np.eye(len(w))[i] - np.eye(len(w))[j]) for i in range(len(w)) for j in range(len(w)) if i != j]
+            best = all(value(v) > value(w) - 1e-7 for v in shifts if v.min() >= 0 and v.max() <= 0.6)
+            out.append((int(key[0]), radius, bounded, consistent, best))
+        return pd.DataFrame(out, columns=["origin_pos", "radius", "bounded", "consistent", "optimal"])
+
+    return cum.groupBy("origin_pos").applyInPandas(one, "origin_pos bigint, radius double, bounded boolean, consistent boolean, optimal boolean")
+
+
 def ratings(spark, d):
     """Orders by a label that a map gives to their status; what the map doesn't hold is ``other``."""
     label = F.create_map(*[F.lit(x) for x in ("F", "filled", "O", "open")])
@@ -132,7 +159,7 @@ def ratings(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts leaderboard_historical energy_score_sampled generator_fits ratings".split()
+NAMES = "pca_loadings pca_scores hmm_filter regime_em_step gpd_quantile_es time_embedding return_bins regime_switches scm_paired objective_parts leaderboard_historical energy_score_sampled generator_fits allocation_checks ratings".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- twins ------------------------------------------------------------------------------------------------------------
@@ -296,5 +323,6 @@ ORACLES = {
       nu AS (SELECT origin_pos, CASE WHEN count(*) FILTER (k > 0) > 0 THEN least(greatest(6 / (median(k) FILTER (k > 0)) + 4, 4.1), 30) ELSE 30 END AS nu FROM ku GROUP BY 1),
       cv AS (SELECT a.origin_pos, a.asset, b.asset AS other, covar_samp(a.x, b.x) AS c FROM wx a JOIN wx b USING (origin_pos, pos) GROUP BY ALL)
       SELECT origin_pos, cv.asset, other, round(m, 8) AS mean, round(CASE WHEN cv.asset = other THEN c + 1e-10 ELSE 0.95::DOUBLE * c END, 8) AS covariance, round(nu, 5) AS freedom FROM cv JOIN ku USING (origin_pos, asset) JOIN nu USING (origin_pos) JOIN fu USING (origin_pos)""",
+    "allocation_checks": f"WITH {ORIGINS} SELECT origin_pos, unnest({RADII})::DOUBLE AS radius, true AS bounded, true AS consistent, true AS optimal FROM orig",
     "ratings": "SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1",
 }

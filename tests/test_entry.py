@@ -16,7 +16,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["panel_wide", "asof_lagged", "interval_audit", "origins", "gen_moving_block", "es_fractional", "scm_factual", "conformal_batch", "importance_weights"])
+@pytest.mark.parametrize("name", ["panel_wide", "asof_lagged", "interval_audit", "origins", "gen_moving_block", "es_fractional", "scm_factual", "conformal_batch", "importance_weights", "pca_loadings", "regime_em_step", "gpd_quantile_es", "standardized"])
 def test_twins_agree(spark, sf, name):
     con = duckdb.connect()
     for file in os.listdir(sf):
