@@ -26,7 +26,7 @@ cover each other. Very long texts are searched whole, by one worker with some 50
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from ._common import U64, cut, fresh, mix, row_chunks, span_hashes, stream, text_buffers, tidied
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES, BUCKET_BYTES, MERGE_BYTES = 2 << 20, 64 << 20, 16 << 20
+SHARD_BYTES, BUCKET_BYTES, MERGE_BYTES = 2 << 20, 64 << 20, 12 << 20
 HOT = 64
 BLOCK = 256 << 10
 CHUNK = 1 << 19
@@ -96,9 +96,10 @@ def sorted_suffixes(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray,
     first = np.ndarray((n,), ">u8", block, 0, (1,)).astype(U64)
     order = np.argsort(first).astype(np.int32)
     key = first[order]
+    del first
     head = np.ones(n, bool)
     np.not_equal(key[1:], key[:-1], out=head[1:])
-    del first, key
+    del key
     slot = np.arange(n, dtype=np.int32)
     rank = np.zeros(n + depth + 16, np.int32)  # past the end: 0, and ranks of suffixes count from 1
     rank[order] = np.maximum.accumulate(np.where(head, slot, 0)) + 1
@@ -182,42 +183,58 @@ def _each(firsts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(firsts, n))
 
 
-def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted lists of distinct keys with an owner each, merged two by two by binary search; equal keys keep the smallest owner."""
-    while len(lists) > 1:
-        out = []
-        for (keys, least), (more, other) in zip(lists[::2], lists[1::2], strict=False):
-            if len(keys) < len(more):
-                keys, least, more, other = more, other, keys, least
-            place = np.searchsorted(keys, more)
-            hit = place < len(keys)
-            hit[hit] = keys[place[hit]] == more[hit]
-            least = least.copy()
-            least[place[hit]] = np.minimum(least[place[hit]], other[hit])
-            out.append((np.insert(keys, place[~hit], more[~hit]), np.insert(least, place[~hit], other[~hit])))
-        lists = out + lists[len(lists) & ~1 :]
-    return lists[0]
+def merge_lists(lists: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of distinct keys with an owner each, merged two by two by binary search; equal keys keep the smallest owner.
+
+    Lists of one generation are merged as soon as there are two, so no more than one of each is held.
+    """
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for keys, least in lists:
+        held.append((0, keys, least))
+        while len(held) > 1 and held[-1][0] == held[-2][0]:
+            held[-2:] = [(held[-1][0] + 1, *_merged(*held[-2][1:], *held[-1][1:]))]
+    while len(held) > 1:
+        held[-2:] = [(0, *_merged(*held[-2][1:], *held[-1][1:]))]
+    return held[0][1:]
+
+
+def _merged(keys: np.ndarray, least: np.ndarray, more: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) < len(more):
+        keys, least, more, other = more, other, keys, least
+    place = np.searchsorted(keys, more)
+    hit = place < len(keys)
+    hit[hit] = keys[place[hit]] == more[hit]
+    least = least.copy()
+    least[place[hit]] = np.minimum(least[place[hit]], other[hit])
+    return np.insert(keys, place[~hit], more[~hit]), np.insert(least, place[~hit], other[~hit])
 
 
 def least_owners(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """For each window of runs (begin in ``text``, number, owner) the smallest owner of an equal one."""
     sizes = counts + LENGTH - 1
-    lists, where = [], []
-    for i, j in row_chunks(sizes, BLOCK):
-        part, at = _gather(text, begins[i:j], sizes[i:j])
-        starts = _spread(at, counts[i:j])
-        slot = np.full(len(part), -1, np.int32)
-        slot[starts] = np.arange(len(starts), dtype=np.int32)
-        order, firsts = sorted_windows(part, slot >= 0)
-        keys = np.ndarray((len(part) - LENGTH + 1,), f"S{LENGTH}", part, 0, (1,))[order[firsts]]
-        which = slot[order]
-        lists.append((keys, np.minimum.reduceat(np.repeat(owners[i:j], counts[i:j])[which], firsts)))
-        where.append((keys, _each(firsts, len(order)), which))
-    keys, least = merge_lists(lists)
+    blocks = list(row_chunks(sizes, BLOCK))
+    where: list[tuple] = []
+
+    def keys_of(i: int, j: int, at: np.ndarray) -> np.ndarray:
+        part, _ = _gather(text, begins[i:j], sizes[i:j])
+        return np.ndarray((len(part) - LENGTH + 1,), f"S{LENGTH}", part, 0, (1,))[at]
+
+    def lists() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in blocks:
+            part, at = _gather(text, begins[i:j], sizes[i:j])
+            starts = _spread(at, counts[i:j])
+            slot = np.full(len(part), -1, np.int32)
+            slot[starts] = np.arange(len(starts), dtype=np.int32)
+            order, firsts = sorted_windows(part, slot >= 0)
+            which = slot[order]
+            where.append((order[firsts], _each(firsts, len(order)), which))
+            yield keys_of(i, j, order[firsts]), np.minimum.reduceat(np.repeat(owners[i:j], counts[i:j])[which], firsts)
+
+    keys, least = merge_lists(lists())
     out = []
-    for own, many, which in where:
+    for (i, j), (at, many, which) in zip(blocks, where, strict=True):
         each = np.empty(len(which), np.int64)
-        each[which] = np.repeat(least[np.searchsorted(keys, own)], many)
+        each[which] = np.repeat(least[np.searchsorted(keys, keys_of(i, j, at))], many)
         out.append(each)
     return np.concatenate(out)
 
@@ -232,9 +249,10 @@ def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.
     if not n:
         return np.zeros(0, bool)
     sizes = counts + LENGTH - 1
-    joined, at = _gather(text, begins, sizes)
-    same = span_hashes(_BYTES[joined], at, at + sizes)
-    del joined
+    same = np.empty(n, U64)
+    for i, j in row_chunks(sizes, CHUNK):
+        part, at = _gather(text, begins[i:j], sizes[i:j])
+        same[i:j] = span_hashes(_BYTES[part], at, at + sizes[i:j])
     order = np.lexsort((owners, same, names))
     new = np.ones(n, bool)
     a, b = order[1:], order[:-1]
@@ -242,10 +260,10 @@ def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.
     rep = np.empty(n, np.int64)
     rep[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
     copy = np.flatnonzero(rep != np.arange(n))
-    if len(copy):  # the hash says equal; the bytes decide
-        at = _spread(begins[copy], sizes[copy])
-        differ = text[at] != text[at + np.repeat(begins[rep[copy]] - begins[copy], sizes[copy])]
-        wrong = copy[np.add.reduceat(differ, np.cumsum(sizes[copy]) - sizes[copy]) > 0]
+    for i, j in row_chunks(sizes[copy], CHUNK):  # the hash says equal; the bytes decide
+        these = copy[i:j]
+        (mine, at), (other, _) = (_gather(text, begins[x], sizes[these]) for x in (these, rep[these]))
+        wrong = these[np.logical_or.reduceat(mine != other, at)]
         rep[wrong] = wrong
     chief = rep == np.arange(n)
     chiefs = np.flatnonzero(chief)
@@ -257,10 +275,11 @@ def covered(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, names: np.
         owner = np.repeat(owners[open_], counts[open_])
         gone[_spread(windows[open_], counts[open_])] = least_owners(text, begins[open_], counts[open_], owners[open_]) < owner
     copy = np.flatnonzero(~chief)
-    if len(copy):
-        to = _spread(windows[copy], counts[copy])
-        later = np.repeat(owners[copy] > owners[rep[copy]], counts[copy])
-        gone[to] = later | gone[to + np.repeat(windows[rep[copy]] - windows[copy], counts[copy])]
+    for i, j in row_chunks(counts[copy], CHUNK):
+        these = copy[i:j]
+        to = _spread(windows[these], counts[these])
+        later = np.repeat(owners[these] > owners[rep[these]], counts[these])
+        gone[to] = later | gone[_spread(windows[rep[these]], counts[these])]
     return gone
 
 
@@ -452,17 +471,16 @@ def _merge(rows: pa.Table, merges: int) -> pa.Table:
     begins = np.cumsum(sizes) - sizes
     names = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in rows.column("names")])
     gone = covered(text, begins, all_counts, names, np.concatenate(ids))
-    at, window = _spread(np.concatenate(starts), all_counts), _spread(begins, all_counts)
-    each_name = np.repeat(names, all_counts)
-    out, lo = [], 0
-    for shard, hot, c, i in zip(rows.column("shard").to_pylist(), rows.column("hot").to_pylist(), counts, ids, strict=True):
-        here = slice(lo, lo + int(c.sum()))
-        lo = here.stop
-        g, doc = gone[here], np.repeat(np.arange(len(c)), c)
+    out, lo, first = [], 0, 0
+    for shard, hot, c, s, i in zip(rows.column("shard").to_pylist(), rows.column("hot").to_pylist(), counts, starts, ids, strict=True):
+        g, runs = gone[lo : lo + int(c.sum())], slice(first, first + len(c))
+        lo, first = lo + len(g), runs.stop
+        at, doc = _spread(s, c), np.repeat(np.arange(len(c)), c)
         if g.any():
-            out.append(_removed(shard, i, doc[g], at[here][g]))
+            out.append(_removed(shard, i, doc[g], at[g]))
         if hot and not g.all():
-            out += _to_merge(shard, merges, 0, text, i, window[here][~g], doc[~g], at[here][~g], each_name[here][~g])
+            window, name = _spread(begins[runs], c), np.repeat(names[runs], c)
+            out += _to_merge(shard, merges, 0, text, i, window[~g], doc[~g], at[~g], name[~g])
     return _table(out)
 
 
