@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Null
 texts, null ids, repeated rows and empty tables are treated as the operators' docstrings say. A stage that drops documents
-joins the few dropped keys: sent to all executors where their counted number allows it, else by a shuffle.
+joins the few dropped keys: sent to all executors where their counted number allows it, else by a shuffle. Stages that work in Python
+workers first let executors give back the heap of the stages before, as an executor's limit counts both.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframes.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
-from riskframes.llm._common import discard, table, written
+from riskframes.llm._common import discard, relieve, table, written
 from riskframes.llm.queries import tokenizer_path
 
 
@@ -22,11 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words a shingle, a likeness of 0.8 or more."""
+    relieve(spark)
     return minhash.without_duplicates(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that one with a smaller id holds; ``n_chars`` is of the text that is left."""
+    relieve(spark)
     return suffix_dedup.without_repeats(docs)
 
 
@@ -37,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each taken document, and a digest of what they decode to."""
+    relieve(spark)
     path = tokenizer_path("word_bpe_49k.json")
     rows = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -45,6 +45,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let executors give back the heap that finished work leaves behind: it stays theirs until they collect, and counts with the memory of the Python workers that come next.
+
+    Two tasks for each core, so that every executor has one; each asks its JVM for a full collection, after which the heap shrinks to what is in use.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def _folder(spark: SparkSession, path: str):
     """A path and its Hadoop file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

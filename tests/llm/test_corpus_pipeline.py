@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from riskframes.llm import mixing
+from riskframes.llm._common import relieve
 from riskframes.llm.queries import tokenizer_path
 
 from test_text_operators import brute_components, brute_quality, brute_repeats  # noqa: I001
@@ -67,3 +68,19 @@ def test_odd_rows(spark):
     assert kept <= {*range(8), 10, None} and {0, 10, None} <= kept
     out = corpus_pipeline.tokens(spark, now, "").collect()
     assert len(out) == now.count() and all(r["n_tokens"] == len(r["ids"]) > 0 for r in out)
+
+
+def test_python_stages_begin_with_a_small_heap(spark):
+    """Before Python workers start, the executors (here the one JVM) collect their whole heap and give back what is free."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections() -> int:
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = collections()
+    relieve(spark)
+    assert collections() > before  # tasks that ask at once share one
+    before = collections()
+    corpus_pipeline.tokens(spark, docs, "")  # nothing runs but that
+    assert collections() > before
